@@ -6,7 +6,7 @@ part -> drug and diagnosis code, purchase event -> surgery.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafill.analogues.codes import CODES
@@ -17,7 +17,7 @@ from stratafill.operators.cohort import (
 from stratafill.operators.features import (
     build_detail, build_surgery, encounter_codes, encounter_features)
 from stratafill.sources.staging import stage
-from stratafill.sources.tables import load
+from stratafill.sources.tables import Tables
 
 c = F.col
 
@@ -39,14 +39,12 @@ def code_of(number: Column) -> Column:
         F.array(*[F.lit(x) for x in CODES]), (number % len(CODES) + 1).cast("int"))
 
 
-def joined_records(spark: SparkSession, sf: str) -> DataFrame:
+def joined_records(t: Tables) -> DataFrame:
     """Line items with order, customer and part, named as fill records; nothing filtered."""
-    line, orders, customer, part = (
-        load(spark, sf, t) for t in ("lineitem", "orders", "customer", "part"))
     return (
-        line.join(orders, c("l_orderkey") == c("o_orderkey"))
-        .join(customer, c("o_custkey") == c("c_custkey"))
-        .join(part, c("l_partkey") == c("p_partkey"))
+        t["lineitem"].join(t["orders"], c("l_orderkey") == c("o_orderkey"))
+        .join(t["customer"], c("o_custkey") == c("c_custkey"))
+        .join(t["part"], c("l_partkey") == c("p_partkey"))
         .select(
             c("c_nationkey").cast("string").alias("context_id"),
             c("c_custkey").alias("EnterpriseID"),
@@ -68,29 +66,28 @@ def joined_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def fills(spark: SparkSession, sf: str, cfg: CohortConfig = CFG) -> DataFrame:
-    rows = qualifying_drugs(live_prescriptions(joined_records(spark, sf), cfg), cfg)
+def fills(t: Tables, cfg: CohortConfig = CFG) -> DataFrame:
+    rows = qualifying_drugs(live_prescriptions(joined_records(t), cfg), cfg)
     return distinct_fill_records(
         rows.where(after_year(c("EncounterDate"), cfg.fills_after_year)))
 
 
-def birth_dates(spark: SparkSession, sf: str) -> DataFrame:
+def birth_dates(t: Tables) -> DataFrame:
     """(c_custkey, dob): the first order, moved back by 0 to 69 years."""
     return (
-        load(spark, sf, "orders").groupBy(c("o_custkey").alias("c_custkey"))
+        t["orders"].groupBy(c("o_custkey").alias("c_custkey"))
         .agg(F.min("o_orderdate").alias("first_order"))
         .select("c_custkey", F.add_months(
             c("first_order").cast("date"), (c("c_custkey") % 70 * -12).cast("int")).alias("dob"))
     )
 
 
-def patient(spark: SparkSession, sf: str) -> DataFrame:
-    nation, region = load(spark, sf, "nation"), load(spark, sf, "region")
-    places = nation.join(F.broadcast(region), c("n_regionkey") == c("r_regionkey"))
+def patient(t: Tables) -> DataFrame:
+    places = t["nation"].join(F.broadcast(t["region"]), c("n_regionkey") == c("r_regionkey"))
     segment = c("c_mktsegment")
     return (
-        load(spark, sf, "customer")
-        .join(birth_dates(spark, sf), "c_custkey", "left")
+        t["customer"]
+        .join(birth_dates(t), "c_custkey", "left")
         .join(F.broadcast(places), c("c_nationkey") == c("n_nationkey"))  # fixed 25 nations
         .select(
             c("c_nationkey").cast("string").alias("context_id"),
@@ -112,29 +109,29 @@ def patient(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def chart(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "customer").select(
+def chart(t: Tables) -> DataFrame:
+    return t["customer"].select(
         c("c_nationkey").cast("string").alias("context_id"),
         c("c_custkey").alias("ChartID"), c("c_custkey").alias("EnterpriseID"))
 
 
-def surgery(spark: SparkSession, sf: str, cfg: CohortConfig = CFG) -> DataFrame:
-    events = load(spark, sf, "events").where(c("event_type") == "purchase").select(
+def surgery(t: Tables, cfg: CohortConfig = CFG) -> DataFrame:
+    events = t["events"].where(c("event_type") == "purchase").select(
         c("user_id").alias("ChartID"),
         c("ts").alias("surgerydatetime"),
         F.when(c("value") >= 8, c("props")).alias("Procedure"),
         F.when(c("value") >= 4, c("event_type")).alias("Note"))
-    return build_surgery(events, chart(spark, sf), cfg, on=["ChartID"])
+    return build_surgery(events, chart(t), cfg, on=["ChartID"])
 
 
-def codes(fill_rows: DataFrame, spark: SparkSession, sf: str, cfg: CohortConfig = CFG):
+def codes(fill_rows: DataFrame, t: Tables, cfg: CohortConfig = CFG):
     """Diagnosis codes of the encounters: order -> its line items -> their parts' codes."""
-    diagnosis = load(spark, sf, "orders").select(
+    diagnosis = t["orders"].select(
         c("o_orderkey").alias("ClinicalEncounterID"),
         c("o_orderkey").alias("ClinicalEncounterDXID"))
-    dx_icd = load(spark, sf, "lineitem").select(
+    dx_icd = t["lineitem"].select(
         c("l_orderkey").alias("ClinicalEncounterDXID"), c("l_partkey").alias("IcdCodeID"))
-    icd_codes = load(spark, sf, "part").select(
+    icd_codes = t["part"].select(
         c("p_partkey").alias("IcdCodeID"),
         code_of(c("p_partkey")).alias("DiagnosisCode"),
         F.when(c("p_size") == 50, "ICD9").otherwise("ICD10").alias("DiagnosisCodeSet"))
@@ -142,17 +139,17 @@ def codes(fill_rows: DataFrame, spark: SparkSession, sf: str, cfg: CohortConfig
         fill_rows, diagnosis, dx_icd, icd_codes, cfg, on=["ClinicalEncounterID"])
 
 
-def detail(spark: SparkSession, sf: str, cfg: CohortConfig = CFG) -> DataFrame:
-    rows = stage(fills(spark, sf, cfg), "fills")
+def detail(t: Tables, cfg: CohortConfig = CFG) -> DataFrame:
+    rows = stage(fills(t, cfg), "fills")
     return build_detail(
-        build_demographics(patient(spark, sf), rows, cfg), rows, surgery(spark, sf, cfg),
-        encounter_features(codes(rows, spark, sf, cfg), cfg))
+        build_demographics(patient(t), rows, cfg), rows, surgery(t, cfg),
+        encounter_features(codes(rows, t, cfg)))
 
 
-def order_fills(spark: SparkSession, sf: str) -> DataFrame:
+def order_fills(t: Tables) -> DataFrame:
     """Every line item as a fill of its order's customer."""
-    return load(spark, sf, "lineitem").join(
-        load(spark, sf, "orders"), c("l_orderkey") == c("o_orderkey")
+    return t["lineitem"].join(
+        t["orders"], c("l_orderkey") == c("o_orderkey")
     ).select(
         c("o_custkey").cast("string").alias("unique_patient"),
         c("o_orderdate").alias("EncounterDate"),
@@ -161,8 +158,8 @@ def order_fills(spark: SparkSession, sf: str) -> DataFrame:
         c("o_orderkey").alias("ClinicalEncounterID"))
 
 
-def segments(spark: SparkSession, sf: str) -> DataFrame:
+def segments(t: Tables) -> DataFrame:
     """A first, coarse stratum: the customer's market segment."""
-    return load(spark, sf, "customer").select(
+    return t["customer"].select(
         c("c_custkey").cast("string").alias("unique_patient"),
         c("c_mktsegment").alias("micro_strata"))

@@ -15,17 +15,17 @@ from stratafill.operators import cohort, features, quality, sequence, strata, th
 from stratafill.operators.features import DISEASE_COUNTS
 from stratafill.plans import workflow
 from stratafill.sources.staging import stage
-from stratafill.sources.tables import load
+from stratafill.sources.tables import Tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+Query = Callable[[Tables], DataFrame]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 c = F.col
 
 
 def register(oracle: str | None = None, *needs: str) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        QUERIES[fn.__name__] = lambda spark, sf: fn(Tables(spark, sf))
         if oracle is not None:
             ORACLES[fn.__name__] = sql.query(oracle, *needs)
         return fn
@@ -36,20 +36,20 @@ def register(oracle: str | None = None, *needs: str) -> Callable[[Query], Query]
 
 
 @register("SELECT DISTINCT o_orderpriority FROM orders ORDER BY 1")
-def distinct_values(spark, sf):
-    return quality.distinct_values(load(spark, sf, "orders"), "o_orderpriority")
+def distinct_values(t):
+    return quality.distinct_values(t["orders"], "o_orderpriority")
 
 
 @register("""SELECT DISTINCT p_name, p_type FROM part WHERE upper(p_name) LIKE '%ANVIL%'
 OR upper(p_name) LIKE '%GIZMO%' OR upper(p_name) LIKE '%RED W%'""")
-def drug_lookup(spark, sf):
+def drug_lookup(t):
     return quality.lookup_contains(
-        load(spark, sf, "part"), {"p_name": ("anvil", "gizmo", "red w")}, "p_name", "p_type")
+        t["part"], {"p_name": ("anvil", "gizmo", "red w")}, "p_name", "p_type")
 
 
 @register("SELECT event_type, count(*) AS freq FROM events GROUP BY event_type")
-def freq_table(spark, sf):
-    return quality.freq(load(spark, sf, "events"), "event_type")
+def freq_table(t):
+    return quality.freq(t["events"], "event_type")
 
 
 # --- predicates ----------------------------------------------------------------------------
@@ -58,9 +58,9 @@ def freq_table(spark, sf):
 @register("""SELECT o_orderkey, o_orderstatus, l_partkey, l_quantity
 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
 WHERE nullif(o_orderstatus, 'F') IS NOT NULL AND l_quantity IS NOT NULL""")
-def live_records(spark, sf):
-    both = load(spark, sf, "orders").join(
-        load(spark, sf, "lineitem"), c("o_orderkey") == c("l_orderkey"), "left")
+def live_records(t):
+    both = t["orders"].join(
+        t["lineitem"], c("o_orderkey") == c("l_orderkey"), "left")
     return both.where(
         F.nullif(c("o_orderstatus"), F.lit("F")).isNotNull() & c("l_quantity").isNotNull()
     ).select("o_orderkey", "o_orderstatus", "l_partkey", "l_quantity")
@@ -68,8 +68,8 @@ def live_records(spark, sf):
 
 @register("""SELECT o_orderkey, o_orderpriority FROM orders
 WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""")
-def in_list(spark, sf):
-    return load(spark, sf, "orders").where(
+def in_list(t):
+    return t["orders"].where(
         predicates.in_list(c("o_orderpriority"), ("1-URGENT", "5-LOW"))
     ).select("o_orderkey", "o_orderpriority")
 
@@ -77,30 +77,30 @@ def in_list(spark, sf):
 @register("""SELECT p_partkey, p_name, p_type FROM part
 WHERE nullif(p_type, 'PROMO') NOT IN ('SMALL', 'LARGE') OR p_name NOT IN ('red anvil', 'blue bolt')
 """)
-def exclude_pair(spark, sf):
-    return load(spark, sf, "part").where(predicates.exclude_pair(
+def exclude_pair(t):
+    return t["part"].where(predicates.exclude_pair(
         F.nullif(c("p_type"), F.lit("PROMO")), ("SMALL", "LARGE"),
         c("p_name"), ("red anvil", "blue bolt"))).select("p_partkey", "p_name", "p_type")
 
 
 @register("""SELECT p_partkey, p_name, p_type FROM part WHERE upper(p_name) LIKE '%ANVIL%'
 OR upper(p_name) LIKE '%OLD G%' OR upper(p_name) LIKE '%PLATE%' OR upper(p_type) LIKE '%ECON%'""")
-def contains_any(spark, sf):
+def contains_any(t):
     words = {"p_name": ("anvil", "old g", "plate"), "p_type": ("econ",)}
-    return load(spark, sf, "part").where(predicates.contains_any(words)).select(
+    return t["part"].where(predicates.contains_any(words)).select(
         "p_partkey", "p_name", "p_type")
 
 
 @register("SELECT o_orderkey, o_orderdate FROM orders WHERE year(o_orderdate) > 1998")
-def after_year(spark, sf):
-    return load(spark, sf, "orders").where(dates.after_year(c("o_orderdate"), 1998)).select(
+def after_year(t):
+    return t["orders"].where(dates.after_year(c("o_orderdate"), 1998)).select(
         "o_orderkey", "o_orderdate")
 
 
 @register("""SELECT o_orderkey, o_orderdate FROM orders
 WHERE year(o_orderdate) BETWEEN 1996 AND 1998""")
-def years_between(spark, sf):
-    return load(spark, sf, "orders").where(
+def years_between(t):
+    return t["orders"].where(
         dates.years_between(c("o_orderdate"), 1996, 1998)).select("o_orderkey", "o_orderdate")
 
 
@@ -109,8 +109,8 @@ def years_between(spark, sf):
 
 @register("""SELECT c_custkey, concat(nullif(c_nationkey, 3), ' - ', c_custkey) AS unique_key
 FROM customer""")
-def tenant_key(spark, sf):
-    return load(spark, sf, "customer").select(
+def tenant_key(t):
+    return t["customer"].select(
         "c_custkey",
         text.tenant_key(F.nullif(c("c_nationkey"), F.lit(3)), c("c_custkey"))
         .alias("unique_key"))
@@ -118,26 +118,26 @@ def tenant_key(spark, sf):
 
 @register("""SELECT c_custkey, concat(n_name, ' - ', nullif(c_mktsegment, 'BUILDING')) AS place
 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
-def city_state_label(spark, sf):
-    return load(spark, sf, "customer").join(
-        load(spark, sf, "nation"), c("c_nationkey") == c("n_nationkey")
+def city_state_label(t):
+    return t["customer"].join(
+        t["nation"], c("c_nationkey") == c("n_nationkey")
     ).select("c_custkey", text.label_join(
         [c("n_name"), F.nullif(c("c_mktsegment"), F.lit("BUILDING"))], " - ").alias("place"))
 
 
 @register("""SELECT c_custkey,
 upper(trim(replace(replace(concat(' ', c_name, '-x '), ' ', ''), '-', ''))) AS name2 FROM customer""")
-def normalize_name(spark, sf):
+def normalize_name(t):
     name = F.concat(F.lit(" "), c("c_name"), F.lit("-x "))
-    return load(spark, sf, "customer").select(
+    return t["customer"].select(
         "c_custkey", text.normalize_name(name).alias("name2"))
 
 
 @register("""SELECT c_custkey, concat(upper(trim(replace(replace(c_name, ' ', ''), '-', ''))), '|',
 nullif(c_mktsegment, 'BUILDING'), '|', strftime(CAST(dob AS DATE), '%m/%d/%Y')) AS person
 FROM customer LEFT JOIN births ON c_custkey = o_custkey""", "births")
-def match_key(spark, sf):
-    people = load(spark, sf, "customer").join(on.birth_dates(spark, sf), "c_custkey", "left")
+def match_key(t):
+    people = t["customer"].join(on.birth_dates(t), "c_custkey", "left")
     return people.select("c_custkey", text.match_key(
         text.normalize_name(c("c_name")), F.nullif(c("c_mktsegment"), F.lit("BUILDING")),
         dates.fmt_date(c("dob"), 101)).alias("person"))
@@ -145,38 +145,38 @@ def match_key(spark, sf):
 
 @register("""SELECT c_custkey, coalesce(substr(nullif(c_name, 'Customer#000000007'), 1, 5), '99999')
 AS zip FROM customer""")
-def zip5(spark, sf):
-    return load(spark, sf, "customer").select("c_custkey", text.zip5(
+def zip5(t):
+    return t["customer"].select("c_custkey", text.zip5(
         F.nullif(c("c_name"), F.lit("Customer#000000007"))).alias("zip"))
 
 
 _EVENTS = "FROM customer LEFT JOIN events ON c_custkey = user_id"
 
 
-def _customer_events(spark, sf):
-    return load(spark, sf, "customer").join(
-        load(spark, sf, "events"), c("c_custkey") == c("user_id"), "left")
+def _customer_events(t):
+    return t["customer"].join(
+        t["events"], c("c_custkey") == c("user_id"), "left")
 
 
 @register(f"""SELECT c_custkey, event_id, coalesce(event_type, 'NA') AS event_type,
 coalesce(value, 0) AS value {_EVENTS}""")
-def null_defaults(spark, sf):
-    rows = _customer_events(spark, sf).select("c_custkey", "event_id", "event_type", "value")
+def null_defaults(t):
+    rows = _customer_events(t).select("c_custkey", "event_id", "event_type", "value")
     return text.default_null(rows, {"event_type": "NA", "value": 0})
 
 
 @register(f"""SELECT c_custkey, event_id, CASE WHEN event_id IS NULL THEN 'No Event'
 ELSE 'Event' END AS event_flag {_EVENTS}""")
-def presence_flag(spark, sf):
-    return _customer_events(spark, sf).select(
+def presence_flag(t):
+    return _customer_events(t).select(
         "c_custkey", "event_id",
         text.presence_flag(c("event_id"), "Event", "No Event").alias("event_flag"))
 
 
 @register(f"""SELECT c_custkey, event_id, CASE WHEN nullif(event_type, 'click') IS NULL
 THEN props ELSE event_type END AS what {_EVENTS}""")
-def first_present(spark, sf):
-    return _customer_events(spark, sf).select("c_custkey", "event_id", text.first_present(
+def first_present(t):
+    return _customer_events(t).select("c_custkey", "event_id", text.first_present(
         F.nullif(c("event_type"), F.lit("click")), c("props")).alias("what"))
 
 
@@ -185,8 +185,8 @@ def first_present(spark, sf):
 
 @register("""SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS style101,
 strftime(o_orderdate, '%Y.%m.%d') AS style102 FROM orders""")
-def date_styles(spark, sf):
-    return load(spark, sf, "orders").select(
+def date_styles(t):
+    return t["orders"].select(
         "o_orderkey", dates.fmt_date(c("o_orderdate"), 101).alias("style101"),
         dates.fmt_date(c("o_orderdate"), 102).alias("style102"))
 
@@ -194,39 +194,39 @@ def date_styles(spark, sf):
 @register("""SELECT o_orderkey, CASE WHEN d IS NULL THEN '2099-12-31'
 ELSE concat(year(d), '-', month(d), '-', day(d)) END AS deceased
 FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS d FROM orders)""")
-def deceased_date_text(spark, sf):
+def deceased_date_text(t):
     day = F.when(c("o_orderstatus") == "F", c("o_orderdate"))
-    return load(spark, sf, "orders").select(
+    return t["orders"].select(
         "o_orderkey", dates.unpadded_date(day, "2099-12-31").alias("deceased"))
 
 
 @register("""SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m,
 day(o_orderdate) AS d FROM orders""")
-def date_parts(spark, sf):
-    return load(spark, sf, "orders").select("o_orderkey", *dates.date_parts(c("o_orderdate")))
+def date_parts(t):
+    return t["orders"].select("o_orderkey", *dates.date_parts(c("o_orderdate")))
 
 
 @register("""SELECT l_orderkey, l_partkey, l_suppkey,
 datediff('day', o_orderdate, l_shipdate) AS days
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
-def days_between(spark, sf):
-    return load(spark, sf, "lineitem").join(
-        load(spark, sf, "orders"), c("l_orderkey") == c("o_orderkey")
+def days_between(t):
+    return t["lineitem"].join(
+        t["orders"], c("l_orderkey") == c("o_orderkey")
     ).select("l_orderkey", "l_partkey", "l_suppkey",
              dates.days_between(c("o_orderdate"), c("l_shipdate")).alias("days"))
 
 
 @register(f"SELECT o_custkey AS c_custkey, {sql.age_sql('dob')} AS age FROM births", "births")
-def age_years(spark, sf):
-    return on.birth_dates(spark, sf).select(
+def age_years(t):
+    return on.birth_dates(t).select(
         "c_custkey", dates.age_years(c("dob"), on.CFG.as_of).alias("age"))
 
 
 @register(f"""SELECT c_custkey, {sql.band_sql('age')} AS age_cohort FROM (
 SELECT c_custkey, {sql.age_sql("CASE WHEN c_mktsegment <> 'BUILDING' THEN dob END")} AS age
 FROM customer LEFT JOIN births ON c_custkey = o_custkey)""", "births")
-def age_band(spark, sf):
-    people = load(spark, sf, "customer").join(on.birth_dates(spark, sf), "c_custkey", "left")
+def age_band(t):
+    people = t["customer"].join(on.birth_dates(t), "c_custkey", "left")
     known = F.when(c("c_mktsegment") != "BUILDING", c("dob"))
     return people.select(
         "c_custkey", buckets.age_band(dates.age_years(known, on.CFG.as_of)).alias("age_cohort"))
@@ -238,8 +238,8 @@ def age_band(spark, sf):
 def _classified(name: str, rules) -> None:
     code = sql.code_sql("p_partkey")
 
-    def classify(spark, sf):
-        return load(spark, sf, "part").select(
+    def classify(t):
+        return t["part"].select(
             "p_partkey", on.code_of(c("p_partkey")).alias("code"),
             rules.label(on.code_of(c("p_partkey"))).alias("label"))
 
@@ -258,33 +258,33 @@ _classified("classify_disease", DISEASE)
 
 
 @register("SELECT * FROM fills", "fills")
-def cohort_fills(spark, sf):
-    return on.fills(spark, sf)
+def cohort_fills(t):
+    return on.fills(t)
 
 
 @register("SELECT * FROM demographics", "demographics")
-def demographics(spark, sf):
-    return cohort.build_demographics(on.patient(spark, sf), on.fills(spark, sf), on.CFG)
+def demographics(t):
+    return cohort.build_demographics(on.patient(t), on.fills(t), on.CFG)
 
 
 @register("SELECT * FROM surgery", "surgery")
-def surgery_features(spark, sf):
-    return on.surgery(spark, sf)
+def surgery_features(t):
+    return on.surgery(t)
 
 
-@register("SELECT * FROM codes", "codes")
-def encounter_codes(spark, sf):
-    return on.codes(on.fills(spark, sf), spark, sf)
+@register(f"SELECT *, {sql.rule_numbers_sql('DiagnosisCode')} FROM codes", "codes")
+def encounter_codes(t):
+    return on.codes(on.fills(t), t)
 
 
 @register("SELECT * FROM dx", "dx")
-def encounter_features(spark, sf):
-    return features.encounter_features(on.codes(on.fills(spark, sf), spark, sf))
+def encounter_features(t):
+    return features.encounter_features(on.codes(on.fills(t), t))
 
 
 @register("SELECT * FROM detail", "detail")
-def detail_wide(spark, sf):
-    return on.detail(spark, sf)
+def detail_wide(t):
+    return on.detail(t)
 
 
 _TOP = ("unique_patient", "EncounterDate", "documentid", "FBDMedID", "prescriptionfillquantity")
@@ -292,18 +292,18 @@ _TOP = ("unique_patient", "EncounterDate", "documentid", "FBDMedID", "prescripti
 
 @register(f"SELECT {', '.join(_TOP)}, pain_visits FROM detail ORDER BY {', '.join(_TOP)} LIMIT 100",
           "detail")
-def top_n_detail(spark, sf):
-    return quality.top_n(on.detail(spark, sf).select(*_TOP, "pain_visits"), 100, *_TOP)
+def top_n_detail(t):
+    return quality.top_n(on.detail(t).select(*_TOP, "pain_visits"), 100, *_TOP)
 
 
 @register("SELECT * FROM totals", "totals")
-def patient_totals(spark, sf):
-    return features.patient_totals(on.detail(spark, sf))
+def patient_totals(t):
+    return features.patient_totals(on.detail(t))
 
 
 @register("SELECT * FROM sums", "sums")
-def patient_sums(spark, sf):
-    return features.patient_sums(on.detail(spark, sf))
+def patient_sums(t):
+    return features.patient_sums(on.detail(t))
 
 
 # --- strata --------------------------------------------------------------------------------
@@ -313,15 +313,15 @@ def patient_sums(spark, sf):
 UNION ALL SELECT 'oncology_visits_total', cut_onc FROM cuts
 UNION ALL SELECT 'pain_visits_total', cut_pain FROM cuts
 UNION ALL SELECT 'depression_visits_total', cut_depress FROM cuts""", "cuts")
-def upper_median(spark, sf):
-    return strata.feature_medians(features.patient_totals(on.detail(spark, sf)))
+def upper_median(t):
+    return strata.feature_medians(features.patient_totals(on.detail(t)))
 
 
 @register(f"""SELECT unique_patient, {sql.bucket_sql('pain_visits_total', 'cut_pain', 'pain')}
 AS pain_bucket, {sql.bucket_sql('oncology_visits_total', 1, 'onc')} AS onc_bucket
 FROM totals, cuts""", "totals", "cuts")
-def median_bucket(spark, sf):
-    totals = stage(features.patient_totals(on.detail(spark, sf)), "totals")
+def median_bucket(t):
+    totals = stage(features.patient_totals(on.detail(t)), "totals")
     cuts = strata.feature_cuts(totals, ["pain_visits_total"])
     return totals.select(
         "unique_patient",
@@ -331,32 +331,32 @@ def median_bucket(spark, sf):
 
 
 @register(f"SELECT unique_patient, age_cohort, {sql.chronic_sql()} AS chronic FROM sums", "sums")
-def chronic_bucket(spark, sf):
-    return features.patient_sums(on.detail(spark, sf)).select(
+def chronic_bucket(t):
+    return features.patient_sums(on.detail(t)).select(
         "unique_patient", "age_cohort",
         buckets.chronic_bucket([c(n) for n in DISEASE_COUNTS]).alias("chronic"))
 
 
-def _core(spark, sf):
-    return stage(on.detail(spark, sf).select(*workflow.CORE_COLUMNS), "detail")
+def _core(t):
+    return stage(on.detail(t).select(*workflow.CORE_COLUMNS), "detail")
 
 
 @register("SELECT * FROM strata", "strata")
-def micro_strata(spark, sf):
-    return workflow.strata_of(_core(spark, sf), on.CFG)
+def micro_strata(t):
+    return workflow.strata_of(_core(t), on.CFG)
 
 
 @register(sql.strata_sql(4, 1, 2, 1).replace("FROM sums, cuts", "FROM sums"), "sums")
-def micro_strata_literal_cuts(spark, sf):
+def micro_strata_literal_cuts(t):
     cuts = {"diagnosiscode_all_total": 4, "oncology_visits_total": 1,
             "pain_visits_total": 2, "depression_visits_total": 1}
-    return strata.assign_strata(features.patient_sums(on.detail(spark, sf)), cuts)
+    return strata.assign_strata(features.patient_sums(on.detail(t)), cuts)
 
 
 @register("""SELECT DISTINCT concat(c_nationkey, ' - ', c_custkey) AS unique_patient,
 sha256(concat('stratafill|', c_nationkey, ' - ', c_custkey)) AS randGUID FROM customer""")
-def random_order_id(spark, sf):
-    keys = load(spark, sf, "customer").select(
+def random_order_id(t):
+    keys = t["customer"].select(
         text.tenant_key(c("c_nationkey"), c("c_custkey")).alias("unique_patient")).distinct()
     return keys.withColumn("randGUID", strata.random_id(c("unique_patient"), on.CFG.id_seed))
 
@@ -366,30 +366,30 @@ def random_order_id(spark, sf):
 _SEQ = "unique_patient, EncounterDate, ndc, prescriptionfillquantity"
 
 
-def _order_fills(spark, sf):
-    return stage(sequence.distinct_fills(on.order_fills(spark, sf)), "order_fills")
+def _order_fills(t):
+    return stage(sequence.distinct_fills(on.order_fills(t)), "order_fills")
 
 
 @register(f"SELECT {_SEQ}, tiebreaker FROM seq", "seq")
-def distinct_fills(spark, sf):
-    return sequence.distinct_fills(on.order_fills(spark, sf))
+def distinct_fills(t):
+    return sequence.distinct_fills(on.order_fills(t))
 
 
 @register("SELECT * FROM seq", "seq")
-def fill_sequence(spark, sf):
-    return sequence.fill_sequence(_order_fills(spark, sf))
+def fill_sequence(t):
+    return sequence.fill_sequence(_order_fills(t))
 
 
 @register("SELECT * FROM cum", "cum")
-def fill_cumulative(spark, sf):
+def fill_cumulative(t):
     return sequence.fill_cumulative(
-        _order_fills(spark, sf), on.segments(spark, sf)).drop("tiebreaker")
+        _order_fills(t), on.segments(t)).drop("tiebreaker")
 
 
 @register("SELECT * FROM thr", "thr")
-def strata_threshold(spark, sf):
-    segments = on.segments(spark, sf)
-    cumulative = sequence.fill_cumulative(_order_fills(spark, sf), segments).drop("tiebreaker")
+def strata_threshold(t):
+    segments = on.segments(t)
+    cumulative = sequence.fill_cumulative(_order_fills(t), segments).drop("tiebreaker")
     return threshold.strata_threshold(
         cumulative, max_strata=threshold.strata_bound(segments))
 
@@ -398,26 +398,26 @@ def strata_threshold(spark, sf):
 lag_filldate, current_filldate, filldatediff, cumul_filldatediff FROM seq s
 JOIN gaps g ON s.unique_patient = g.unique_patient AND s.rowid_encounter = g.rowid_encounter""",
           "seq", "gaps")
-def fill_gaps(spark, sf):
-    numbered = sequence.fill_sequence(_order_fills(spark, sf)).drop("tiebreaker")
+def fill_gaps(t):
+    numbered = sequence.fill_sequence(_order_fills(t)).drop("tiebreaker")
     return sequence.fill_gaps(stage(numbered, "numbered"))
 
 
 @register("SELECT * FROM gaps", "gaps")
-def gap_reference_form(spark, sf):
-    numbered = stage(sequence.fill_sequence(_order_fills(spark, sf)), "numbered")
+def gap_reference_form(t):
+    numbered = stage(sequence.fill_sequence(_order_fills(t)), "numbered")
     return sequence.gap_reference_form(numbered)
 
 
 @register("SELECT * FROM gaps_last", "gaps_last")
-def last_fill_anti(spark, sf):
-    numbered = stage(sequence.fill_sequence(_order_fills(spark, sf)), "numbered")
+def last_fill_anti(t):
+    numbered = stage(sequence.fill_sequence(_order_fills(t)), "numbered")
     return sequence.last_fills(numbered, sequence.raw_gaps(numbered))
 
 
 @register("SELECT * FROM cumulative", "cumulative")
-def flagship_cumul_strata(spark, sf):
-    return workflow.cumulative_by_stratum(_core(spark, sf), on.CFG)
+def flagship_cumul_strata(t):
+    return workflow.cumulative_by_stratum(_core(t), on.CFG)
 
 
 # --- checks --------------------------------------------------------------------------------
@@ -425,15 +425,15 @@ def flagship_cumul_strata(spark, sf):
 
 @register("""SELECT count(*) AS freq, count(DISTINCT unique_patient) AS distinct_mems,
 count(*) - count(DISTINCT unique_patient) AS error_num FROM fills""", "fills")
-def profile(spark, sf):
-    return quality.profile(on.fills(spark, sf), "unique_patient")
+def profile(t):
+    return quality.profile(on.fills(t), "unique_patient")
 
 
 @register("""SELECT count(*) AS freq, count(DISTINCT unique_patient) AS distinct_mems,
 count(*) - count(DISTINCT unique_patient) AS error_num,
 count(DISTINCT micro_strata) AS micro_strata_ct FROM strata""", "strata")
-def profile_strata(spark, sf):
-    labels = workflow.strata_of(_core(spark, sf), on.CFG)
+def profile_strata(t):
+    labels = workflow.strata_of(_core(t), on.CFG)
     return quality.profile(labels, "unique_patient", {"micro_strata_ct": "micro_strata"})
 
 
@@ -442,22 +442,22 @@ new_mems - old_mems AS mem_delta
 FROM (SELECT count(*) AS new_ct, count(DISTINCT unique_patient) AS new_mems FROM gaps_raw),
   (SELECT count(*) AS old_ct, count(DISTINCT unique_patient) AS old_mems FROM seq)""",
           "gaps_raw", "seq")
-def count_delta(spark, sf):
-    numbered = stage(sequence.fill_sequence(_order_fills(spark, sf)), "numbered")
+def count_delta(t):
+    numbered = stage(sequence.fill_sequence(_order_fills(t)), "numbered")
     return quality.reconcile(sequence.raw_gaps(numbered), numbered, "unique_patient")
 
 
 @register("""SELECT l_orderkey, l_linenumber, count(*) AS freq FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
-def duplicate_keys(spark, sf):
-    return quality.duplicates(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+def duplicate_keys(t):
+    return quality.duplicates(t["lineitem"], ["l_orderkey", "l_linenumber"])
 
 
 @register("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
 WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber
                      HAVING count(*) > 1)""")
-def duplicate_detail(spark, sf):
-    lines = load(spark, sf, "lineitem").select(
+def duplicate_detail(t):
+    lines = t["lineitem"].select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return quality.rows_of_duplicates(lines, ["l_orderkey", "l_linenumber"], "l_orderkey")
 
@@ -466,23 +466,23 @@ def duplicate_detail(spark, sf):
 SELECT unique_patient FROM (SELECT DISTINCT unique_patient, EncounterDate, ClinicalEncounterID
                             FROM order_fills)
 GROUP BY unique_patient, EncounterDate HAVING count(*) > 1)""", "order_fills")
-def multi_encounter_days(spark, sf):
-    return quality.multi_encounter_days(on.order_fills(spark, sf))
+def multi_encounter_days(t):
+    return quality.multi_encounter_days(on.order_fills(t))
 
 
 @register("""SELECT micro_strata, count(DISTINCT unique_patient) AS mem_count FROM strata
 GROUP BY micro_strata""", "strata")
-def strata_histogram(spark, sf):
+def strata_histogram(t):
     return quality.entities_per_group(
-        workflow.strata_of(_core(spark, sf), on.CFG), "micro_strata", "unique_patient")
+        workflow.strata_of(_core(t), on.CFG), "micro_strata", "unique_patient")
 
 
 @register(f"""SELECT {', '.join('s.' + x for x in _SEQ.split(', '))}, s.rowid_encounter,
 lag_filldate, current_filldate, filldatediff, cumul_filldatediff FROM seq s
 JOIN gaps g ON s.unique_patient = g.unique_patient AND s.rowid_encounter = g.rowid_encounter
 WHERE s.unique_patient = '42' ORDER BY s.rowid_encounter""", "seq", "gaps")
-def trace_entity(spark, sf):
-    return quality.trace(fill_gaps(spark, sf), "unique_patient", "42", "rowid_encounter")
+def trace_entity(t):
+    return quality.trace(fill_gaps(t), "unique_patient", "42", "rowid_encounter")
 
 
 # --- joins that the steps above do not need ------------------------------------------------
@@ -490,9 +490,9 @@ def trace_entity(spark, sf):
 
 @register("""SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey FROM orders
 JOIN lineitem ON o_orderkey = l_orderkey AND o_custkey IN (l_partkey, l_suppkey)""")
-def column_in_columns(spark, sf):
-    return load(spark, sf, "orders").join(
-        load(spark, sf, "lineitem"),
+def column_in_columns(t):
+    return t["orders"].join(
+        t["lineitem"],
         (c("o_orderkey") == c("l_orderkey"))
         & predicates.column_in_columns(c("o_custkey"), [c("l_partkey"), c("l_suppkey")])
     ).select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -500,10 +500,10 @@ def column_in_columns(spark, sf):
 
 @register("""SELECT o_orderkey, l_partkey, l_shipdate FROM orders
 LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate = o_orderdate + INTERVAL 10 DAY""")
-def attach_left(spark, sf):
-    shipped = load(spark, sf, "lineitem").select(
+def attach_left(t):
+    shipped = t["lineitem"].select(
         c("l_orderkey").alias("o_orderkey"), "l_partkey", "l_shipdate",
         (c("l_shipdate") - F.expr("INTERVAL 10 DAYS")).alias("o_orderdate"))
-    return load(spark, sf, "orders").join(
+    return t["orders"].join(
         shipped, ["o_orderkey", "o_orderdate"], "left"
     ).select("o_orderkey", "l_partkey", "l_shipdate")

@@ -25,7 +25,10 @@ class Rule:
     span: tuple[str, str] | None = None
 
     def test(self, code: Column) -> Column:
-        tests = [code.startswith(p) for p in self.prefixes]
+        lengths = sorted({len(p) for p in self.prefixes})
+        tests = [
+            F.substring(code, 1, n).isin([p for p in self.prefixes if len(p) == n])
+            for n in lengths]
         if self.exact:
             tests.append(code.isin(*self.exact))
         if self.span:
@@ -39,14 +42,26 @@ class RuleSet:
     default: str
     rules: Sequence[Rule] = field(default_factory=tuple)
 
-    def label(self, code: Column, strip_dots: bool = False) -> Column:
-        """The label of ``code`` as one CASE expression."""
+    def _case(self, code: Column, strip_dots: bool, results: Sequence, default) -> Column:
         if strip_dots:
             code = F.translate(code, ".", "")
         chain = F
-        for rule in self.rules:
-            chain = chain.when(rule.test(code), F.lit(rule.label))
-        return chain.otherwise(F.lit(self.default))
+        for rule, result in zip(self.rules, results):
+            chain = chain.when(rule.test(code), result)
+        return chain.otherwise(default)
+
+    def label(self, code: Column, strip_dots: bool = False) -> Column:
+        """The label of ``code`` as one CASE expression."""
+        return self._case(
+            code, strip_dots, [F.lit(r.label) for r in self.rules], F.lit(self.default))
+
+    def number(self, code: Column, strip_dots: bool = False) -> Column:
+        """The 1-based number of the rule that gives the label, 0 for the default."""
+        numbers = [F.lit(i + 1).cast("tinyint") for i in range(len(self.rules))]
+        return self._case(code, strip_dots, numbers, F.lit(0).cast("tinyint"))
+
+    def number_of(self, label: str) -> int:
+        return [r.label for r in self.rules].index(label) + 1
 
     def shadowed(self) -> list[tuple[str, str]]:
         """Prefixes that can never match since an earlier rule's prefix covers them."""

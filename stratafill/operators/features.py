@@ -91,6 +91,24 @@ def build_surgery(
         SURGERY_LABEL, uniqueness_label(F.col("surg_procs_all"), F.col("surg_procs_distinct")))
 
 
+# rule numbers of a code, see RuleSet.number
+RULE_COLUMNS = {
+    "oncology_rule": ONCOLOGY,
+    "pain_rule": PAIN,
+    "depression_rule": DEPRESSION,
+    "disease_rule": DISEASE,
+}
+
+
+def number_rules(codes: DataFrame, cfg: CohortConfig) -> DataFrame:
+    """Append the number of the rule that each rule set applies to the code."""
+    code = F.col("DiagnosisCode")
+    return codes.withColumns({
+        # the exact oncology codes are written with dots
+        name: rules.number(code, cfg.strip_dots and rules is not ONCOLOGY)
+        for name, rules in RULE_COLUMNS.items()})
+
+
 def encounter_codes(
     fills: DataFrame,
     diagnosis: DataFrame,
@@ -99,13 +117,14 @@ def encounter_codes(
     cfg: CohortConfig,
     on: Sequence[str] = ("context_id", "ClinicalEncounterID"),
 ) -> DataFrame:
-    """Distinct diagnosis codes of each encounter that has fills.
+    """Distinct diagnosis codes of each encounter that has fills, with :data:`RULE_COLUMNS`.
 
-    The fills shrink to their distinct encounters before they meet the diagnoses.
+    The fills shrink to their distinct encounters before they meet the diagnoses, and the rules
+    run once per entry of the code table.
     """
-    encounters = fills.select(
-        "context_id", "EnterpriseID", "unique_patient", "ClinicalEncounterID").distinct()
-    codes = icd_codes.where(in_list(F.col("DiagnosisCodeSet"), cfg.code_sets))
+    encounters = fills.select("context_id", "EnterpriseID", "ClinicalEncounterID").distinct()
+    codes = number_rules(
+        icd_codes.where(in_list(F.col("DiagnosisCodeSet"), cfg.code_sets)), cfg)
     dx_on, code_on = ["ClinicalEncounterDXID"], ["IcdCodeID"]
     if cfg.tenant_safe:
         dx_on += [c for c in ("context_id",) if c in dx_icd.columns]
@@ -114,41 +133,36 @@ def encounter_codes(
         encounters.join(diagnosis, list(on))
         .join(dx_icd, dx_on)
         .join(codes, code_on)
-        .select("context_id", "EnterpriseID", "unique_patient", "ClinicalEncounterID",
-                "DiagnosisCode")
+        .select("context_id", "EnterpriseID", "ClinicalEncounterID", "DiagnosisCode",
+                *RULE_COLUMNS)
         .distinct()
+        .withColumn("unique_patient", tenant_key(F.col("context_id"), F.col("EnterpriseID")))
     )
 
 
 def flag_counts(df: DataFrame, keys: Sequence[str], flags: dict[str, Column]) -> DataFrame:
     """Per group and output: the number of rows whose condition holds."""
-    return df.groupBy(*keys).agg(*[
-        F.sum(F.when(cond, 1).otherwise(0)).alias(out) for out, cond in flags.items()])
+    return df.groupBy(*keys).agg(*[F.count_if(cond).alias(out) for out, cond in flags.items()])
 
 
-def encounter_features(codes: DataFrame, cfg: CohortConfig | None = None) -> DataFrame:
-    """35 diagnosis counts per (patient, encounter)."""
-    strip = cfg.strip_dots if cfg else False
-    code = F.col("DiagnosisCode")
-    labelled = codes.withColumns({
-        "oncology_flag": ONCOLOGY.label(code),
-        "pain_type": PAIN.label(code, strip),
-        "depression_flag": DEPRESSION.label(code, strip),
-        "disease_flag": DISEASE.label(code, strip),
-    })
+def encounter_features(codes: DataFrame) -> DataFrame:
+    """35 diagnosis counts per (patient, encounter) from :func:`encounter_codes`."""
     flags = {
-        "diagnosiscode_all_total": code.isNotNull(),
-        "oncology_visits": F.col("oncology_flag") == "oncology",
-        "pain_visits": F.col("pain_type") != PAIN.default,
-        "depression_visits": F.col("depression_flag") != DEPRESSION.default,
+        "diagnosiscode_all_total": F.col("DiagnosisCode").isNotNull(),
+        "oncology_visits": F.col("oncology_rule") != 0,
+        "pain_visits": F.col("pain_rule") != 0,
+        "depression_visits": F.col("depression_rule") != 0,
     }
     for column, counts in (
-        ("depression_flag", DEPRESSION_COUNTS),
-        ("pain_type", PAIN_COUNTS),
-        ("disease_flag", DISEASE_COUNTS),
+        ("depression_rule", DEPRESSION_COUNTS),
+        ("pain_rule", PAIN_COUNTS),
+        ("disease_rule", DISEASE_COUNTS),
     ):
-        flags |= {out: F.col(column) == label for out, label in counts.items()}
-    return flag_counts(labelled, ["unique_patient", "ClinicalEncounterID"], flags)
+        rules = RULE_COLUMNS[column]
+        flags |= {
+            out: F.col(column) == rules.number_of(label)
+            for out, label in counts.items()}
+    return flag_counts(codes, ["unique_patient", "ClinicalEncounterID"], flags)
 
 
 def build_detail(

@@ -7,6 +7,8 @@ locate the bins that hold the wanted ranks, and only the values of those bins ar
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,18 +35,22 @@ def _values_at(
         .agg(F.count(F.lit(1)).alias("_count")).withColumn("_bin", _bin(F.col(value))))
     group = Window.partitionBy(*by)
     upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = {f"_of_{c}": c for c in (*by, "_bin")}
     bins = (
         counts.groupBy(*by, "_bin").agg(F.sum("_count").alias("_in_bin"))
         .withColumns({"_upto": F.sum("_in_bin").over(upto), "_n": F.sum("_in_bin").over(group)})
         .withColumns({"_before": F.col("_upto") - F.col("_in_bin"),
                       "_low_rank": low, "_high_rank": high})
         .where((F.col("_before") <= F.col("_high_rank")) & (F.col("_upto") > F.col("_low_rank")))
-        .select(*by, "_bin", "_before", "_n", "_low_rank", "_high_rank")
+        .select(*[F.col(c).alias(o) for o, c in own.items()],
+                "_before", "_n", "_low_rank", "_high_rank")
     )
+    # null-safe: a NULL group counts, and both sides keep sharing the shuffle of the counts
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for o, c in own.items()])
     inside = (
         Window.partitionBy(*by, "_bin").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.join(bins, [*by, "_bin"]).withColumn(
+    ranked = counts.join(bins, same).withColumn(
         "_reached", F.col("_before") + F.sum("_count").over(inside))
     return ranked.groupBy(*by).agg(
         F.max("_n").alias("_n"),

@@ -49,7 +49,7 @@ def detail_from_fills(
         build_demographics(tables["patient"], fills, cfg),
         fills,
         build_surgery(tables["patient_surgery"], tables["chart"], cfg),
-        encounter_features(codes, cfg))
+        encounter_features(codes))
 
 
 def strata_of(detail: DataFrame, cfg: CohortConfig) -> DataFrame:

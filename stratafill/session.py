@@ -10,6 +10,8 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
         SparkSession.builder.master(f"local[{cpus}]").appName("stratafill")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        # small inputs: let every core have a part of a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
     )

@@ -1,4 +1,4 @@
 from stratafill.sources.staging import preview, publish, shared_dir, stage
-from stratafill.sources.tables import SCHEMAS, load, load_all
+from stratafill.sources.tables import SCHEMAS, Tables, load
 
-__all__ = ["SCHEMAS", "load", "load_all", "preview", "publish", "shared_dir", "stage"]
+__all__ = ["SCHEMAS", "Tables", "load", "preview", "publish", "shared_dir", "stage"]

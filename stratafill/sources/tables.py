@@ -44,6 +44,13 @@ def load(spark: SparkSession, root: str | None, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def load_all(spark: SparkSession, root: str | None = None) -> dict[str, DataFrame]:
-    """Every source table of :data:`SCHEMAS`, by name."""
-    return {name: load(spark, root, name) for name in SCHEMAS}
+class Tables(dict):
+    """Tables of one place by name, each opened when first asked for."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        super().__init__()
+        self.spark, self.root = spark, root
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = load(self.spark, self.root, name)
+        return self[name]

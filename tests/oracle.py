@@ -35,7 +35,8 @@ def _rows(columns, rows):
 
 
 SAME = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double",
-        "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
+        "TIMESTAMP": "timestamp_ntz", "DATE": "date",
+        "TINYINT": "tinyint"}
 
 
 def compare(spark, con, name, query, sql, folder):
