@@ -14,6 +14,7 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -16,6 +16,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def connect(folder: str):
     con = duckdb.connect()
+    con.execute("SET max_temp_directory_size = '4GB'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
