@@ -83,12 +83,12 @@ def birth_dates(t: Tables) -> DataFrame:
 
 
 def patient(t: Tables) -> DataFrame:
-    places = t["nation"].join(F.broadcast(t["region"]), c("n_regionkey") == c("r_regionkey"))
+    places = t["nation"].join(t["region"], c("n_regionkey") == c("r_regionkey"))
     segment = c("c_mktsegment")
     return (
         t["customer"]
         .join(birth_dates(t), "c_custkey", "left")
-        .join(F.broadcast(places), c("c_nationkey") == c("n_nationkey"))  # fixed 25 nations
+        .join(places, c("c_nationkey") == c("n_nationkey"))
         .select(
             c("c_nationkey").cast("string").alias("context_id"),
             c("c_custkey").alias("EnterpriseID"),
@@ -146,6 +146,19 @@ def detail(t: Tables, cfg: CohortConfig = CFG) -> DataFrame:
         encounter_features(codes(rows, t, cfg)))
 
 
+def customer_events(t: Tables) -> DataFrame:
+    """Customers and what they did, one row per kind of event, or one without an event.
+
+    The events shrink to one row per user and kind before the outer join, which cannot spread
+    the events of a single user over tasks.
+    """
+    kinds = t["events"].groupBy("user_id", "event_type").agg(
+        F.count(F.lit(1)).alias("n_events"), F.max("value").alias("value"),
+        F.min("props").alias("props"))
+    return t["customer"].join(kinds, c("c_custkey") == c("user_id"), "left").select(
+        "c_custkey", "event_type", "n_events", "value", "props")
+
+
 def order_fills(t: Tables) -> DataFrame:
     """Every line item as a fill of its order's customer."""
     return t["lineitem"].join(

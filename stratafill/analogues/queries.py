@@ -150,33 +150,26 @@ def zip5(t):
         F.nullif(c("c_name"), F.lit("Customer#000000007"))).alias("zip"))
 
 
-_EVENTS = "FROM customer LEFT JOIN events ON c_custkey = user_id"
-
-
-def _customer_events(t):
-    return t["customer"].join(
-        t["events"], c("c_custkey") == c("user_id"), "left")
-
-
-@register(f"""SELECT c_custkey, event_id, coalesce(event_type, 'NA') AS event_type,
-coalesce(value, 0) AS value {_EVENTS}""")
+@register("""SELECT c_custkey, coalesce(event_type, 'NA') AS event_type,
+coalesce(n_events, 0) AS n_events, coalesce(value, 0) AS value FROM customer_events""",
+          "customer_events")
 def null_defaults(t):
-    rows = _customer_events(t).select("c_custkey", "event_id", "event_type", "value")
-    return text.default_null(rows, {"event_type": "NA", "value": 0})
+    rows = on.customer_events(t).drop("props")
+    return text.default_null(rows, {"event_type": "NA", "n_events": 0, "value": 0})
 
 
-@register(f"""SELECT c_custkey, event_id, CASE WHEN event_id IS NULL THEN 'No Event'
-ELSE 'Event' END AS event_flag {_EVENTS}""")
+@register("""SELECT c_custkey, event_type, CASE WHEN n_events IS NULL THEN 'No Event'
+ELSE 'Event' END AS event_flag FROM customer_events""", "customer_events")
 def presence_flag(t):
-    return _customer_events(t).select(
-        "c_custkey", "event_id",
-        text.presence_flag(c("event_id"), "Event", "No Event").alias("event_flag"))
+    return on.customer_events(t).select(
+        "c_custkey", "event_type",
+        text.presence_flag(c("n_events"), "Event", "No Event").alias("event_flag"))
 
 
-@register(f"""SELECT c_custkey, event_id, CASE WHEN nullif(event_type, 'click') IS NULL
-THEN props ELSE event_type END AS what {_EVENTS}""")
+@register("""SELECT c_custkey, event_type, CASE WHEN nullif(event_type, 'click') IS NULL
+THEN props ELSE event_type END AS what FROM customer_events""", "customer_events")
 def first_present(t):
-    return _customer_events(t).select("c_custkey", "event_id", text.first_present(
+    return on.customer_events(t).select("c_custkey", "event_type", text.first_present(
         F.nullif(c("event_type"), F.lit("click")), c("props")).alias("what"))
 
 
@@ -353,6 +346,13 @@ def micro_strata_literal_cuts(t):
     return strata.assign_strata(features.patient_sums(on.detail(t)), cuts)
 
 
+@register(sql.fine_strata_sql(), "sums")
+def micro_strata_fine(t):
+    sums = features.patient_sums(on.detail(t))
+    parts = [c("age_cohort"), *strata.disease_parts(), *strata.pain_parts(strata.PAIN_PART_CUTS)]
+    return strata.assign_strata(sums, {}, parts)
+
+
 @register("""SELECT DISTINCT concat(c_nationkey, ' - ', c_custkey) AS unique_patient,
 sha256(concat('stratafill|', c_nationkey, ' - ', c_custkey)) AS randGUID FROM customer""")
 def random_order_id(t):
@@ -447,6 +447,14 @@ def count_delta(t):
     return quality.reconcile(sequence.raw_gaps(numbered), numbered, "unique_patient")
 
 
+@register("""SELECT count(*) AS freq, count(DISTINCT l_orderkey) AS distinct_mems,
+CAST(count(*) // count(DISTINCT l_orderkey) AS BIGINT) AS rows_per_mem FROM lineitem""")
+def profile_ratio(t):
+    sizes = quality.profile(t["lineitem"], "l_orderkey")
+    return sizes.select("freq", "distinct_mems", quality.ratio(
+        c("freq"), c("distinct_mems")).alias("rows_per_mem"))
+
+
 @register("""SELECT l_orderkey, l_linenumber, count(*) AS freq FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def duplicate_keys(t):
@@ -507,3 +515,15 @@ def attach_left(t):
     return t["orders"].join(
         shipped, ["o_orderkey", "o_orderdate"], "left"
     ).select("o_orderkey", "l_partkey", "l_shipdate")
+
+
+@register("""SELECT concat(c_nationkey, ' - ', c_custkey) AS unique_patient, l_orderkey, l_partkey,
+l_suppkey, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey WHERE year(l_shipdate) > 1998""")
+def claims_after_year(t):
+    return (
+        t["lineitem"].where(dates.after_year(c("l_shipdate"), 1998))
+        .join(t["orders"], c("l_orderkey") == c("o_orderkey"))
+        .join(t["customer"], c("o_custkey") == c("c_custkey"))
+        .select(text.tenant_key(c("c_nationkey"), c("c_custkey")).alias("unique_patient"),
+                "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"))

@@ -58,10 +58,14 @@ def build_fills(tables: Mapping[str, DataFrame], cfg: CohortConfig) -> DataFrame
     fills = (
         records.select("context_id", "documentid", "medicationtype",
                        "prescriptionfillquantity", "numberofrefillsprescribed")
-        .join(tables["document"], ["context_id", "documentid"])
+        .join(tables["document"].select(
+            "context_id", "documentid", "patientid", "ClinicalEncounterID", "ChartID", "FBDMedID"),
+            ["context_id", "documentid"])
         .join(drugs, ["context_id", "FBDMedID"])
-        .join(encounters, ["context_id", "ClinicalEncounterID"])
-        .join(tables["chart"], ["context_id", "ChartID"])
+        .join(encounters.select("context_id", "ClinicalEncounterID", "EncounterDate"),
+              ["context_id", "ClinicalEncounterID"])
+        .join(tables["chart"].select("context_id", "ChartID", "EnterpriseID"),
+              ["context_id", "ChartID"])
     )
     return distinct_fill_records(fills)
 

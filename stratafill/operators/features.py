@@ -79,7 +79,7 @@ def build_surgery(
     """Per patient: surgeries, different surgeries, and how the two compare."""
     procedures = (
         surgery.where(years_between(F.col("surgerydatetime"), *cfg.surgery_years))
-        .join(chart, list(on))
+        .join(chart.select("context_id", "ChartID", "EnterpriseID"), list(on))
         .select(
             tenant_key(F.col("context_id"), F.col("EnterpriseID")).alias("unique_patient"),
             first_present(F.col("Procedure"), F.col("Note")).alias("procedure"))
@@ -130,9 +130,9 @@ def encounter_codes(
         dx_on += [c for c in ("context_id",) if c in dx_icd.columns]
         code_on += [c for c in ("context_id",) if c in dx_icd.columns and c in codes.columns]
     return (
-        encounters.join(diagnosis, list(on))
-        .join(dx_icd, dx_on)
-        .join(codes, code_on)
+        encounters.join(diagnosis.select(*on, "ClinicalEncounterDXID"), list(on))
+        .join(dx_icd.select(*dx_on, "IcdCodeID"), dx_on)
+        .join(codes.select(*code_on, "DiagnosisCode", *RULE_COLUMNS), code_on)
         .select("context_id", "EnterpriseID", "ClinicalEncounterID", "DiagnosisCode",
                 *RULE_COLUMNS)
         .distinct()

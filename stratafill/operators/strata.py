@@ -49,6 +49,53 @@ def stratum_parts(cuts: Mapping[str, object]) -> list[Column]:
     ]
 
 
+# Disease count -> name, and finer count -> (name, cut), of the optional parts.
+DISEASE_PARTS = {
+    "diabetes_visits": "diabetic",
+    "hf_visits": "hf",
+    "ischemic_hd_visits": "ischemic hd",
+    "kidney_disease_visits": "kidney disease",
+    "osteoporosis_visits": "osteo",
+    "copd_visits": "copd",
+    "stroke_visits": "stroke",
+}
+PAIN_PART_CUTS = {
+    "depression_single_episode_visits": ("dep single", 10),
+    "depression_recurrent_visits": ("dep rec", 11),
+    "unspecified_pain_visits": ("unspec pain", 12),
+    "back_pain_visits": ("back pain", 9),
+    "kidney_stone_pain_visits": ("kidney stone pain", 11),
+    "ankle_foot_pain_visits": ("ankle pain", 7),
+    "nec_pain_visits": ("nec pain", 10),
+    "abdomen_pain_visits": ("abd pain", 9),
+    "headache_visits": ("headache", 6),
+    "spine_pain_visits": ("spine pain", 10),
+    "breast_pain_visits": ("breast pain", 6),
+    "chest_pain_visits": ("chest pain", 12),
+    "ear_pain_visits": ("ear pain", 6),
+    "eye_pain_visits": ("eye pain", 6),
+    "joint_pain_visits": ("joint pain", 9),
+    "limb_pain_visits": ("limb pain", 8),
+    "throat_pain_visits": ("throat pain", 9),
+    "tongue_pain_visits": ("tongue pain", 6),
+    "tooth_pain_visits": ("tooth pain", 5),
+    "renal_colic_visits": ("renal colic", 9),
+}
+
+
+def disease_parts() -> list[Column]:
+    """Optional parts: a disease counts from its second visit on; one visit leaves it open."""
+    return [
+        F.when(F.col(n).isNull() | (F.col(n) == 0), F.lit(f"not {name}"))
+        .when(F.col(n) > 1, F.lit(name))
+        for n, name in DISEASE_PARTS.items()]
+
+
+def pain_parts(cuts: Mapping[str, tuple[str, int]]) -> list[Column]:
+    """Optional parts: one bucket per finer count."""
+    return [median_bucket(F.col(n), cut, name) for n, (name, cut) in cuts.items()]
+
+
 def assign_strata(
     sums: DataFrame, cuts: Mapping[str, object], parts: Sequence[Column] | None = None
 ) -> DataFrame:

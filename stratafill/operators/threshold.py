@@ -38,9 +38,11 @@ def strata_threshold(
     ``max_strata`` states a proven bound on the number of strata (labels built from closed lists
     have one, :func:`strata_bound` counts others); the thresholds are broadcast only then.
     """
-    cuts = strata_cuts(cumulative, p, by)
+    cuts = strata_cuts(cumulative, p, by).withColumnRenamed(by, "_stratum")
     if max_strata is not None and max_strata <= MAX_BROADCAST_STRATA:
         cuts = F.broadcast(cuts)
-    return cumulative.join(cuts, by).withColumn(
+    # null-safe, so that no filter splits the two readers of the cumulative rows' shuffle
+    return cumulative.join(cuts, F.col(by).eqNullSafe(F.col("_stratum"))).withColumn(
         "met_exceed_threshold",
-        met_flag(F.col("cumul_prescritionfillqty"), F.col("perct80_prescritionfillqty")))
+        met_flag(F.col("cumul_prescritionfillqty"), F.col("perct80_prescritionfillqty"))
+    ).drop("_stratum")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratafill.config import PAST_CUTS
 from stratafill.operators import cohort, features, quality, strata
+from stratafill.operators.sequence import CLEAR_NAMES
 from stratafill.plans import workflow
 from stratafill.sources import preview, publish
 from tests.fixtures import CFG, source_tables
@@ -157,3 +158,31 @@ def test_random_id_is_repeatable(spark):
     assert ids == [r[0] for r in df.select(strata.random_id(F.col("k"), "s")).collect()]
     assert len(set(ids)) == 2
     assert ids != [r[0] for r in df.select(strata.random_id(F.col("k"), "t")).collect()]
+
+
+def test_tenant_safe_diagnoses(spark, tables, result):
+    """A tenant's own diagnosis rows only, where the table names the tenant."""
+    args = (result.fills, tables["encounter_diagnosis"],
+            tables["encounter_dx_icd10"].withColumn("context_id", F.lit("T2")),
+            tables["icd_code_all"])
+    safe = features.encounter_codes(*args, dataclasses.replace(CFG, tenant_safe=True))
+    assert {r[0] for r in safe.select("context_id").collect()} == {"T2"}
+    assert features.encounter_codes(*args, CFG).count() > safe.count()
+
+
+def test_dots_can_be_ignored(spark):
+    codes = spark.createDataFrame([("M25.51",), ("C55",)], "DiagnosisCode string")
+    out = features.number_rules(codes, dataclasses.replace(CFG, strip_dots=True))
+    assert sorted(map(tuple, out.select("pain_rule", "oncology_rule").collect())) == [
+        (0, 1), (13, 0)]
+
+
+def test_corrected_names(result):
+    clear = result.cumulative.withColumnsRenamed(CLEAR_NAMES).columns
+    assert "perct80_prescriptionfillqty" in clear and "cumul_prescriptionfillqty" in clear
+
+
+def test_open_place_of_a_single_disease_visit(spark):
+    sums = spark.createDataFrame([("p", 0, 1, 2)], "unique_patient string, a int, b int, c int")
+    parts = [F.when(F.col(x) == 0, F.lit("not")).when(F.col(x) > 1, F.lit("has")) for x in "abc"]
+    assert strata.assign_strata(sums, {}, parts).first()["micro_strata"] == "not |  | has"
