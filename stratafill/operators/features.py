@@ -170,20 +170,19 @@ def build_detail(
 ) -> DataFrame:
     """One row per fill record and demographic row of its patient (:data:`DETAIL_COLUMNS`)."""
     people = demographics.join(surgery, "unique_patient", "left")
-    rows = (
+    quantity = F.col("prescriptionfillquantity")
+    return (
         fills.select("unique_patient", *DETAIL_FILL_COLUMNS)
         .join(dx, ["unique_patient", "ClinicalEncounterID"], "left")
         .join(people, "unique_patient")
         .withColumnsRenamed(DETAIL_NAMES)
+        .fillna(0, subset=["numberofrefillsprescribed", *SURGERY_COUNTS, *DETAIL_COUNTS])
+        .fillna("no surgery", subset=[SURGERY_LABEL])
+        # not by fillna, which would turn NaN into 0 too
+        .withColumn("prescriptionfillquantity", F.coalesce(
+            quantity, F.lit(0).cast(fills.schema["prescriptionfillquantity"].dataType)))
+        .select(*DETAIL_COLUMNS)
     )
-    filled = {
-        n: F.coalesce(F.col(n), F.lit(0).cast(rows.schema[n].dataType)).alias(n)
-        for n in ("prescriptionfillquantity", "numberofrefillsprescribed",
-                  *SURGERY_COUNTS, *DETAIL_COUNTS)
-    }
-    filled[SURGERY_LABEL] = F.coalesce(F.col(SURGERY_LABEL), F.lit("no surgery")).alias(
-        SURGERY_LABEL)
-    return rows.select(*[filled.get(n, F.col(n)) for n in DETAIL_COLUMNS])
 
 
 # Sums per patient take these columns; the others of DETAIL_COUNTS keep their own name.

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from stratafill.sources.staging import stage
 
 HOT_ROWS_CONF = "spark.stratafill.hotRows"
-HOT_ROWS = 1_000_000
+HOT_ROWS = 200_000
 MAX_HOT_KEYS = 10_000
 _BLOCK = "_block"
 
