@@ -8,7 +8,7 @@ from stratafill.config import PAST_CUTS
 from stratafill.operators import cohort, features, quality, strata
 from stratafill.operators.sequence import CLEAR_NAMES
 from stratafill.plans import workflow
-from stratafill.sources import preview, publish
+from stratafill.sources import preview, publish, stage
 from tests.fixtures import CFG, source_tables
 
 
@@ -186,3 +186,31 @@ def test_open_place_of_a_single_disease_visit(spark):
     sums = spark.createDataFrame([("p", 0, 1, 2)], "unique_patient string, a int, b int, c int")
     parts = [F.when(F.col(x) == 0, F.lit("not")).when(F.col(x) > 1, F.lit("has")) for x in "abc"]
     assert strata.assign_strata(sums, {}, parts).first()["micro_strata"] == "not |  | has"
+
+
+def test_two_demographic_rows_multiply_the_fills(spark, tables, result):
+    """Same band: fills repeat in the detail but not in the sequence. Other band: refused."""
+    def with_second_row(**changes):
+        second = tables["patient"].where("context_id = 'T1' and EnterpriseID = 1")
+        for name, value in changes.items():
+            second = second.withColumn(name, F.lit(value).cast(second.schema[name].dataType))
+        people = dict(tables, patient=tables["patient"].unionByName(second))
+        return stage(workflow.detail_from_fills(result.fills, people, CFG), "detail")
+
+    moved = with_second_row(City="Elsewhere")
+    own = result.fills.where("unique_patient = 'T1 - 1'").count()
+    assert moved.count() == result.detail.count() + own
+    assert workflow.cumulative_by_stratum(moved, CFG).count() == result.cumulative.count()
+    with pytest.raises(ValueError):
+        workflow.cumulative_by_stratum(with_second_row(DOB="1950-01-01"), CFG)
+
+
+def test_exploration(tables):
+    words = {"MedicationName": ("SUBOXONE", "TRAMADOL")}
+    found = quality.lookup_contains(
+        tables["medication"], words, "MedicationName", "HIC3Description")
+    assert {r[0] for r in found.collect()} == {"Suboxone", "Tramadol"}
+    kinds = quality.distinct_values(tables["patient_medication"], "medicationtype")
+    assert [r[0] for r in kinds.collect()] == ["CLINICALPRESCRIPTION", "HISTORY"]
+    per_band = quality.entities_per_group(tables["chart"], "context_id", "EnterpriseID")
+    assert [tuple(r) for r in per_band.collect()][0] == ("T1", 2)
