@@ -13,6 +13,8 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
         # small inputs: let every core have a part of a shuffle
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", memory)
+        # recording the call site of every Column expression doubles the time to build a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
