@@ -1,4 +1,7 @@
-from stratafill.sources.staging import preview, publish, shared_dir, stage
+from stratafill.sources.staging import (
+    new_path, preview, publish, release, remove, shared_dir, stage,
+)
 from stratafill.sources.tables import SCHEMAS, Tables, load
 
-__all__ = ["SCHEMAS", "Tables", "load", "preview", "publish", "shared_dir", "stage"]
+__all__ = ["SCHEMAS", "Tables", "load", "new_path", "preview", "publish",
+           "release", "remove", "shared_dir", "stage"]
