@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratafill.llm.common import KEY, document_key, same
+from stratafill.llm import langid
+from stratafill.llm.common import KEY, document_key, same, small_batches
+from stratafill.llm.decontaminate import contamination
+from stratafill.llm.linededup import dedup_lines
 from stratafill.llm.minhash import near_duplicates
+from stratafill.llm.packing import pack_documents
 from stratafill.sources.staging import stage
 
+TOKENIZER = "byte_bpe_50k.json"
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is recognised with a calibrated probability of a half."""
+    small_batches(spark)
+    model = langid.train(docs.select("text", "lang"))
+    found = langid.predict(docs, model)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN)
+                       & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out lines that match an earlier line; documents that lose every word go."""
+    small_batches(spark)
+    cleaned = dedup_lines(docs)
+    left = cleaned.where(F.col("_lines") > F.col("_removed"))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
+                           ).select(*docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (of equal rows, any one)."""
+    small_batches(spark)
     keyed = docs.withColumns(document_key(docs))
     kept = near_duplicates(docs).where("keep").select(*KEY)
     nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))
@@ -19,11 +46,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .where("_nth = 1").select(*docs.columns))
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    small_batches(spark)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.withColumns(document_key(docs))
+    hit = contamination(docs, benchmark).where("n_hit > 0").select(*KEY)
+    return keyed.join(hit, same(keyed, hit, KEY), "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document in sequences of at most 2048 tokens."""
+    small_batches(spark)
+    packed = pack_documents(docs, public_tokenizers.path(TOKENIZER), with_ids=False)
+    return packed.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids_crc32",
+                         "sequence_id", "offset")
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", packing),
 ]
 
-#: no SQL: a trained model decides in the first stage, hashes draw candidates in later ones
+#: no SQL: a trained model decides in the first stage, and the last one runs a tokenizer
 ORACLE_SQL = None
 
 

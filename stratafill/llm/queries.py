@@ -5,17 +5,139 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafill.llm.common import table
+from stratafill.llm import chat, knn, langid, sharding, toxicity
+from stratafill.llm.archive import page_of, read_archives, write_archives
+from stratafill.llm.common import small_batches, table
+from stratafill.llm.decontaminate import contamination
+from stratafill.llm.linededup import dedup_lines
 from stratafill.llm.minhash import near_duplicates
+from stratafill.llm.packing import pack_documents
+from stratafill.sources.staging import new_path, stage
+
+SHARDS = 16
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of nearly equal bytes, with its place there."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    records = stage(docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), sharding.text_size(text).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        sharding.place_hash(F.col("doc_id"), text).alias("hash")), "records")
+    records = records.withColumn("slot", sharding.slot_of(F.col("hash")))
+    path = new_path(spark, "slot_map")
+    sharding.save_map(sharding.first_map(sharding.slot_sizes(records), SHARDS), path)
+    sharded = sharding.shard_of(records, sharding.load_map(spark, path))
+    placed = sharding.places(sharded, "hash", ["doc_id", "text_crc32", "size"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("slot").alias("virtual_slot"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in as few sequences of 2048 tokens as best fit finds."""
+    import public_tokenizers
+
+    small_batches(spark)
+    packed = pack_documents(table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packed.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids_crc32",
+                         "sequence_id", "offset")
+
+
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that match an earlier line."""
+    small_batches(spark)
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_lines").alias("n_lines"),
+        F.col("_removed").alias("n_removed"), F.col("_links").alias("n_links"), "text")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)],
+        "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(stage(chat.format_turns(rows.unionByName(more)), "formatted"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every fiftieth vector among all vectors."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, as the archives that were written of all pages give it back."""
+    small_batches(spark, 500)
+    path = new_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    found = read_archives(spark, path)
+    # of a response, length and digest are taken from the payload that was read
+    own = F.col("record_type") == "response"
+    return found.select(
+        page_of("record_id").alias("page_id"),
+        F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("bigint")
+        .alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(
+            F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
+        "record_type", page_of("refers_to").alias("refers_to"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document how much of it is inside windows of benchmark items, and of which."""
+    small_batches(spark)
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("_id").alias("doc_id"), "n_words", "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document; learned from labelled documents that are not held out."""
+    small_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.select("doc_id", "toxic").dropna().where(~langid.held_out())
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    model = toxicity.train(rows.select("text", "toxic"))
+    found = toxicity.severity(docs, model)
+    return found.select(F.col("_id").alias("doc_id"), "grade", "expected_severity",
+                        "toxic_score", "toxic")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its class of equal bags, its near-duplicate group, whether it is kept."""
+    small_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "class_id", "group_id", "copies", "keep")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from those that are not held out."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()).select("text", "lang"))
+    found = langid.predict(docs, model, carry=["doc_id"])
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                        langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 LLM_QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_packing": op2_packing,
+    "op3_linededup": op3_linededup,
+    "op4_chat": op4_chat,
+    "op5_topk": op5_topk,
+    "op6_warc": op6_warc,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
+    "op10_langid": op10_langid,
 }
 LLM_ORACLES: dict[str, str] = {}

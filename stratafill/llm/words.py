@@ -84,6 +84,9 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
+    def owner_at(self, word: int) -> int:
+        return int(np.searchsorted(self.bounds, word, side="right")) - 1
+
     def bytes_of(self, first: int, last: int) -> bytes:
         """Words ``first`` to ``last - 1``, folded, with one space between."""
         return b" ".join(
