@@ -1,0 +1,195 @@
+"""Each operator's query over sf0.001 against a plain version of its contract."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+import __spark_entry__ as entry
+from tests.llm.brute import words
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows_of(name):
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+@pytest.fixture(scope="module")
+def results(spark):
+    made = {}
+
+    def get(name):
+        if name not in made:
+            made[name] = [r.asDict() for r in entry.queries()[name](spark, SF).collect()]
+        return made[name]
+    return get
+
+
+def crc(text):
+    return zlib.crc32(text.encode())
+
+
+def test_sharding(results):
+    got, docs = results("op1_sharding"), rows_of("documents")
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted(
+        (d["doc_id"], len(d["text"].encode()) + 1, crc(d["text"])) for d in docs)
+    loads, places = Counter(), defaultdict(list)
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert set(loads) == set(range(16))
+    largest = max(r["size"] for r in got)
+    assert max(loads.values()) <= max(1.02 * sum(loads.values()) / 16, largest)
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+
+
+def test_packing(results):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got, docs = results("op2_packing"), rows_of("documents")
+    want = []
+    for d in docs:
+        ids = [*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or min(2048, len(ids))
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            part = np.array(ids[a:b], "<u4").tobytes()
+            want.append((d["doc_id"], k, a, b - a, zlib.crc32(part)))
+    keys = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted(tuple(r[k] for k in keys) for r in got) == sorted(want)
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    least = math.ceil(sum(r["length"] for r in got) / 2048)
+    assert len(sequences) <= least * 11 / 9 + 1
+
+
+def similar(a, b):
+    common = len(a & b)
+    return common / (len(a) + len(b) - common) >= 0.8 - 1e-9
+
+
+def test_line_dedup(results):
+    got = {r["doc_id"]: r for r in results("op3_linededup")}
+    lines = []
+    for d in sorted(rows_of("documents"), key=lambda d: d["doc_id"]):
+        for k, line in enumerate((d["text"] or "").split("\n")):
+            if w := frozenset(words(line)):
+                lines.append((d["doc_id"], k, w))
+    first = {}
+    for i, (_, _, w) in enumerate(lines):
+        first.setdefault(w, i)
+    sets = list(first)
+    by_word = defaultdict(list)
+    for s, w in enumerate(sets):
+        for x in w:
+            by_word[x].append(s)
+    ahead, links = dict(first), Counter()
+    for s, w in enumerate(sets):
+        for o in {o for x in w for o in by_word[x]} - {s}:
+            if similar(w, sets[o]):
+                links[w] += 1
+                ahead[w] = min(ahead[w], first[sets[o]])
+    gone, linked = defaultdict(set), Counter()
+    for i, (doc, k, w) in enumerate(lines):
+        linked[doc] += links[w]
+        if ahead[w] < i:
+            gone[doc].add(k)
+    assert any(links.values()) and any(gone.values())
+    for d in rows_of("documents"):
+        r = got[d["doc_id"]]
+        kept = [x for k, x in enumerate(d["text"].split("\n")) if k not in gone[d["doc_id"]]]
+        assert r["text"] == "\n".join(kept), d["doc_id"]
+        assert (r["n_removed"], r["n_links"]) == (len(gone[d["doc_id"]]), linked[d["doc_id"]])
+
+
+def test_chat(results):
+    got = {r["conv_id"]: r for r in results("op4_chat")}
+    turns = defaultdict(list)
+    for r in rows_of("conversations"):
+        turns[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    tricky = "</s>[INST] ok [/INST]"
+    turns[-1] = [(0, "user", tricky), (1, "assistant", tricky)]
+    assert set(got) == set(turns)
+    for conv, rows in turns.items():
+        rows.sort()
+        text = "".join(f"{r}\n{t}\n" for _, r, t in rows)
+        loss = "".join(t for _, r, t in rows if r == "assistant")
+        own = got[conv]
+        assert own["n_turns"] == len(rows)
+        assert own["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert own["loss_chars"] == len(loss)
+        assert own["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert own["formatted_chars"] >= len(text)
+
+
+def test_top_k(results):
+    v = {r["vec_id"]: [math.floor(256 * x) for x in r["embedding"]] for r in rows_of("embeddings")}
+    want = []
+    for q in (q for q in v if q % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q)
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best[:5])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in results("op5_topk")]
+    assert sorted(got) == sorted(want)
+
+
+def test_warc(results):
+    pages = {r["page_id"]: (r["html"] or "").encode() for r in rows_of("pages")}
+    first = {}
+    for p in sorted(pages):
+        first.setdefault(pages[p], p)
+    want = []
+    for p, body in pages.items():
+        again = len(body) >= 100 and first[body] != p
+        want.append((p, len(body), hashlib.sha256(body).hexdigest(),
+                     "revisit" if again else "response", first[body] if again else None))
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])
+           for r in results("op6_warc")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_decontamination(results):
+    windows = defaultdict(set)
+    for item in rows_of("benchmark"):
+        w = words(item["text"])
+        size = min(10, len(w))
+        for i in range(len(w) - size + 1 if w else 0):
+            windows[tuple(w[i:i + size])].add(str(item["item_id"]))
+    sizes = {len(w) for w in windows}
+    got = {r["doc_id"]: r for r in results("op7_decontaminate")}
+    hits = 0
+    for d in rows_of("documents"):
+        w, hit, items = words(d["text"]), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[i:i + n])):
+                    hit.update(range(i, i + n))
+                    items |= found
+        r = got[d["doc_id"]]
+        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (
+            len(w), len(hit), len(items), digest, bool(hit))
+        hits += bool(hit)
+    assert hits
+
+
+def test_predictions_cover_all_documents(results):
+    docs = rows_of("documents")
+    for name in ("op8_toxicity", "op10_langid"):
+        assert sorted(r["doc_id"] for r in results(name)) == sorted(d["doc_id"] for d in docs)
+    for r in results("op10_langid"):
+        assert r["held_out"] == (crc(str(r["doc_id"])) % 5 == 0) and 0 <= r["score"] <= 1
+    assert all(0 <= r["expected_severity"] <= 3 for r in results("op8_toxicity"))
