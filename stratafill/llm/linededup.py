@@ -13,7 +13,7 @@ parity bits differ in no more places than words may differ. Exact overlap decide
 
 Rarity comes from a count of every word of the corpus in a table of fixed size. Words that share
 an entry only share a rank, so the order is the same everywhere and results do not depend on it;
-a word whose entry counts a single line cannot be shared and is not looked up.
+a word whose entry counts a single occurrence cannot be shared and is not looked up.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key, same
-from stratafill.llm.words import Words, buffers, lists, mix, per_piece
+from stratafill.llm.words import Words, buffers, lists, mix, per_piece, words_of
 from stratafill.sources.staging import release, stage
 
 SIMILARITY = 0.8
@@ -72,12 +72,10 @@ def _slot(words: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches):
-    """Lines per slot of the table, summed over the partition."""
+    """Words per slot of the table, summed over the partition."""
     counts = np.zeros(RARITY_SLOTS, np.int64)
     for batch in per_piece(lambda piece: piece)(batches):
-        slots = _slot(Lines(batch.column("text")).words)
-        some, n = np.unique(slots, return_counts=True)
-        counts[some] += n
+        counts += np.bincount(_slot(words_of(batch.column("text")).hashes), minlength=RARITY_SLOTS)
     some = np.flatnonzero(counts)
     for i in range(0, len(some), 1 << 16):
         part = some[i:i + (1 << 16)]
@@ -86,7 +84,7 @@ def _count_words(batches):
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """How many lines hold a word of each slot, over all of ``docs`` (column text)."""
+    """How often the words of each slot occur in all of ``docs`` (column text)."""
     found = docs.select("text").mapInArrow(_count_words, "slot int, n bigint")
     rows = found.groupBy("slot").agg(
         F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
@@ -120,7 +118,9 @@ def _profile(counts, threshold: float):
         place = np.arange(len(words)) - np.repeat(lines.bounds[:-1], sizes)
         prefix = (sizes - _ceil(threshold * sizes) + 1)[owner]
         use = (place < prefix) & (held[order] > 1)
-        mine, kept, at = owner[use], words[order][use], place[use].astype(np.int32)
+        # half a hash finds the candidates: exact overlap is counted with whole ones
+        mine, kept = owner[use], (words[order][use] >> np.uint64(32)).astype("<u4")
+        at = place[use].astype("<u4")
         cut = np.searchsorted(mine, np.arange(len(lines) + 1))
         packed = [pa.array([a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
                            pa.binary()) for a in (kept, at)]
@@ -138,9 +138,9 @@ def _unpack(batches):
     """A row per looked-up word of a class."""
     for batch in batches:
         raw_w, raw_p = batch.column("words"), batch.column("places")
-        count = np.array([len(x) // 8 for x in raw_w.to_pylist()], np.int64)
+        count = np.array([len(x) // 4 for x in raw_w.to_pylist()], np.int64)
         take = pa.array(np.repeat(np.arange(batch.num_rows), count))
-        words = np.frombuffer(b"".join(raw_w.to_pylist()), np.int64)
+        words = np.frombuffer(b"".join(raw_w.to_pylist()), np.int32)
         places = np.frombuffer(b"".join(raw_p.to_pylist()), np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch.column(c).take(take) for c in ("cid", "n", "bits")]
@@ -168,7 +168,7 @@ def _word_sets(batches):
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of classes that the prefix, length, position and parity filters leave."""
     looked = classes.select("cid", "n", "bits", "words", "places").mapInArrow(
-        _unpack, "cid bigint, n int, bits bigint, word bigint, place int")
+        _unpack, "cid bigint, n int, bits bigint, word int, place int")
     # sizes within a factor 1/t fall into one band or two that are next to each other
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold))).cast("int")
     overlap = F.lit(2 * threshold / (1 + threshold))

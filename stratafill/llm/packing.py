@@ -10,6 +10,7 @@ then takes its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 
@@ -38,6 +39,7 @@ class TokenBytes:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -164,8 +164,8 @@ def train(rows: DataFrame) -> Model | None:
     order = F.xxhash64("text")
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE_PER_CLASS / texts[1]))).otherwise(
         F.lit(min(1.0, SAMPLE_PER_CLASS / texts[0])))
-    drawn = rows.distinct().withColumn("order", order).where(
-        F.pmod("order", F.lit(1 << 20)) < share * (1 << 20))
+    drawn = rows.withColumn("order", order).where(
+        F.pmod("order", F.lit(1 << 20)) < share * (1 << 20)).distinct()
     sample = stage(drawn.mapInArrow(
         _marks(marked), "text string, toxic int, order bigint, marks bigint"), "toxic_sample")
     cuts = [i / (GRADES - 1) for i in range(1, GRADES - 1)]
