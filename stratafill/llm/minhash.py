@@ -10,16 +10,18 @@ the weighted Jaccard similarity as probability. Points later than the last compo
 made: a time limit is set from the bag's weight and raised for the few texts that need it.
 
 Bands of components give candidates, and exact bag overlap decides. Texts with one bag are one
-class, and only classes are compared. Inside a bucket, members are first compared with its least
-class; buckets that then still hold several components are compared across components. So all
-pairs of a large group are not made, and two similar classes of a bucket end in one component.
+class, and only classes are compared. Inside a bucket, members are first compared with a few
+heads, the classes that meet most others in buckets, which are the middle of a group of copies.
+What is then still apart in a bucket is settled by an exact set-similarity join: bags are ordered
+by rarity, and two of them are compared only if a rare element is early enough in both. So the
+pairs of a large group are not made, and similar classes of a bucket end in one component.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key, same
@@ -29,6 +31,7 @@ from stratafill.sources.staging import release, stage
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+HEADS = 3
 BANDS, ROWS = 32, 5  # misses a pair of similarity 0.8 with probability (1 - 0.8**5)**32 = 3e-6
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1 << 12, dtype=np.uint64) * _GOLDEN
@@ -156,6 +159,58 @@ def similar_pairs(
     return linked
 
 
+def _apart(
+    shared: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame,
+    threshold: float, size: int,
+) -> DataFrame:
+    """Candidate pairs (a, b) across components that meet in a bucket of ``shared``.
+
+    Of two such classes, one is not in the largest component of the bucket. Those are looked up
+    among all classes of such buckets: two bags reach the threshold only if a shared element has
+    few rarer ones before it in both.
+    """
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    own = parts.join(sizes, "component").withColumnRenamed("node", "cid")
+    member = shared.select("band", "hash", "cid").join(own, "cid", "left").select(
+        "band", "hash", "cid", F.coalesce("component", "cid").alias("component"),
+        F.coalesce("size", F.lit(1)).alias("size"))
+    rank = F.struct("size", "component")
+    tops = member.groupBy("band", "hash").agg(
+        F.max(rank).alias("top"), F.min(rank).alias("low")).where("top != low")
+    apart = member.join(tops.select("band", "hash", "top"), ["band", "hash"])
+    asked = stage(apart.groupBy("cid", "component", "size").agg(
+        F.max(F.col("component") != F.col("top.component")).alias("asks")), "apart")
+
+    texts = classes.select("cid", *KEY).join(asked, "cid")
+    found = docs.join(texts, same(docs, texts, KEY)).select("cid", "text")
+    bags_ = found.mapInArrow(_sets(size), "cid bigint, bag array<bigint>").dropDuplicates(["cid"])
+    held = stage(bags_, "open_bags")
+    elements = held.select("cid", F.size("bag").alias("n"), F.explode("bag").alias("element"))
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # of an element that no other bag has, only the number before the shared ones matters
+    listed = elements.join(often, "element").select("cid", "n", "element", "often")
+    order = Window.partitionBy("cid").orderBy("often", "element")
+    shared_ones = F.count(F.lit(1)).over(Window.partitionBy("cid"))
+    placed = listed.withColumn(
+        "place", F.col("n") - shared_ones + F.row_number().over(order) - 1)
+    placed = stage(placed.where(
+        F.col("place") < F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+        .select("cid", "n", "element", "place").join(asked, "cid"), "open_prefixes")
+    x = placed.where("asks").select("element", *[
+        F.col(c).alias(f"x_{c}") for c in ("cid", "n", "place", "size", "component")])
+    y = placed.select("element", *[
+        F.col(c).alias(f"y_{c}") for c in ("cid", "n", "place", "size", "component")])
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * (threshold / (1 + threshold)) - 1e-9)
+    room = 1 + F.least(F.col("x_n") - F.col("x_place") - 1, F.col("y_n") - F.col("y_place") - 1)
+    pairs = x.join(y, "element").where(
+        (F.struct("x_size", "x_component") < F.struct("y_size", "y_component")) & (room >= need)
+        & (F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n") - 1e-9))
+    found = stage(pairs.select(F.greatest("x_cid", "y_cid").alias("a"),
+                               F.least("x_cid", "y_cid").alias("b")).distinct(), "apart_pairs")
+    release(asked, held, placed)
+    return found
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     threshold: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS,
@@ -181,37 +236,29 @@ def near_duplicates(
                 F.monotonically_increasing_id().alias("cid")), "classes")
 
     buckets = classes.select("cid", "n", F.posexplode("bands").alias("band", "hash"))
-    heads = (buckets.groupBy("band", "hash")
-             .agg(F.min(F.struct("cid", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
-             .where("members > 1").select("band", "hash", "head"))
-    shared = stage(buckets.join(heads, ["band", "hash"]), "buckets")
+    bucket = ["band", "hash"]
+    several = buckets.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stage(buckets.join(several, bucket), "buckets")
+    met = shared.groupBy("cid").agg(F.sum(F.col("members") - 1).alias("met"))
+    heads = (shared.join(met, "cid")
+             .groupBy(*bucket, F.pmod(F.xxhash64("cid"), F.lit(HEADS)).alias("part"))
+             .agg(F.max(F.struct("met", "cid", "n")).alias("head")))
     near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
     tried = stage(
-        shared.select(F.col("cid").alias("a"), "n", F.col("head.cid").alias("b"),
-                      F.col("head.n").alias("m"))
-        .where((F.col("a") != F.col("b")) & near).select("a", "b").distinct(), "tried")
+        shared.join(heads, bucket).select(
+            "cid", "n", F.col("head.cid").alias("other"), F.col("head.n").alias("m"))
+        .where((F.col("cid") != F.col("other")) & near)
+        .select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b"))
+        .distinct(), "tried")
     links = similar_pairs(tried, classes, docs, threshold, shingle_words)
     parts = stage(connected_components(links.select("a", "b")), "parts")
 
-    # pairs across what is still apart in a bucket
-    member = shared.select("band", "hash", "cid", "n").join(
-        parts.withColumnRenamed("node", "cid"), "cid", "left")
-    member = member.withColumn("component", F.coalesce("component", "cid"))
-    split = member.groupBy("band", "hash").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    open_ = stage(member.join(split.select("band", "hash"), ["band", "hash"]), "open")
-    left = open_.select("band", "hash", F.col("cid").alias("a"), "n", F.col("component").alias("p"))
-    right = open_.select("band", "hash", F.col("cid").alias("b"), F.col("n").alias("m"),
-                         F.col("component").alias("q"))
-    across = stage(
-        left.join(right, ["band", "hash"]).where((F.col("p") != F.col("q")) & (F.col("b") < F.col("a")) & near)
-        .select("a", "b").distinct()
-        .join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")),
-              ["a", "b"], "left_anti"), "across")
-    more = similar_pairs(across, classes, docs, threshold, shingle_words)
+    rest = _apart(shared, parts, classes, docs, threshold, shingle_words)
+    more = similar_pairs(
+        rest.join(tried, ["a", "b"], "left_anti"), classes, docs, threshold, shingle_words)
     groups = stage(connected_components(
         links.select("a", "b").unionByName(more.select("a", "b"))), "groups")
-    release(shared, tried, links, parts, open_, across, more)
+    release(shared, tried, links, parts, rest, more)
 
     named = classes.select("cid", "n", "h1", "h2", "copies", *KEY).join(
         groups.withColumnRenamed("node", "cid"), "cid", "left")
