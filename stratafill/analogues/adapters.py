@@ -31,6 +31,7 @@ CFG = CohortConfig(
         "MedicationName": ("anvil", "widget", "red b", "cold r", "new g"),
     },
     surgery_years=(2023, 2024),
+    id_seed="example",
 )
 
 
@@ -147,16 +148,17 @@ def detail(t: Tables, cfg: CohortConfig = CFG) -> DataFrame:
 
 
 def customer_events(t: Tables) -> DataFrame:
-    """Customers and what they did, one row per kind of event, or one without an event.
+    """Customers and what they did: a row per event, or one for a customer without an event.
 
-    The events shrink to one row per user and kind before the outer join, which cannot spread
-    the events of a single user over tasks.
+    An inner join, which can spread the events of one user over tasks, and the customers that an
+    anti-join leaves.
     """
-    kinds = t["events"].groupBy("user_id", "event_type").agg(
-        F.count(F.lit(1)).alias("n_events"), F.max("value").alias("value"),
-        F.min("props").alias("props"))
-    return t["customer"].join(kinds, c("c_custkey") == c("user_id"), "left").select(
-        "c_custkey", "event_type", "n_events", "value", "props")
+    events = t["events"].select("event_id", "user_id", "event_type", "value", "props")
+    people = t["customer"].select("c_custkey")
+    same = c("c_custkey") == c("user_id")
+    idle = people.join(events.select("user_id").distinct(), same, "left_anti")
+    return people.join(events, same).drop("user_id").unionByName(
+        idle, allowMissingColumns=True)
 
 
 def order_fills(t: Tables) -> DataFrame:

@@ -151,25 +151,25 @@ def zip5(t):
 
 
 @register("""SELECT c_custkey, coalesce(event_type, 'NA') AS event_type,
-coalesce(n_events, 0) AS n_events, coalesce(value, 0) AS value FROM customer_events""",
+coalesce(event_id, 0) AS event_id, coalesce(value, 0) AS value FROM customer_events""",
           "customer_events")
 def null_defaults(t):
     rows = on.customer_events(t).drop("props")
-    return text.default_null(rows, {"event_type": "NA", "n_events": 0, "value": 0})
+    return text.default_null(rows, {"event_type": "NA", "event_id": 0, "value": 0})
 
 
-@register("""SELECT c_custkey, event_type, CASE WHEN n_events IS NULL THEN 'No Event'
+@register("""SELECT c_custkey, event_id, CASE WHEN event_type IS NULL THEN 'No Event'
 ELSE 'Event' END AS event_flag FROM customer_events""", "customer_events")
 def presence_flag(t):
     return on.customer_events(t).select(
-        "c_custkey", "event_type",
-        text.presence_flag(c("n_events"), "Event", "No Event").alias("event_flag"))
+        "c_custkey", "event_id",
+        text.presence_flag(c("event_type"), "Event", "No Event").alias("event_flag"))
 
 
-@register("""SELECT c_custkey, event_type, CASE WHEN nullif(event_type, 'click') IS NULL
+@register("""SELECT c_custkey, event_id, CASE WHEN nullif(event_type, 'click') IS NULL
 THEN props ELSE event_type END AS what FROM customer_events""", "customer_events")
 def first_present(t):
-    return on.customer_events(t).select("c_custkey", "event_type", text.first_present(
+    return on.customer_events(t).select("c_custkey", "event_id", text.first_present(
         F.nullif(c("event_type"), F.lit("click")), c("props")).alias("what"))
 
 
@@ -354,7 +354,7 @@ def micro_strata_fine(t):
 
 
 @register("""SELECT DISTINCT concat(c_nationkey, ' - ', c_custkey) AS unique_patient,
-sha256(concat('stratafill|', c_nationkey, ' - ', c_custkey)) AS randGUID FROM customer""")
+sha256(concat('example|', c_nationkey, ' - ', c_custkey)) AS randGUID FROM customer""")
 def random_order_id(t):
     keys = t["customer"].select(
         text.tenant_key(c("c_nationkey"), c("c_custkey")).alias("unique_patient")).distinct()
@@ -388,10 +388,8 @@ def fill_cumulative(t):
 
 @register("SELECT * FROM thr", "thr")
 def strata_threshold(t):
-    segments = on.segments(t)
-    cumulative = sequence.fill_cumulative(_order_fills(t), segments).drop("tiebreaker")
-    return threshold.strata_threshold(
-        cumulative, max_strata=threshold.strata_bound(segments))
+    cumulative = sequence.fill_cumulative(_order_fills(t), on.segments(t)).drop("tiebreaker")
+    return threshold.strata_threshold(stage(cumulative, "cumulative"))
 
 
 @register(f"""SELECT {', '.join('s.' + x for x in _SEQ.split(', '))}, s.rowid_encounter,
@@ -400,7 +398,7 @@ JOIN gaps g ON s.unique_patient = g.unique_patient AND s.rowid_encounter = g.row
           "seq", "gaps")
 def fill_gaps(t):
     numbered = sequence.fill_sequence(_order_fills(t)).drop("tiebreaker")
-    return sequence.fill_gaps(stage(numbered, "numbered"))
+    return sequence.fill_gaps(numbered)
 
 
 @register("SELECT * FROM gaps", "gaps")
@@ -409,7 +407,9 @@ def gap_reference_form(t):
     return sequence.gap_reference_form(numbered)
 
 
-@register("SELECT * FROM gaps_last", "gaps_last")
+@register("""SELECT * EXCLUDE (top) FROM (
+SELECT *, max(rowid_encounter) OVER (PARTITION BY unique_patient) AS top FROM seq)
+WHERE rowid_encounter = top""", "seq")
 def last_fill_anti(t):
     numbered = stage(sequence.fill_sequence(_order_fills(t)), "numbered")
     return sequence.last_fills(numbered, sequence.raw_gaps(numbered))
@@ -455,6 +455,17 @@ def profile_ratio(t):
         c("freq"), c("distinct_mems")).alias("rows_per_mem"))
 
 
+@register("""SELECT new_ct, old_ct, new_ct - old_ct AS ct_delta, new_mems, old_mems,
+new_mems - old_mems AS mem_delta, CAST(new_ct // new_mems AS BIGINT) AS new_ratio,
+CAST(old_ct // old_mems AS BIGINT) AS old_ratio
+FROM (SELECT count(*) AS new_ct, count(DISTINCT unique_patient) AS new_mems FROM seq),
+  (SELECT count(*) AS old_ct, count(DISTINCT unique_patient) AS old_mems FROM order_fills)""",
+          "seq", "order_fills")
+def count_delta_ratio(t):
+    rows = stage(on.order_fills(t), "order_rows")
+    return quality.reconcile_ratio(sequence.distinct_fills(rows), rows, "unique_patient")
+
+
 @register("""SELECT l_orderkey, l_linenumber, count(*) AS freq FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def duplicate_keys(t):
@@ -475,7 +486,7 @@ SELECT unique_patient FROM (SELECT DISTINCT unique_patient, EncounterDate, Clini
                             FROM order_fills)
 GROUP BY unique_patient, EncounterDate HAVING count(*) > 1)""", "order_fills")
 def multi_encounter_days(t):
-    return quality.multi_encounter_days(on.order_fills(t))
+    return quality.multi_encounter_days(stage(on.order_fills(t), "order_rows"))
 
 
 @register("""SELECT micro_strata, count(DISTINCT unique_patient) AS mem_count FROM strata
@@ -490,7 +501,10 @@ lag_filldate, current_filldate, filldatediff, cumul_filldatediff FROM seq s
 JOIN gaps g ON s.unique_patient = g.unique_patient AND s.rowid_encounter = g.rowid_encounter
 WHERE s.unique_patient = '42' ORDER BY s.rowid_encounter""", "seq", "gaps")
 def trace_entity(t):
-    return quality.trace(fill_gaps(t), "unique_patient", "42", "rowid_encounter")
+    # the numbers of a patient's fills depend on no other patient
+    own = sequence.distinct_fills(on.order_fills(t).where(c("unique_patient") == "42"))
+    numbered = stage(sequence.fill_sequence(own).drop("tiebreaker"), "numbered")
+    return quality.trace(sequence.fill_gaps(numbered), "unique_patient", "42", "rowid_encounter")
 
 
 # --- joins that the steps above do not need ------------------------------------------------

@@ -14,7 +14,8 @@ class CohortConfig:
 
     ``tenants`` None means all tenants. ``cuts`` None means the medians of the data.
     ``feature_mode`` "reference" sums encounter counts once per fill of the encounter,
-    "dedup" once per encounter. ``collation`` applies to the drug class and name lists.
+    "dedup" once per encounter. ``collation`` applies to the lists of tenants, record types, code
+    sets, drug classes and drug names. ``id_seed`` None draws the random ids anew on each run.
     """
 
     tenants: Sequence[str] | None = None
@@ -28,7 +29,7 @@ class CohortConfig:
     strip_dots: bool = False
     tenant_safe: bool = False
     drop_incomplete: bool = False
-    id_seed: str = "stratafill"
+    id_seed: str | None = None
     age_bands: Sequence[tuple] = AGE_BANDS
 
     # Record types, code set, drug classes and drug names.

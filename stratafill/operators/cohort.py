@@ -31,11 +31,11 @@ def live_prescriptions(medication_records: DataFrame, cfg: CohortConfig) -> Data
     """Records that are not deleted, of the wanted types and tenants, with a quantity."""
     keep = (
         F.col("DeletedDatetime").isNull()
-        & in_list(F.col("medicationtype"), cfg.medication_types)
+        & in_list(F.col("medicationtype"), cfg.medication_types, cfg.collation)
         & F.col("prescriptionfillquantity").isNotNull()
     )
     if cfg.tenants is not None:
-        keep &= in_list(F.col("context_id").cast("string"), cfg.tenants)
+        keep &= in_list(F.col("context_id").cast("string"), cfg.tenants, cfg.collation)
     return medication_records.where(keep)
 
 

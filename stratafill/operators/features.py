@@ -124,7 +124,7 @@ def encounter_codes(
     """
     encounters = fills.select("context_id", "EnterpriseID", "ClinicalEncounterID").distinct()
     codes = number_rules(
-        icd_codes.where(in_list(F.col("DiagnosisCodeSet"), cfg.code_sets)), cfg)
+        icd_codes.where(in_list(F.col("DiagnosisCodeSet"), cfg.code_sets, cfg.collation)), cfg)
     dx_on, code_on = ["ClinicalEncounterDXID"], ["IcdCodeID"]
     if cfg.tenant_safe:
         dx_on += [c for c in ("context_id",) if c in dx_icd.columns]

@@ -39,8 +39,15 @@ def reconcile(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """Whole-number quotient of two counts; NULL for a zero divisor."""
-    return F.when(b != 0, F.floor(a / b)).cast("bigint")
+    """Whole-number quotient of two whole numbers, cut towards zero; NULL for a zero divisor."""
+    return F.when(b != 0, F.call_function("div", a, b)).cast("bigint")
+
+
+def reconcile_ratio(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """:func:`reconcile`, and the rows per entity on both sides."""
+    return reconcile(new, old, key).withColumns({
+        "new_ratio": ratio(F.col("new_ct"), F.col("new_mems")),
+        "old_ratio": ratio(F.col("old_ct"), F.col("old_mems"))})
 
 
 def freq(df: DataFrame, *cols: str) -> DataFrame:

@@ -7,6 +7,7 @@ locate the bins that hold the wanted ranks, and only the values of those bins ar
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 from functools import reduce
 from operator import and_
 
@@ -14,13 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS_PER_DOUBLING = 64
+_LEAST = 1100  # no double's exponent is below -1100
 
 
 def _bin(value: Column) -> Column:
-    """Coarse order-preserving bin: 64 per doubling of the magnitude, so a few thousand in all."""
+    """Coarse order-preserving bin: 64 per doubling of the magnitude, infinities and NaN apart.
+
+    All doubles have some 270,000 bins between them, however near to 0 they are.
+    """
     v = value.cast("double")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * (BINS_PER_DOUBLING / 0.6931471805599453))
-            ).cast("int")
+    size = F.floor((F.log2(F.abs(v)) + _LEAST) * BINS_PER_DOUBLING).cast("int") + 1
+    top = 4 * _LEAST * BINS_PER_DOUBLING
+    return (F.when(F.isnan(v), F.lit(top + 1)).when(v == float("inf"), F.lit(top))
+            .when(v == float("-inf"), F.lit(-top)).when(v == 0, F.lit(0))
+            .when(v > 0, size).otherwise(-size))
 
 
 def _values_at(
@@ -59,15 +67,23 @@ def _values_at(
 
 
 def quantile_cont(
-    df: DataFrame, by: Sequence[str], value: str, p: float, out: str, size: str
+    df: DataFrame, by: Sequence[str], value: str, p: float | str, out: str, size: str
 ) -> DataFrame:
-    """Per group: the interpolated ``p`` quantile (6 decimals) and the number of values."""
-    spot = (F.col("_n") - 1) * F.lit(float(p))
+    """Per group: the interpolated ``p`` quantile, not rounded, and the number of values.
+
+    The rank (n - 1) p is taken exactly, ``p`` being the decimal that it is written as.
+    """
+    share = Fraction(str(p))
+    spot = (F.col("_n") - 1) * share.numerator
+    part = F.pmod(spot, F.lit(share.denominator))
+    whole = F.call_function("div", spot, F.lit(share.denominator))
     low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
-    return _values_at(df, by, value, F.floor(spot), F.ceil(spot)).select(
+    return _values_at(
+        df, by, value, whole, whole + F.when(part > 0, 1).otherwise(0)).select(
         *by,
         F.col("_n").alias(size),
-        F.round(low + (high - low) * (spot - F.floor(spot)), 6).alias(out))
+        F.when((part == 0) | (low == high), low)
+        .otherwise(low + (high - low) * (part / share.denominator)).alias(out))
 
 
 def upper_median(df: DataFrame, by: Sequence[str], value: str, out: str = "cut") -> DataFrame:

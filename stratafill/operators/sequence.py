@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafill.functions.dates import after_year, days_between
 from stratafill.functions.text import fill_tiebreaker
 from stratafill.operators.ordered import ordered_scan
+from stratafill.sources.staging import stage
 
 KEY = "unique_patient"
 FILL_KEYS = (KEY, "EncounterDate", "ndc", "prescriptionfillquantity")
@@ -33,17 +32,15 @@ def distinct_fills(detail: DataFrame, after: int | None = None) -> DataFrame:
         "tiebreaker", fill_tiebreaker(*[F.col(c) for c in FILL_KEYS[1:]]))
 
 
-def fill_sequence(fills: DataFrame, hot: Sequence | None = None) -> DataFrame:
+def fill_sequence(fills: DataFrame) -> DataFrame:
     """Number each patient's distinct fills from 1 (``rowid_encounter``)."""
-    return ordered_scan(fills, KEY, FILL_ORDER, number="rowid_encounter", hot=hot)
+    return ordered_scan(fills, KEY, FILL_ORDER, number="rowid_encounter")
 
 
-def fill_cumulative(
-    fills: DataFrame, strata: DataFrame | None = None, hot: Sequence | None = None
-) -> DataFrame:
+def fill_cumulative(fills: DataFrame, strata: DataFrame | None = None) -> DataFrame:
     """Number the fills and accumulate the quantity; ``strata`` adds the patient's stratum."""
     return ordered_scan(
-        fills, KEY, FILL_ORDER, number="rowid_encounter", sums=_RUNNING, per_key=strata, hot=hot)
+        fills, KEY, FILL_ORDER, number="rowid_encounter", sums=_RUNNING, per_key=strata)
 
 
 def _gaps(scanned: DataFrame) -> DataFrame:
@@ -60,21 +57,19 @@ def _gaps(scanned: DataFrame) -> DataFrame:
     }).drop("_next", "_first")
 
 
-def fill_gaps(sequence: DataFrame, hot: Sequence | None = None) -> DataFrame:
+def fill_gaps(sequence: DataFrame) -> DataFrame:
     """Append :data:`GAP_COLUMNS` to numbered fills."""
     return _gaps(ordered_scan(
         sequence, KEY, ["rowid_encounter"],
-        nexts={"_next": "EncounterDate"}, firsts={"_first": "EncounterDate"}, hot=hot))
+        nexts={"_next": "EncounterDate"}, firsts={"_first": "EncounterDate"}))
 
 
-def fill_timeline(
-    fills: DataFrame, strata: DataFrame | None = None, hot: Sequence | None = None
-) -> DataFrame:
+def fill_timeline(fills: DataFrame, strata: DataFrame | None = None) -> DataFrame:
     """:func:`fill_cumulative` and :func:`fill_gaps` in one pass over the same windows."""
     return _gaps(ordered_scan(
         fills, KEY, FILL_ORDER, number="rowid_encounter", sums=_RUNNING,
         nexts={"_next": "EncounterDate"}, firsts={"_first": "EncounterDate"},
-        per_key=strata, hot=hot))
+        per_key=strata))
 
 
 # --- the same gaps by self-join, for comparison --------------------------------------------
@@ -97,13 +92,13 @@ def last_fills(sequence: DataFrame, gaps: DataFrame) -> DataFrame:
     return sequence.join(gaps, [KEY, "rowid_encounter"], "left_anti")
 
 
-def gap_reference_form(sequence: DataFrame, hot: Sequence | None = None) -> DataFrame:
+def gap_reference_form(sequence: DataFrame) -> DataFrame:
     """Self-join, anti-join, union and running sum; equals :func:`fill_gaps`."""
-    gaps = raw_gaps(sequence)
+    gaps = stage(raw_gaps(sequence), "raw_gaps")
     last = last_fills(sequence, gaps).select(
         KEY, F.col("EncounterDate").alias("lag_filldate"),
         F.col("EncounterDate").alias("current_filldate"),
         F.lit(0).cast("bigint").alias("filldatediff"), "rowid_encounter")
     return ordered_scan(
         gaps.unionByName(last), KEY, ["rowid_encounter"],
-        sums={"cumul_filldatediff": "filldatediff"}, hot=hot)
+        sums={"cumul_filldatediff": "filldatediff"})

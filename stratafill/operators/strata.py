@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafill.functions.buckets import (
-    AGE_BANDS, chronic_bucket, median_bucket, micro_stratum, surgery_bucket)
+    chronic_bucket, median_bucket, micro_stratum, surgery_bucket)
 from stratafill.operators.features import DISEASE_COUNTS
 from stratafill.operators.quantiles import upper_median
 
@@ -21,12 +22,6 @@ CUT_FEATURES = {
 }
 
 
-def max_strata(bands: Sequence = AGE_BANDS) -> int:
-    """Number of labels there can be: age bands and the rest, 4 disease outcomes (one of them
-    empty), surgery or not, 3 buckets per feature."""
-    return (len(bands) + 1) * 4 * 2 * 3 ** len(CUT_FEATURES)
-
-
 def feature_medians(totals: DataFrame, columns: Sequence[str] = tuple(CUT_FEATURES)) -> DataFrame:
     """(feature, cut): the upper median of each column's positive values, in one pass."""
     long = totals.unpivot([], list(columns), "feature", "value").where(F.col("value") > 0)
@@ -114,6 +109,11 @@ def check_one_stratum(strata: DataFrame) -> None:
         raise ValueError("a patient has several strata; keep one demographic row per patient")
 
 
-def random_id(key: Column, seed: str) -> Column:
-    """An id in random order over the keys that is the same on every run."""
+def random_id(key: Column, seed: str | None) -> Column:
+    """An id in random order over the keys.
+
+    Without a seed one is drawn for each call. With one the id is the same on every run, and
+    whoever has the seed and a key can compute it; so the seed is a secret of the caller.
+    """
+    seed = secrets.token_hex(32) if seed is None else seed
     return F.sha2(F.concat_ws("|", F.lit(seed), key), 256)

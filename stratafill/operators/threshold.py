@@ -9,15 +9,6 @@ from stratafill.functions.buckets import met_flag
 from stratafill.operators.quantiles import quantile_cont
 
 
-MAX_BROADCAST_STRATA = 100_000
-
-
-def strata_bound(strata: DataFrame, by: str = "micro_strata") -> int | None:
-    """The number of strata in a patient-level table; None if too many to broadcast."""
-    labels = strata.select(by).distinct().limit(MAX_BROADCAST_STRATA + 1).count()
-    return labels if labels <= MAX_BROADCAST_STRATA else None
-
-
 def strata_cuts(
     cumulative: DataFrame, p: float = 0.8, by: str = "micro_strata"
 ) -> DataFrame:
@@ -28,19 +19,14 @@ def strata_cuts(
 
 
 def strata_threshold(
-    cumulative: DataFrame,
-    p: float = 0.8,
-    by: str = "micro_strata",
-    max_strata: int | None = None,
+    cumulative: DataFrame, p: float = 0.8, by: str = "micro_strata"
 ) -> DataFrame:
     """Append the stratum's size, its threshold, and whether the running quantity reaches it.
 
-    ``max_strata`` states a proven bound on the number of strata (labels built from closed lists
-    have one, :func:`strata_bound` counts others); the thresholds are broadcast only then.
+    The comparison is with the threshold as it is, not rounded. How the thresholds reach the rows
+    is left to adaptive execution, which knows their size.
     """
     cuts = strata_cuts(cumulative, p, by).withColumnRenamed(by, "_stratum")
-    if max_strata is not None and max_strata <= MAX_BROADCAST_STRATA:
-        cuts = F.broadcast(cuts)
     # null-safe, so that no filter splits the two readers of the cumulative rows' shuffle
     return cumulative.join(cuts, F.col(by).eqNullSafe(F.col("_stratum"))).withColumn(
         "met_exceed_threshold",

@@ -15,7 +15,7 @@ from stratafill.operators.features import (
     patient_sums)
 from stratafill.operators.sequence import FILL_KEYS, GAP_COLUMNS, distinct_fills, fill_timeline
 from stratafill.operators.strata import (
-    CUT_FEATURES, assign_strata, check_one_stratum, feature_cuts, max_strata, random_id)
+    CUT_FEATURES, assign_strata, check_one_stratum, feature_cuts, random_id)
 from stratafill.operators.threshold import strata_threshold
 from stratafill.sources.staging import publish, stage
 
@@ -69,9 +69,9 @@ def cumulative_by_stratum(detail: DataFrame, cfg: CohortConfig) -> DataFrame:
     """One row per distinct fill with :data:`CUMULATIVE_COLUMNS`; pass ``detail`` staged."""
     strata = strata_of(detail, cfg)
     fills = stage(distinct_fills(detail, cfg.fills_after_year), "distinct_fills")
-    timeline = fill_timeline(fills, strata)
-    flagged = strata_threshold(
-        timeline, cfg.percentile, max_strata=max_strata(cfg.age_bands))
+    # written once: the rows and the thresholds both read it
+    timeline = stage(fill_timeline(fills, strata), "timeline")
+    flagged = strata_threshold(timeline, cfg.percentile)
     return flagged.withColumn(
         "randGUID", random_id(F.col("unique_patient"), cfg.id_seed)).select(*CUMULATIVE_COLUMNS)
 

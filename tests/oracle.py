@@ -70,7 +70,7 @@ if __name__ == "__main__":
     spark, con = local_session(), connect(folder)
     oracles = entry.oracle_sql()
     for name, query in entry.queries().items():
-        if sys.argv[2:] and name not in sys.argv[2:]:
+        if name not in oracles or (sys.argv[2:] and name not in sys.argv[2:]):
             continue
         start = time.time()
         try:

@@ -34,19 +34,18 @@ def test_year_range_reaches_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in text
 
 
-def test_all_windows_share_one_shuffle_and_sort(spark, staged):
+def test_windows_are_per_block(spark, staged):
     text = plan(sequence.fill_timeline(staged))
-    tree = text.split("\n\n\n")[0]
-    assert tree.count("Exchange") == 1 and tree.count(" Sort ") == 1
+    windows = re.findall(r"Arguments: .*windowspecdefinition\((.*)", text)
+    rows = [w for w in windows if "rowid" in w or "tiebreaker" in w]
+    assert rows and all("_block#" in w.split(" ASC")[0] for w in rows)
+    # one shuffle of all rows: the others read a row per edge of a block
+    assert len(re.findall(r"hashpartitioning\(unique_patient#\d+, _block#\d+", text)) <= 2
 
 
-def test_threshold_does_not_shuffle_the_fills_again(spark, staged):
-    segments = on.segments(Tables(spark, FOLDER))
-    cumulative = sequence.fill_cumulative(staged, segments, hot=())
-    text = plan(strata_threshold(cumulative, max_strata=5))
-    by_stratum = re.findall(r"hashpartitioning\(micro_strata#\d+, \d+\)", text)
-    assert len(by_stratum) == 2  # the bins and the result, a row per stratum or bin
-    assert "BroadcastHashJoin" in text or "BroadcastExchange" in text
+def test_threshold_leaves_the_join_to_adaptive_execution(spark, staged):
+    cumulative = sequence.fill_cumulative(staged, on.segments(Tables(spark, FOLDER)))
+    assert "ResolvedHint" not in plan(strata_threshold(cumulative))
 
 
 def test_no_python_on_the_executors_and_no_products(spark):

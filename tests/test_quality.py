@@ -19,5 +19,7 @@ def test_checks(spark):
 
 
 def test_ratio_guards_zero(spark):
-    df = spark.createDataFrame([(7, 2), (7, 0)], "a int, b int")
-    assert [r[0] for r in df.select(quality.ratio(F.col("a"), F.col("b"))).collect()] == [3, None]
+    rows = [(7, 2, 3), (7, 0, None), (-1, 2, 0), (9007199254740993, 1, 9007199254740993)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, want bigint")
+    got = df.select(quality.ratio(F.col("a"), F.col("b")), "want").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]

@@ -1,10 +1,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from stratafill.analogues.queries import QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+ORACLES = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
+# sf0.001 has none of these
+EMPTY = set()
 
 
 @pytest.fixture(scope="module")
@@ -13,13 +16,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_agrees_with_sql(spark, con, name):
     found = compare(spark, con, name, entry.queries()[name], ORACLES[name], FOLDER)
-    assert found in (None, "no rows")
+    assert found == ("no rows" if name in EMPTY else None)
 
 
 def test_entry(spark):

@@ -158,6 +158,8 @@ def test_random_id_is_repeatable(spark):
     assert ids == [r[0] for r in df.select(strata.random_id(F.col("k"), "s")).collect()]
     assert len(set(ids)) == 2
     assert ids != [r[0] for r in df.select(strata.random_id(F.col("k"), "t")).collect()]
+    drawn = [df.select(strata.random_id(F.col("k"), None)).collect() for _ in range(2)]
+    assert drawn[0] != drawn[1]
 
 
 def test_tenant_safe_diagnoses(spark, tables, result):
