@@ -1,6 +1,7 @@
 """Severity of toxic texts by cumulative-link ordinal regression.
 
-A text is the set of its words, hashed, each weighted by log(1 + count). Grades 0 < 1 < ... < K
+A text is the set of its words and of the first bytes of its longer words (which keep a stem
+together), hashed, each weighted by log(1 + count). Grades 0 < 1 < ... < K
 share one weight vector w; ordered thresholds t1 < ... < tK cut the score:
 
     P(grade >= k | x) = 1 / (1 + exp(-(w x - t_k)))
@@ -28,22 +29,29 @@ from stratafill.llm.ftrl import Ftrl
 from stratafill.llm.words import per_piece, words_of
 from stratafill.sources.staging import release, stage
 
-FEATURES = 1 << 18
+FEATURE_BITS = 20
+FEATURES = 1 << FEATURE_BITS
+PREFIXES = (5, 7, 9)     # bytes
 LEAST_TEXTS = 5          # a word of fewer labelled texts is no feature
 MARK_Z = 4.0
 GRADES = 4               # 0 (not toxic) to 3
 SAMPLE_PER_CLASS = 6000  # toxic and other rows to learn from, at most (about)
-BLOCKS = 6
-ROUNDS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.5, 0.2
+BLOCKS = 4
+ROUNDS = 4
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.2, 0.1
 
 
 def features(column: pa.Array):
-    """Per text its hashed words and their counts."""
+    """Per text its hashed words and beginnings of words, with their counts."""
     words = words_of(column)
-    slots = (words.hashes >> np.uint64(46)).astype(np.int64)
+    parts = [(words.hashes, words.bounds)]
+    for size in PREFIXES:
+        at, value = words.prefix_hashes(size)
+        parts.append((value, np.searchsorted(at, words.bounds)))
+    slots = [((value >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), bounds)
+             for value, bounds in parts]
     for i in range(len(words.bounds) - 1):
-        yield np.unique(slots[words.bounds[i]:words.bounds[i + 1]], return_counts=True)
+        yield np.unique(np.concatenate([s[b[i]:b[i + 1]] for s, b in slots]), return_counts=True)
 
 
 @dataclass
@@ -130,11 +138,11 @@ def _learn_block(model):
                     tail = np.cumsum(by_cut[::-1])[::-1]
                     cuts.step(every, c, np.append(tail[0], tail[1:] * np.exp(now.steps)))
                     done += 1
-        w = ftrl.weights(slice(None))
-        some = np.flatnonzero(w)
+        some = np.flatnonzero(ftrl.n)
+        w = ftrl.weights(some)
         c = cuts.weights(every)
         return pa.table({"feature": pa.array(np.concatenate([some, FEATURES + every]), pa.int32()),
-                         "w": pa.array(np.concatenate([w[some], c]))})
+                         "w": pa.array(np.concatenate([w, c]))})
     return run
 
 
@@ -148,9 +156,10 @@ def train(rows: DataFrame) -> Model | None:
     rows = rows.select(F.col("text").cast("string"), F.col("toxic").cast("int")).dropna()
     rows = rows.where("toxic in (0, 1)")
     found = rows.mapInArrow(_count_texts, "toxic int, feature bigint, n bigint").groupBy(
-        "toxic", "feature").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # 2 * FEATURES at most
+        "toxic", "feature").agg(F.sum("n").alias("n")).toArrow()  # 2 * FEATURES at most
     seen = np.zeros((2, FEATURES + 1), np.int64)
-    seen[np.array(found["toxic"], np.int64), np.array(found["feature"], np.int64)] = found["n"]
+    seen[found.column("toxic").to_numpy(), found.column("feature").to_numpy()] = (
+        found.column("n").to_numpy())
     texts = seen[:, FEATURES]
     if not texts.all():
         return None
@@ -177,14 +186,13 @@ def train(rows: DataFrame) -> Model | None:
         "text", "order", F.when(F.col("toxic") == 1, grade).otherwise(0).alias("grade"),
         F.pmod(F.shiftright("order", 24), F.lit(BLOCKS)).cast("int").alias("block"))
     model = Model(np.zeros(FEATURES), first=1.0, known=known)
-    blocks = max(1, graded.select("block").distinct().count())
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
         total = graded.groupBy("block").applyInArrow(
             _learn_block(now), "feature int, w double").groupBy("feature").agg(
-            F.sum("w").alias("w")).toArrow().to_pydict()
+            F.avg("w").alias("w")).toArrow()  # over the blocks that have the feature
         w = np.zeros(FEATURES + GRADES - 1)
-        w[np.array(total["feature"])] = np.array(total["w"]) / blocks
+        w[total.column("feature").to_numpy()] = total.column("w").to_numpy()
         model = Model(w[:FEATURES], float(w[FEATURES]), np.clip(w[FEATURES + 1:], -6, 6), known)
     release(sample)
     return model

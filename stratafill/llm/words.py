@@ -73,12 +73,20 @@ class Words:
         up, down = _powers(1 << max(12, int(n).bit_length()))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        self._sums, self._down = sums, down
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
         self.bounds = np.searchsorted(self.starts, offsets)
 
     def __len__(self) -> int:
         return len(self.hashes)
 
+    def prefix_hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash of its first ``size`` bytes) of the words that are longer."""
+        at = np.flatnonzero(self.ends - self.starts > size)
+        first = self.starts[at]
+        value = (self._sums[first + size] - self._sums[first]) * self._down[first]
+        return at, mix(value ^ np.uint64(size))
+
     @property
     def owner(self) -> np.ndarray:
         """The text of each word."""
