@@ -5,15 +5,20 @@ more, and a line that matches an earlier one is removed. The order of lines is d
 first), hash of the document's text, line number.
 
 Equal sets are one class, found by hash, and only classes are joined. The words of a class are
-ordered by rarity. Two sets can reach the threshold only if a rare word of the smaller one, in
-its first ``n - ceil(2t/(1+t) n) + 1`` words, is among the first ``n - ceil(t n) + 1`` of the
-larger one: those prefixes are joined by word. A pair goes on only if the sizes allow the
-threshold, if the places of the shared word leave room for the overlap, and if the sets' 64
-parity bits differ in no more places than words may differ. Exact overlap decides in the end.
+ordered by rarity. Two sets can reach the threshold only if they share a word among the first
+``n - ceil(t n) + 1`` of both: classes are listed by the words of their prefixes. A pair of a
+list goes on only if the sizes allow the threshold, if the places of the shared word leave room
+for the overlap, and if the sets' 64 parity bits differ in no more places than words may differ.
+Exact overlap decides in the end.
+
+A line needs one earlier match to go, not all of them. So each list gives a class only the
+earlier ones that look nearest, which keeps large groups of near copies from making all their
+pairs. Classes whose nearest candidates fail, though there are more, are joined again with all.
 
 Rarity comes from a count of every word of the corpus in a table of fixed size. Words that share
 an entry only share a rank, so the order is the same everywhere and results do not depend on it;
-a word whose entry counts a single occurrence cannot be shared and is not looked up.
+a word whose entry counts a single occurrence cannot be shared and is not looked up. The list of
+a frequent word is cut into parts, and each two parts meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from stratafill.sources.staging import release, stage
 
 SIMILARITY = 0.8
 RARITY_SLOTS = 1 << 22  # 16 MB of counts, whatever the corpus
+LIST_ROWS = 1 << 15     # a part of a word's list has about so many rows at most
+NEAREST = 2             # candidates that a list gives a class at first
 
 
 class Lines:
@@ -98,7 +105,9 @@ def _ceil(x: np.ndarray) -> np.ndarray:
 
 
 PROFILED = ("_id bigint, _th bigint, line array<int>, h1 array<bigint>, h2 array<bigint>, "
-            "n array<int>, bits array<bigint>, words array<binary>, places array<binary>")
+            "n array<int>, bits array<bigint>, prefixes array<binary>")
+# an entry of a prefix: half a word's hash finds candidates, exact overlap takes whole ones
+_ENTRY = np.dtype([("word", "<u4"), ("place", "<u2"), ("parts", "<u2")])
 
 
 def _profile(counts, threshold: float):
@@ -118,34 +127,138 @@ def _profile(counts, threshold: float):
         place = np.arange(len(words)) - np.repeat(lines.bounds[:-1], sizes)
         prefix = (sizes - _ceil(threshold * sizes) + 1)[owner]
         use = (place < prefix) & (held[order] > 1)
-        # half a hash finds the candidates: exact overlap is counted with whole ones
-        mine, kept = owner[use], (words[order][use] >> np.uint64(32)).astype("<u4")
-        at = place[use].astype("<u4")
+        mine = owner[use]
+        entries = np.zeros(len(mine), _ENTRY)
+        entries["word"] = words[order][use] >> np.uint64(32)
+        entries["place"] = np.minimum(place[use], 0xFFFF)
+        entries["parts"] = np.clip(-(-held[order][use] // LIST_ROWS), 1, 0xFFFF)
         cut = np.searchsorted(mine, np.arange(len(lines) + 1))
-        packed = [pa.array([a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
-                           pa.binary()) for a in (kept, at)]
+        packed = pa.array([entries[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
+                          pa.binary())
         flat = [pa.array(lines.number.astype(np.int32)), pa.array(h1.view(np.int64)),
                 pa.array(h2.view(np.int64)), pa.array(sizes.astype(np.int32)),
-                pa.array(bits.view(np.int64)), *packed]
+                pa.array(bits.view(np.int64)), packed]
         return pa.RecordBatch.from_arrays(
             [piece.column("_id"), piece.column("_th"),
              *[lists(lines.text, x, rows) for x in flat]],
-            names=["_id", "_th", "line", "h1", "h2", "n", "bits", "words", "places"])
+            names=["_id", "_th", "line", "h1", "h2", "n", "bits", "prefixes"])
     return per_piece(run)
 
 
-def _unpack(batches):
-    """A row per looked-up word of a class."""
+LISTED = "word int, part int, cid bigint, n int, bits bigint, place int, asks boolean"
+
+
+def _list_words(batches):
+    """A row per looked-up word of a class, and per meeting of the parts of a long list."""
     for batch in batches:
-        raw_w, raw_p = batch.column("words"), batch.column("places")
-        count = np.array([len(x) // 4 for x in raw_w.to_pylist()], np.int64)
-        take = pa.array(np.repeat(np.arange(batch.num_rows), count))
-        words = np.frombuffer(b"".join(raw_w.to_pylist()), np.int32)
-        places = np.frombuffer(b"".join(raw_p.to_pylist()), np.int32)
+        raw = batch.column("prefixes").to_pylist()
+        entries = np.frombuffer(b"".join(raw), _ENTRY)
+        row = np.repeat(np.arange(batch.num_rows), [len(x) // _ENTRY.itemsize for x in raw])
+        parts = entries["parts"].astype(np.int64)
+        cid = batch.column("cid").to_numpy()[row]
+        own = (mix(cid.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+        again = np.repeat(np.arange(len(row)), parts)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+        mine = own[again]
+        part = np.minimum(mine, other) * 0x10000 + np.maximum(mine, other)
+        take = pa.array(row[again])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c).take(take) for c in ("cid", "n", "bits")]
-            + [pa.array(words), pa.array(places)],
-            names=["cid", "n", "bits", "word", "place"])
+            [pa.array(entries["word"][again].view(np.int32)),
+             pa.array(part.astype(np.uint32).view(np.int32)), batch.column("cid").take(take),
+             batch.column("n").take(take), batch.column("bits").take(take),
+             pa.array(entries["place"][again].astype(np.int32)), batch.column("asks").take(take)],
+            names=["word", "part", "cid", "n", "bits", "place", "asks"])
+
+
+class _Pairs:
+    """Candidates (later, earlier, bits apart), and per later class how many there were."""
+
+    def __init__(self, keep: int | None):
+        self.keep, self.held, self.size = keep, [], 0
+
+    def add(self, later, earlier, apart) -> None:
+        self.held.append((later, earlier, apart, np.ones(len(later), np.int64)))
+        self.size += len(later)
+        if self.keep and self.size > 1 << 20:
+            self.cut()
+
+    def cut(self) -> tuple:
+        later, earlier, apart, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((earlier, apart, later))
+        later, earlier, apart, n = later[order], earlier[order], apart[order], n[order]
+        first = np.ones(len(later), bool)
+        first[1:] = later[1:] != later[:-1]
+        group = np.cumsum(first) - 1
+        total = np.bincount(group, weights=n).astype(np.int64) if len(n) else n
+        if self.keep:
+            nth = np.arange(len(later)) - np.flatnonzero(first)[group] if len(n) else n
+            use = nth < self.keep
+            # what is left out counts at the first one
+            kept = np.bincount(group[use], minlength=len(total))
+            n = np.where(first, total[group] - kept[group] + 1, 1)[use] if len(n) else n
+            later, earlier, apart = later[use], earlier[use], apart[use]
+        self.held, self.size = [(later, earlier, apart, n)], len(later)
+        return self.held[0]
+
+    def batch(self) -> pa.RecordBatch | None:
+        if not self.held:
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x.astype(np.int64)) for x in self.cut()], names=["x", "y", "apart", "n"])
+
+
+def _meet(rows: np.ndarray, threshold: float, pairs: _Pairs) -> None:
+    """Candidates in whole lists: ``rows`` are ordered by word and part."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["word"][1:] != rows["word"][:-1]) | (rows["part"][1:] != rows["part"][:-1])
+    end = np.append(np.flatnonzero(new), len(rows))[np.cumsum(new)]
+    i, step = np.arange(len(rows)), 0
+    while True:
+        step += 1
+        i = i[i + step < end[i]]
+        if not len(i):
+            return
+        a, b = rows[i], rows[i + step]
+        both = a["n"].astype(np.int64) + b["n"]
+        need = _ceil(both * (threshold / (1 + threshold)))
+        room = np.minimum(a["n"] - a["place"], b["n"] - b["place"])  # with the shared word
+        ok = ((np.minimum(a["n"], b["n"]) >= threshold * np.maximum(a["n"], b["n"]) - 1e-9)
+              & (room >= need) & (a["cid"] != b["cid"]))
+        ok &= np.where(a["cid"] > b["cid"], a["asks"], b["asks"])
+        a, b, most = a[ok], b[ok], (both - 2 * need)[ok]
+        apart = np.bitwise_count((a["bits"] ^ b["bits"]).view(np.uint64)).astype(np.int64)
+        ok = apart <= most
+        a, b = a[ok], b[ok]
+        pairs.add(np.maximum(a["cid"], b["cid"]), np.minimum(a["cid"], b["cid"]), apart[ok])
+
+
+_ROW = np.dtype([("word", "i4"), ("part", "i4"), ("cid", "i8"), ("n", "i4"), ("bits", "i8"),
+                 ("place", "i4"), ("asks", "?")])
+
+
+def _meet_in_lists(threshold: float, keep: int | None):
+    """Rows come ordered by word and part; a list may go on in the next batch."""
+    def run(batches):
+        rest = np.zeros(0, _ROW)
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, _ROW)
+            for c in _ROW.names:
+                rows[c] = batch.column(c).to_numpy(zero_copy_only=False)
+            rows = np.concatenate([rest, rows])
+            if not len(rows):
+                continue
+            open_ = (rows["word"] == rows["word"][-1]) & (rows["part"] == rows["part"][-1])
+            last = 0 if open_.all() else int(np.flatnonzero(~open_)[-1]) + 1
+            pairs = _Pairs(keep)
+            _meet(rows[:last], threshold, pairs)
+            rest = rows[last:]
+            if (made := pairs.batch()) is not None:
+                yield made
+        pairs = _Pairs(keep)
+        _meet(rest, threshold, pairs)
+        if (made := pairs.batch()) is not None:
+            yield made
+    return run
 
 
 def _word_sets(batches):
@@ -165,46 +278,59 @@ def _word_sets(batches):
             names=["cid", "words"])
 
 
-def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes that the prefix, length, position and parity filters leave."""
-    looked = classes.select("cid", "n", "bits", "words", "places").mapInArrow(
-        _unpack, "cid bigint, n int, bits bigint, word int, place int")
-    # sizes within a factor 1/t fall into one band or two that are next to each other
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold))).cast("int")
-    overlap = F.lit(2 * threshold / (1 + threshold))
-    larger = looked.select(
-        "word", band.alias("band"), F.col("cid").alias("a"), F.col("n").alias("na"),
-        F.col("bits").alias("ba"), F.col("place").alias("pa"))
-    smaller = looked.where(F.col("place") < F.col("n") - F.ceil(overlap * F.col("n") - 1e-9) + 1)
-    smaller = smaller.select(
-        "word", F.explode(F.array(band, band + 1)).alias("band"), F.col("cid").alias("b"),
-        F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("place").alias("pb"))
-    need = F.ceil(F.col("_sum") * (threshold / (1 + threshold)) - 1e-9)
-    pairs = larger.join(smaller, ["word", "band"]).withColumn("_sum", F.col("na") + F.col("nb"))
-    return pairs.where(
-        ((F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
-        & (F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9)
-        & (1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need)
-        & (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= F.col("_sum") - 2 * need)
-    ).select("a", "b").distinct()
-
-
-def similar_lines(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between classes of lines whose word sets reach the threshold."""
-    pairs = stage(_candidates(classes, threshold), "line_pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def _candidates(classes: DataFrame, asks, threshold: float, keep: int | None) -> DataFrame:
+    """Per class x that ``asks``, earlier candidates y of its lists (``keep`` of each, or all)."""
+    listed = classes.select("cid", "n", "bits", "prefixes", asks.alias("asks")).mapInArrow(
+        _list_words, LISTED)
+    ordered = listed.repartition("word", "part").sortWithinPartitions("word", "part")
+    return ordered.mapInArrow(
+        _meet_in_lists(threshold, keep), "x bigint, y bigint, apart bigint, n bigint")
+
+
+def _matches(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y) of classes whose word sets reach the threshold."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
     chosen = (classes.join(wanted, "cid").select(*KEY, "line", "cid")
               .groupBy(*KEY).agg(F.collect_list(F.struct("line", "cid")).alias("chosen")))
     found = docs.join(chosen, same(docs, chosen, KEY)).select("text", "chosen")
     held = stage(found.mapInArrow(_word_sets, "cid bigint, words array<bigint>"), "line_sets")
     one = held.dropDuplicates(["cid"])
-    both = (pairs.join(one.select(F.col("cid").alias("a"), F.col("words").alias("x")), "a")
-            .join(one.select(F.col("cid").alias("b"), F.col("words").alias("y")), "b"))
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    links = stage(both.where(common >= F.lit(threshold) * union - 1e-9).select("a", "b"), "line_links")
-    release(pairs, held)
-    return links
+    both = (pairs.join(one.select(F.col("cid").alias("x"), F.col("words").alias("u")), "x")
+            .join(one.select(F.col("cid").alias("y"), F.col("words").alias("v")), "y"))
+    common = F.size(F.array_intersect("u", "v"))
+    union = F.size("u") + F.size("v") - common
+    matched = stage(
+        both.where(common >= F.lit(threshold) * union - 1e-9).select("x", "y"), "line_matches")
+    release(held)
+    return matched
+
+
+def earlier_matches(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): for each class of lines that matches an earlier class, one that it matches.
+
+    ``cid`` numbers the classes in the order of their first lines.
+    """
+    near = stage(
+        _candidates(classes, F.lit(True), threshold, NEAREST).groupBy("x").agg(
+            F.min(F.struct("apart", "y")).alias("best"),
+            F.max(F.struct("apart", "y")).alias("other"), F.sum(F.col("n") - 1).alias("more"))
+        .select("x", F.col("best.y").alias("y"), F.col("other.y").alias("z"), "more"),
+        "line_candidates")
+    first = _matches(near.select("x", "y"), classes, docs, threshold)
+    left = near.join(first, "x", "left_anti").where("more > 0 or y != z").select(
+        F.col("x").alias("cid"))
+    left = stage(left, "line_rest")
+    if left.isEmpty():
+        release(near, left)
+        return first
+    asking = classes.join(left.withColumn("asks", F.lit(True)), "cid", "left")
+    rest = stage(
+        _candidates(asking, F.coalesce("asks", F.lit(False)), threshold, None)
+        .select("x", "y").distinct().join(near.select("x", "y"), ["x", "y"], "left_anti"),
+        "line_pairs")
+    second = _matches(rest, classes, docs, threshold)
+    release(near, left, rest)
+    return first.unionByName(second.groupBy("x").agg(F.min("y").alias("y")))
 
 
 def dedup_lines(
@@ -213,8 +339,8 @@ def dedup_lines(
     """``docs`` without the lines that match an earlier line, and with counts.
 
     The text column loses those lines with their line ends; the columns _lines (lines with
-    words), _removed and _links (links of the document's lines to other classes of lines) are
-    added as long, in place of columns of these names. Lines without words always stay, so an
+    words), _removed and _links (lines that match an earlier line with other words) are added as
+    long, in place of columns of these names. Lines without words always stay, so an
     empty text stays empty, a null stays null. Rows that repeat a document (id and text) give the
     same result each. All other columns are handed through.
     """
@@ -229,27 +355,26 @@ def dedup_lines(
         return profiled.select(*KEY, F.explode(F.arrays_zip(*fields)).alias("l")).select(*KEY, "l.*")
 
     whole = ["n", "h1", "h2"]
+    spot = [*KEY, "line"]
+    # numbered in the order of their first lines: by range, then inside
     classes = stage(
-        lines("line", *whole, "bits", "words", "places").groupBy(*whole).agg(
-            F.min(F.struct(*KEY, "line")).alias("at"), F.first("bits").alias("bits"),
-            F.first("words").alias("words"), F.first("places").alias("places"))
-        .select(*whole, "at.*", "bits", "words", "places",
-                F.monotonically_increasing_id().alias("cid")), "line_classes")
-    links = similar_lines(classes, texts, threshold)
-
-    spot = F.struct(*[F.col(c) for c in [*KEY, "line"]])
-    near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ahead = (near.join(classes.select(F.col("cid").alias("b"), spot.alias("spot")), "b")
-             .groupBy("a").agg(F.min("spot").alias("ahead"), F.count(F.lit(1)).alias("links")))
-    verdicts = classes.select(*whole, "cid", spot.alias("own")).join(
-        ahead.withColumnRenamed("a", "cid"), "cid", "left").select(
-        *whole, F.coalesce("links", F.lit(0)).alias("links"),
-        F.least("own", F.coalesce("ahead", "own")).alias("first"))
+        lines("line", *whole, "bits", "prefixes").groupBy(*whole).agg(
+            F.min(F.struct(*spot)).alias("at"), F.first("bits").alias("bits"),
+            F.first("prefixes").alias("prefixes"))
+        .select(*whole, "at.*", "bits", "prefixes")
+        .repartitionByRange(*spot).sortWithinPartitions(*spot)
+        .withColumn("cid", F.monotonically_increasing_id()), "line_classes")
+    matches = earlier_matches(classes, texts, threshold)
+
+    linked = matches.select(F.col("x").alias("cid"), F.lit(True).alias("linked"))
+    verdicts = classes.select(
+        *whole, "cid", F.struct(*spot).alias("first")).join(linked, "cid", "left").drop("cid")
     judged = lines("line", *whole).join(verdicts, whole)
     times = profiled.groupBy(*KEY).agg(F.count(F.lit(1)).alias("times"))
+    gone = F.col("linked").isNotNull() | (F.col("first") != F.struct(*spot))
     per_doc = judged.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("links").alias("links"),
-        F.collect_set(F.when(F.col("first") < spot, F.col("line"))).alias("gone"))
+        F.count(F.lit(1)).alias("lines"), F.count("linked").alias("links"),
+        F.collect_set(F.when(gone, F.col("line"))).alias("gone"))
     # a document that is there twice has been counted twice
     counted = per_doc.join(times, same(per_doc, times, KEY)).select(
         *[per_doc[c] for c in KEY], (F.col("lines") / F.col("times")).cast("bigint").alias("_lines"),
