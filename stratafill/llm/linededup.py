@@ -110,7 +110,7 @@ PROFILED = ("_id bigint, _th bigint, line array<int>, h1 array<bigint>, h2 array
 _ENTRY = np.dtype([("word", "<u4"), ("place", "<u2"), ("parts", "<u2")])
 
 
-def _profile(counts, threshold: float):
+def _profile(counts, threshold: float, list_rows: int):
     """Per document its lines: set hashes, sizes, parity bits, and the prefixes by rarity."""
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(piece.column("text"))
@@ -131,7 +131,7 @@ def _profile(counts, threshold: float):
         entries = np.zeros(len(mine), _ENTRY)
         entries["word"] = words[order][use] >> np.uint64(32)
         entries["place"] = np.minimum(place[use], 0xFFFF)
-        entries["parts"] = np.clip(-(-held[order][use] // LIST_ROWS), 1, 0xFFFF)
+        entries["parts"] = np.clip(-(-held[order][use] // list_rows), 1, 0xFFFF)
         cut = np.searchsorted(mine, np.arange(len(lines) + 1))
         packed = pa.array([entries[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
                           pa.binary())
@@ -334,7 +334,8 @@ def earlier_matches(classes: DataFrame, docs: DataFrame, threshold: float) -> Da
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+    threshold: float = SIMILARITY, list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """``docs`` without the lines that match an earlier line, and with counts.
 
@@ -349,7 +350,7 @@ def dedup_lines(
         c.alias(n) for n, c in document_key(docs, id_col, text_col).items()])
     texts = keyed.select(*KEY, F.col("row")[text_col].cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(rarity(texts))  # of a fixed size
-    profiled = stage(texts.mapInArrow(_profile(counts, threshold), PROFILED), "line_profiles")
+    profiled = stage(texts.mapInArrow(_profile(counts, threshold, list_rows), PROFILED), "line_profiles")
 
     def lines(*fields: str) -> DataFrame:
         return profiled.select(*KEY, F.explode(F.arrays_zip(*fields)).alias("l")).select(*KEY, "l.*")
