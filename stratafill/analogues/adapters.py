@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from stratafill.analogues.codes import CODES
 from stratafill.config import CohortConfig
-from stratafill.functions.dates import after_year
-from stratafill.operators.cohort import (
-    build_demographics, distinct_fill_records, live_prescriptions, qualifying_drugs)
-from stratafill.operators.features import (
-    build_detail, build_surgery, encounter_codes, encounter_features)
+from stratafill.operators.cohort import build_fills
+from stratafill.operators.features import build_surgery, encounter_codes
+from stratafill.plans.workflow import detail_from_fills
 from stratafill.sources.staging import stage
 from stratafill.sources.tables import Tables
 
@@ -40,37 +38,70 @@ def code_of(number: Column) -> Column:
         F.array(*[F.lit(x) for x in CODES]), (number % len(CODES) + 1).cast("int"))
 
 
-def joined_records(t: Tables) -> DataFrame:
-    """Line items with order, customer and part, named as fill records; nothing filtered."""
-    return (
-        t["lineitem"].join(t["orders"], c("l_orderkey") == c("o_orderkey"))
-        .join(t["customer"], c("o_custkey") == c("c_custkey"))
-        .join(t["part"], c("l_partkey") == c("p_partkey"))
-        .select(
-            c("c_nationkey").cast("string").alias("context_id"),
-            c("c_custkey").alias("EnterpriseID"),
-            c("o_custkey").alias("patientid"),
-            (c("l_orderkey") * 10 + c("l_linenumber")).alias("documentid"),
-            c("o_orderdate").alias("EncounterDate"),
-            c("o_orderpriority").alias("medicationtype"),
-            c("p_partkey").cast("string").alias("ndc"),
-            c("l_partkey").alias("FBDMedID"),
+def tenant_orders(t: Tables) -> DataFrame:
+    """Orders with their customer's nation, which is the tenant everywhere."""
+    people = t["customer"].select("c_custkey", c("c_nationkey").cast("string").alias("context_id"))
+    return t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(
+        people, c("o_custkey") == c("c_custkey")).drop("c_custkey")
+
+
+def tenant_lines(t: Tables) -> DataFrame:
+    """Line items with tenant and order; (order, part, supplier) numbers the document."""
+    return t["lineitem"].join(tenant_orders(t), c("l_orderkey") == c("o_orderkey")).withColumn(
+        "documentid", (c("l_orderkey") * 1_000_000 + c("l_partkey")) * 10_000 + c("l_suppkey"))
+
+
+def source_tables(t: Tables) -> dict[str, DataFrame]:
+    """The ten source tables, each with the tenant that the source has on it."""
+    return {
+        "patient_medication": tenant_lines(t).select(
+            "context_id", "documentid", c("o_orderpriority").alias("medicationtype"),
+            F.when(c("l_returnflag") == "R", c("l_shipdate")).alias("DeletedDatetime"),
             F.nullif(c("l_quantity"), F.lit(50.0)).alias("prescriptionfillquantity"),
             F.nullif(c("l_linenumber"), F.lit(1)).cast("bigint")
-            .alias("numberofrefillsprescribed"),
-            c("c_custkey").alias("ChartID"),
-            c("o_orderkey").alias("ClinicalEncounterID"),
-            F.when(c("l_returnflag") == "R", c("l_shipdate")).alias("DeletedDatetime"),
-            c("p_name").alias("MedicationName"),
-            c("p_type").alias("HIC3Description"),
-        )
-    )
+            .alias("numberofrefillsprescribed")),
+        "document": tenant_lines(t).select(
+            "context_id", "documentid", c("o_custkey").alias("patientid"),
+            c("l_orderkey").alias("ClinicalEncounterID"), c("o_custkey").alias("ChartID"),
+            c("l_partkey").alias("FBDMedID")),
+        "clinicalencounter": tenant_orders(t).select(
+            "context_id", c("o_orderkey").alias("ClinicalEncounterID"),
+            c("o_orderdate").alias("EncounterDate")),
+        "chart": t["customer"].select(
+            c("c_nationkey").cast("string").alias("context_id"),
+            c("c_custkey").alias("ChartID"), c("c_custkey").alias("EnterpriseID")),
+        "medication": t["part"].select(  # the 25 nations share one catalog
+            F.explode(F.array(*[F.lit(str(n)) for n in range(25)])).alias("context_id"),
+            c("p_partkey").alias("FDBMedID"), c("p_partkey").cast("string").alias("ndc"),
+            c("p_name").alias("MedicationName"), c("p_type").alias("HIC3Description")),
+        "patient": patient(t),
+        "patient_surgery": t["events"].where(c("event_type") == "purchase").join(
+            t["customer"], c("user_id") == c("c_custkey")).select(
+            c("c_nationkey").cast("string").alias("context_id"),
+            c("user_id").alias("ChartID"), c("ts").alias("surgerydatetime"),
+            F.when(c("value") >= 8, c("props")).alias("Procedure"),
+            F.when(c("value") >= 4, c("event_type")).alias("Note")),
+        "encounter_diagnosis": tenant_orders(t).select(
+            "context_id", c("o_orderkey").alias("ClinicalEncounterID"),
+            c("o_orderkey").alias("ClinicalEncounterDXID")),
+        "encounter_dx_icd10": t["lineitem"].select(
+            c("l_orderkey").alias("ClinicalEncounterDXID"), c("l_partkey").alias("IcdCodeID")),
+        "icd_code_all": t["part"].select(
+            c("p_partkey").alias("IcdCodeID"),
+            code_of(c("p_partkey")).alias("DiagnosisCode"),
+            F.when(c("p_size") == 50, "ICD9").otherwise("ICD10").alias("DiagnosisCodeSet")),
+    }
 
 
 def fills(t: Tables, cfg: CohortConfig = CFG) -> DataFrame:
-    rows = qualifying_drugs(live_prescriptions(joined_records(t), cfg), cfg)
-    return distinct_fill_records(
-        rows.where(after_year(c("EncounterDate"), cfg.fills_after_year)))
+    return build_fills(source_tables(t), cfg)
+
+
+def appointments(t: Tables) -> DataFrame:
+    """Shipments as appointments of the order's customer."""
+    return tenant_lines(t).select(
+        "context_id", c("o_custkey").alias("PatientID"), c("l_shipdate").alias("AppointmentDate"),
+        c("l_orderkey").alias("appointmentid"), c("l_partkey").alias("claimid"))
 
 
 def birth_dates(t: Tables) -> DataFrame:
@@ -110,41 +141,20 @@ def patient(t: Tables) -> DataFrame:
     )
 
 
-def chart(t: Tables) -> DataFrame:
-    return t["customer"].select(
-        c("c_nationkey").cast("string").alias("context_id"),
-        c("c_custkey").alias("ChartID"), c("c_custkey").alias("EnterpriseID"))
-
-
 def surgery(t: Tables, cfg: CohortConfig = CFG) -> DataFrame:
-    events = t["events"].where(c("event_type") == "purchase").select(
-        c("user_id").alias("ChartID"),
-        c("ts").alias("surgerydatetime"),
-        F.when(c("value") >= 8, c("props")).alias("Procedure"),
-        F.when(c("value") >= 4, c("event_type")).alias("Note"))
-    return build_surgery(events, chart(t), cfg, on=["ChartID"])
+    tables = source_tables(t)
+    return build_surgery(tables["patient_surgery"], tables["chart"], cfg)
 
 
 def codes(fill_rows: DataFrame, t: Tables, cfg: CohortConfig = CFG):
     """Diagnosis codes of the encounters: order -> its line items -> their parts' codes."""
-    diagnosis = t["orders"].select(
-        c("o_orderkey").alias("ClinicalEncounterID"),
-        c("o_orderkey").alias("ClinicalEncounterDXID"))
-    dx_icd = t["lineitem"].select(
-        c("l_orderkey").alias("ClinicalEncounterDXID"), c("l_partkey").alias("IcdCodeID"))
-    icd_codes = t["part"].select(
-        c("p_partkey").alias("IcdCodeID"),
-        code_of(c("p_partkey")).alias("DiagnosisCode"),
-        F.when(c("p_size") == 50, "ICD9").otherwise("ICD10").alias("DiagnosisCodeSet"))
-    return encounter_codes(
-        fill_rows, diagnosis, dx_icd, icd_codes, cfg, on=["ClinicalEncounterID"])
+    tables = source_tables(t)
+    return encounter_codes(fill_rows, tables["encounter_diagnosis"],
+                           tables["encounter_dx_icd10"], tables["icd_code_all"], cfg)
 
 
 def detail(t: Tables, cfg: CohortConfig = CFG) -> DataFrame:
-    rows = stage(fills(t, cfg), "fills")
-    return build_detail(
-        build_demographics(patient(t), rows, cfg), rows, surgery(t, cfg),
-        encounter_features(codes(rows, t, cfg)))
+    return detail_from_fills(stage(fills(t, cfg), "fills"), source_tables(t), cfg)
 
 
 def customer_events(t: Tables) -> DataFrame:

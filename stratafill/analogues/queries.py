@@ -247,6 +247,15 @@ _classified("classify_prefix", DEPRESSION)
 _classified("classify_disease", DISEASE)
 
 
+def _core(t):
+    return stage(on.detail(t).select(*workflow.CORE_COLUMNS), "detail")
+
+
+def _detail(t):
+    # written first: the rows of one patient then meet as sums, not as rows
+    return stage(on.detail(t).select(*workflow.SUM_COLUMNS), "detail")
+
+
 # --- cohort, features, detail --------------------------------------------------------------
 
 
@@ -291,12 +300,12 @@ def top_n_detail(t):
 
 @register("SELECT * FROM totals", "totals")
 def patient_totals(t):
-    return features.patient_totals(on.detail(t))
+    return features.patient_totals(_core(t))
 
 
 @register("SELECT * FROM sums", "sums")
 def patient_sums(t):
-    return features.patient_sums(on.detail(t))
+    return features.patient_sums(_detail(t))
 
 
 # --- strata --------------------------------------------------------------------------------
@@ -307,14 +316,14 @@ UNION ALL SELECT 'oncology_visits_total', cut_onc FROM cuts
 UNION ALL SELECT 'pain_visits_total', cut_pain FROM cuts
 UNION ALL SELECT 'depression_visits_total', cut_depress FROM cuts""", "cuts")
 def upper_median(t):
-    return strata.feature_medians(features.patient_totals(on.detail(t)))
+    return strata.feature_medians(features.patient_totals(_core(t)))
 
 
 @register(f"""SELECT unique_patient, {sql.bucket_sql('pain_visits_total', 'cut_pain', 'pain')}
 AS pain_bucket, {sql.bucket_sql('oncology_visits_total', 1, 'onc')} AS onc_bucket
 FROM totals, cuts""", "totals", "cuts")
 def median_bucket(t):
-    totals = stage(features.patient_totals(on.detail(t)), "totals")
+    totals = stage(features.patient_totals(_core(t)), "totals")
     cuts = strata.feature_cuts(totals, ["pain_visits_total"])
     return totals.select(
         "unique_patient",
@@ -325,15 +334,11 @@ def median_bucket(t):
 
 @register(f"SELECT unique_patient, age_cohort, {sql.chronic_sql()} AS chronic FROM sums", "sums")
 def chronic_bucket(t):
-    return features.patient_sums(on.detail(t)).select(
+    return features.patient_sums(_core(t), counts=workflow.COUNTS_USED).select(
         "unique_patient", "age_cohort",
         buckets.chronic_bucket([c(n) for n in DISEASE_COUNTS]).alias("chronic"))
 
 
-def _core(t):
-    return stage(on.detail(t).select(*workflow.CORE_COLUMNS), "detail")
-
-
 @register("SELECT * FROM strata", "strata")
 def micro_strata(t):
     return workflow.strata_of(_core(t), on.CFG)
@@ -343,12 +348,13 @@ def micro_strata(t):
 def micro_strata_literal_cuts(t):
     cuts = {"diagnosiscode_all_total": 4, "oncology_visits_total": 1,
             "pain_visits_total": 2, "depression_visits_total": 1}
-    return strata.assign_strata(features.patient_sums(on.detail(t)), cuts)
+    sums = features.patient_sums(_core(t), counts=workflow.COUNTS_USED)
+    return strata.assign_strata(sums, cuts)
 
 
 @register(sql.fine_strata_sql(), "sums")
 def micro_strata_fine(t):
-    sums = features.patient_sums(on.detail(t))
+    sums = features.patient_sums(_detail(t))
     parts = [c("age_cohort"), *strata.disease_parts(), *strata.pain_parts(strata.PAIN_PART_CUTS)]
     return strata.assign_strata(sums, {}, parts)
 
@@ -417,7 +423,7 @@ def last_fill_anti(t):
 
 @register("SELECT * FROM cumulative", "cumulative")
 def flagship_cumul_strata(t):
-    return workflow.cumulative_by_stratum(_core(t), on.CFG)
+    return workflow.run(on.source_tables(t), on.CFG).cumulative
 
 
 # --- checks --------------------------------------------------------------------------------
@@ -531,6 +537,23 @@ def attach_left(t):
     ).select("o_orderkey", "l_partkey", "l_shipdate")
 
 
+@register("""SELECT f.*, l_orderkey AS appointmentid, l_shipdate AS AppointmentDate,
+l_partkey AS claimid FROM fills f LEFT JOIN (
+  SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey) a
+ON f.context_id = CAST(a.c_nationkey AS VARCHAR) AND f.patientid = a.o_custkey
+  AND f.EncounterDate = a.l_shipdate""", "fills")
+def attach_appointments(t):
+    return cohort.attach_appointments(on.fills(t), on.appointments(t))
+
+
+@register(sql.demographic_strata_sql(), "sums_by_demographics")
+def micro_strata_demographic(t):
+    sums = features.patient_sums(
+        _detail(t), counts=workflow.COUNTS_USED, by=strata.DEMOGRAPHIC_PARTS)
+    return strata.assign_strata(sums, {}, [c("age_cohort"), *strata.demographic_parts()])
+
+
 @register("""SELECT concat(c_nationkey, ' - ', c_custkey) AS unique_patient, l_orderkey, l_partkey,
 l_suppkey, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey WHERE year(l_shipdate) > 1998""")

@@ -70,6 +70,16 @@ def build_fills(tables: Mapping[str, DataFrame], cfg: CohortConfig) -> DataFrame
     return distinct_fill_records(fills)
 
 
+def attach_appointments(fills: DataFrame, appointments: DataFrame) -> DataFrame:
+    """The fills with the appointments of the same tenant, patient and date, if there are any."""
+    same_day = appointments.select(
+        "context_id", F.col("PatientID").alias("patientid"),
+        F.col("AppointmentDate").alias("EncounterDate"), "appointmentid", "AppointmentDate",
+        "claimid")
+    return fills.join(same_day, ["context_id", "patientid", "EncounterDate"], "left").select(
+        *fills.columns, "appointmentid", "AppointmentDate", "claimid")
+
+
 def distinct_fill_records(joined_fills: DataFrame) -> DataFrame:
     """Key the joined fill records by tenant and keep the distinct ones."""
     # the key is a function of two other columns: added after the shuffle of the distinct

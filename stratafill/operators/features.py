@@ -70,16 +70,11 @@ DETAIL_COLUMNS = (
     *DEMOGRAPHIC_COLUMNS, *DETAIL_FILL_COLUMNS, *SURGERY_COUNTS, SURGERY_LABEL, *DETAIL_COUNTS)
 
 
-def build_surgery(
-    surgery: DataFrame,
-    chart: DataFrame,
-    cfg: CohortConfig,
-    on: Sequence[str] = ("context_id", "ChartID"),
-) -> DataFrame:
+def build_surgery(surgery: DataFrame, chart: DataFrame, cfg: CohortConfig) -> DataFrame:
     """Per patient: surgeries, different surgeries, and how the two compare."""
     procedures = (
         surgery.where(years_between(F.col("surgerydatetime"), *cfg.surgery_years))
-        .join(chart.select("context_id", "ChartID", "EnterpriseID"), list(on))
+        .join(chart.select("context_id", "ChartID", "EnterpriseID"), ["context_id", "ChartID"])
         .select(
             tenant_key(F.col("context_id"), F.col("EnterpriseID")).alias("unique_patient"),
             first_present(F.col("Procedure"), F.col("Note")).alias("procedure"))
@@ -115,7 +110,6 @@ def encounter_codes(
     dx_icd: DataFrame,
     icd_codes: DataFrame,
     cfg: CohortConfig,
-    on: Sequence[str] = ("context_id", "ClinicalEncounterID"),
 ) -> DataFrame:
     """Distinct diagnosis codes of each encounter that has fills, with :data:`RULE_COLUMNS`.
 
@@ -129,8 +123,9 @@ def encounter_codes(
     if cfg.tenant_safe:
         dx_on += [c for c in ("context_id",) if c in dx_icd.columns]
         code_on += [c for c in ("context_id",) if c in dx_icd.columns and c in codes.columns]
+    on = ["context_id", "ClinicalEncounterID"]
     return (
-        encounters.join(diagnosis.select(*on, "ClinicalEncounterDXID"), list(on))
+        encounters.join(diagnosis.select(*on, "ClinicalEncounterDXID"), on)
         .join(dx_icd.select(*dx_on, "IcdCodeID"), dx_on)
         .join(codes.select(*code_on, "DiagnosisCode", *RULE_COLUMNS), code_on)
         .select("context_id", "EnterpriseID", "ClinicalEncounterID", "DiagnosisCode",
@@ -220,8 +215,9 @@ def patient_totals(detail: DataFrame, mode: str = "reference") -> DataFrame:
 
 
 def patient_sums(
-    detail: DataFrame, mode: str = "reference", counts: Sequence[str] = DETAIL_COUNTS
+    detail: DataFrame, mode: str = "reference", counts: Sequence[str] = DETAIL_COUNTS,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Surgeries and ``counts`` (all 35) summed per (patient, age band)."""
+    """Surgeries and ``counts`` (all 35) summed per (patient, age band) and the columns ``by``."""
     surgery = {"surg_procs_all": (F.sum, F.sum) if mode == "reference" else (F.max, F.max)}
-    return _sums(detail, ["unique_patient", "age_cohort"], mode, surgery, counts)
+    return _sums(detail, ["unique_patient", "age_cohort", *by], mode, surgery, counts)

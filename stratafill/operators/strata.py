@@ -54,7 +54,9 @@ DISEASE_PARTS = {
     "copd_visits": "copd",
     "stroke_visits": "stroke",
 }
+DEMOGRAPHIC_PARTS = ("gender", "race", "maritalstatus", "emergency_contact_flag", "CONTEXT_ID")
 PAIN_PART_CUTS = {
+    "oncology_visits_total": ("onc", 11),
     "depression_single_episode_visits": ("dep single", 10),
     "depression_recurrent_visits": ("dep rec", 11),
     "unspecified_pain_visits": ("unspec pain", 12),
@@ -86,6 +88,11 @@ def disease_parts() -> list[Column]:
         for n, name in DISEASE_PARTS.items()]
 
 
+def demographic_parts(columns: Sequence[str] = DEMOGRAPHIC_PARTS) -> list[Column]:
+    """Optional parts: columns of the patient, which the sums must be grouped by as well."""
+    return [F.col(c).cast("string") for c in columns]
+
+
 def pain_parts(cuts: Mapping[str, tuple[str, int]]) -> list[Column]:
     """Optional parts: one bucket per finer count."""
     return [median_bucket(F.col(n), cut, name) for n, (name, cut) in cuts.items()]

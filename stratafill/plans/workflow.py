@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from stratafill.config import CohortConfig
 from stratafill.operators.cohort import build_demographics, build_fills
 from stratafill.operators.features import (
-    DISEASE_COUNTS, SUM_NAMES, build_detail, build_surgery, encounter_codes, encounter_features,
+    DETAIL_COUNTS, DISEASE_COUNTS, SUM_NAMES, build_detail, build_surgery, encounter_codes, encounter_features,
     patient_sums)
 from stratafill.operators.sequence import FILL_KEYS, GAP_COLUMNS, distinct_fills, fill_timeline
 from stratafill.operators.strata import (
-    CUT_FEATURES, assign_strata, check_one_stratum, feature_cuts, random_id)
+    CUT_FEATURES, DEMOGRAPHIC_PARTS, assign_strata, check_one_stratum, feature_cuts, random_id)
 from stratafill.operators.threshold import strata_threshold
-from stratafill.sources.staging import publish, stage
+from stratafill.sources.staging import publish, release, stage, staged_since
 
 # the columns of the detail table that the second step reads
-_COUNTS_USED = ("diagnosiscode_all_total", *SUM_NAMES, *DISEASE_COUNTS)
+COUNTS_USED = ("diagnosiscode_all_total", *SUM_NAMES, *DISEASE_COUNTS)
 CORE_COLUMNS = (
-    *FILL_KEYS, "ClinicalEncounterID", "age_cohort", "surg_procs_all", *_COUNTS_USED)
+    *FILL_KEYS, "ClinicalEncounterID", "age_cohort", "surg_procs_all", *COUNTS_USED)
+# those that sums of every kind read
+SUM_COLUMNS = (
+    "unique_patient", "ClinicalEncounterID", "age_cohort", *DEMOGRAPHIC_PARTS, "surg_procs_all",
+    *DETAIL_COUNTS)
 
 # Output columns.
 CUMULATIVE_COLUMNS = (
@@ -36,6 +40,11 @@ class Result:
     fills: DataFrame
     detail: DataFrame
     cumulative: DataFrame
+    staged: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Remove the staged files; what was not published cannot be read after that."""
+        release(*self.staged)
 
 
 def detail_from_fills(
@@ -55,7 +64,7 @@ def detail_from_fills(
 def strata_of(detail: DataFrame, cfg: CohortConfig) -> DataFrame:
     """(unique_patient, micro_strata), checked to be one row per patient."""
     totals = list(CUT_FEATURES)
-    sums = stage(patient_sums(detail, cfg.feature_mode, _COUNTS_USED), "sums")
+    sums = stage(patient_sums(detail, cfg.feature_mode, COUNTS_USED), "sums")
     cuts = cfg.cuts
     if cuts is None:
         cuts = feature_cuts(sums.groupBy("unique_patient").agg(
@@ -81,12 +90,23 @@ def run(
     cfg: CohortConfig,
     detail_table: str | None = None,
     cumulative_table: str | None = None,
+    detail_partitions: Sequence[str] | None = None,
+    cumulative_partitions: Sequence[str] | None = None,
 ) -> Result:
-    """Both steps; a table name publishes that output, otherwise it is staged / returned."""
-    fills = stage(build_fills(tables, cfg), "fills")
-    detail = detail_from_fills(fills, tables, cfg)
-    detail = publish(detail, detail_table) if detail_table else stage(detail, "detail")
-    cumulative = cumulative_by_stratum(detail, cfg)
-    if cumulative_table:
-        cumulative = publish(cumulative, cumulative_table)
-    return Result(fills, detail, cumulative)
+    """Both steps; a table name publishes that output, otherwise it is staged / returned.
+
+    The partitions are the columns that a published table is partitioned by. With both tables
+    published, what was staged is removed, the fills too.
+    """
+    with staged_since() as staged:
+        fills = stage(build_fills(tables, cfg), "fills")
+        detail = detail_from_fills(fills, tables, cfg)
+        detail = (publish(detail, detail_table, partition_by=detail_partitions)
+                  if detail_table else stage(detail, "detail"))
+        cumulative = cumulative_by_stratum(detail, cfg)
+        if cumulative_table:
+            cumulative = publish(cumulative, cumulative_table, partition_by=cumulative_partitions)
+    result = Result(fills, detail, cumulative, tuple(staged))
+    if detail_table and cumulative_table:
+        result.release()
+    return result

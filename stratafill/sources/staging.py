@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_watching: list[list[DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -37,9 +41,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
+    # whatever is not released goes when the driver ends
+    _file_system(spark, path).deleteOnExit(_path(spark, path))
+    for held in _watching:
+        held.append(staged)
     return staged
 
 
+@contextlib.contextmanager
+def staged_since() -> Iterator[list[DataFrame]]:
+    """A list that gets every table staged inside the block."""
+    held: list[DataFrame] = []
+    _watching.append(held)
+    try:
+        yield held
+    finally:
+        _watching[:] = [x for x in _watching if x is not held]
+
+
 def release(*staged: DataFrame) -> None:
     """Remove the files of staged tables; nothing that is still to run may read them."""
     for df in staged:
@@ -48,9 +67,15 @@ def release(*staged: DataFrame) -> None:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a path that ``new_path`` gave, by Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _file_system(spark, path).delete(_path(spark, path), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def publish(

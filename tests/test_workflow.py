@@ -1,5 +1,6 @@
 import dataclasses
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from stratafill.config import PAST_CUTS
 from stratafill.operators import cohort, features, quality, strata
 from stratafill.operators.sequence import CLEAR_NAMES
 from stratafill.plans import workflow
-from stratafill.sources import preview, publish, stage
+from stratafill.sources import preview, publish, stage, staged_since
 from tests.fixtures import CFG, source_tables
 
 
@@ -133,7 +134,12 @@ def test_cumulative(result):
 
 def test_dedup_and_literal_cuts(result):
     cfg = dataclasses.replace(CFG, feature_mode="dedup", cuts=PAST_CUTS)
-    assert workflow.cumulative_by_stratum(result.detail, cfg).count() == result.cumulative.count()
+    key = ("unique_patient", "rowid_encounter", "cumul_prescritionfillqty")
+    found = workflow.cumulative_by_stratum(result.detail, cfg)
+    assert rows(found, *key) == rows(result.cumulative, *key)
+    labels = dict(rows(found, "unique_patient", "micro_strata"))
+    assert labels["T1 - 1"] == (
+        "age 30 to 39 | 1 chronic | Surgery | >med dx | med onc | med pain | 0 depress")
 
 
 def test_several_strata_per_patient_are_refused(spark):
@@ -143,7 +149,12 @@ def test_several_strata_per_patient_are_refused(spark):
 
 
 def test_publish_replaces_and_copies(spark, tables):
-    result = workflow.run(tables, CFG, "detail_copy", "cumulative_copy")
+    with staged_since() as staged:
+        result = workflow.run(tables, CFG, "detail_copy", "cumulative_copy",
+                              cumulative_partitions=["micro_strata"])
+    # a finished run leaves no staged file
+    assert staged and not any(os.path.exists(x.staged_path) for x in staged)
+    assert result.cumulative.where("micro_strata like 'age <18%'").count() == 1
     again = publish(result.cumulative.limit(2), "cumulative_small", partition_by=["micro_strata"])
     again = publish(spark.table("cumulative_copy").limit(3), "cumulative_small")
     assert again.count() == 3 and preview(again, 2).count() == 2
