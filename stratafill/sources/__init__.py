@@ -1,7 +1,7 @@
 from stratafill.sources.staging import (
-    new_path, preview, publish, release, remove, shared_dir, stage, staged_since,
+    drop_shuffles, new_path, preview, publish, release, remove, shared_dir, stage, staged_since,
 )
 from stratafill.sources.tables import SCHEMAS, Tables, load
 
-__all__ = ["SCHEMAS", "Tables", "load", "new_path", "preview", "publish",
+__all__ = ["SCHEMAS", "Tables", "drop_shuffles", "load", "new_path", "preview", "publish",
            "release", "remove", "shared_dir", "stage", "staged_since"]

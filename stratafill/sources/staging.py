@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -65,6 +66,16 @@ def release(*staged: DataFrame) -> None:
         remove(df.sparkSession, df.staged_path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    It does so once the driver's JVM has collected the plans that made them, which may be long
+    after; between two large steps that is disk for nothing.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a path that ``new_path`` gave, by Spark's own file system layer."""
     _file_system(spark, path).delete(_path(spark, path), True)
