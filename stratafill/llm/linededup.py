@@ -23,6 +23,8 @@ a frequent word is cut into parts, and each two parts meet in a task of their ow
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key, same
 from stratafill.llm.words import Words, buffers, lists, mix, per_piece, words_of
-from stratafill.sources.staging import release, stage
+from stratafill.sources.staging import drop_shuffles, release, stage
 
 SIMILARITY = 0.8
 RARITY_SLOTS = 1 << 22  # 16 MB of counts, whatever the corpus
@@ -207,60 +209,80 @@ class _Pairs:
             [pa.array(x.astype(np.int64)) for x in self.cut()], names=["x", "y", "apart", "n"])
 
 
-def _meet(rows: np.ndarray, threshold: float, pairs: _Pairs) -> None:
-    """Candidates in whole lists: ``rows`` are ordered by word and part."""
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["word"][1:] != rows["word"][:-1]) | (rows["part"][1:] != rows["part"][:-1])
-    end = np.append(np.flatnonzero(new), len(rows))[np.cumsum(new)]
-    i, step = np.arange(len(rows)), 0
-    while True:
-        step += 1
-        i = i[i + step < end[i]]
-        if not len(i):
-            return
-        a, b = rows[i], rows[i + step]
-        both = a["n"].astype(np.int64) + b["n"]
+def _meet(rows: dict[str, np.ndarray], threshold: float, pairs: _Pairs) -> None:
+    """Candidates in whole lists; ``rows`` are columns, ordered by word and part."""
+    word, part = rows["word"], rows["part"]
+    if not len(word):
+        return
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (part[1:] != part[:-1])
+    own = np.cumsum(new)
+    order = np.lexsort((rows["n"], own))
+    own = own[order]
+    n, place, bits, cid, asks = (rows[c][order] for c in ("n", "place", "bits", "cid", "asks"))
+    # the smaller set of a pair has the word in a shorter prefix, and is not much smaller
+    short = np.flatnonzero(place < n - _ceil(2 * threshold / (1 + threshold) * n) + 1)
+    low = np.searchsorted((own[short] << 32) + n[short], (own << 32) + _ceil(threshold * n))
+    many = np.maximum(np.searchsorted(short, np.arange(len(n))) - low, 0)
+    upto = np.cumsum(many)
+    first = 0
+    while first < len(n):
+        before = upto[first] - many[first]
+        last = max(int(np.searchsorted(upto, before + (1 << 20), side="right")), first + 1)
+        i = np.repeat(np.arange(first, last), many[first:last])
+        j = short[low[i] + np.arange(len(i)) - (upto - many)[i] + before]
+        both = n[i] + n[j]
         need = _ceil(both * (threshold / (1 + threshold)))
-        room = np.minimum(a["n"] - a["place"], b["n"] - b["place"])  # with the shared word
-        ok = ((np.minimum(a["n"], b["n"]) >= threshold * np.maximum(a["n"], b["n"]) - 1e-9)
-              & (room >= need) & (a["cid"] != b["cid"]))
-        ok &= np.where(a["cid"] > b["cid"], a["asks"], b["asks"])
-        a, b, most = a[ok], b[ok], (both - 2 * need)[ok]
-        apart = np.bitwise_count((a["bits"] ^ b["bits"]).view(np.uint64)).astype(np.int64)
-        ok = apart <= most
-        a, b = a[ok], b[ok]
-        pairs.add(np.maximum(a["cid"], b["cid"]), np.minimum(a["cid"], b["cid"]), apart[ok])
+        ok = np.minimum(n[i] - place[i], n[j] - place[j]) >= need  # with the shared word
+        i, j, most = i[ok], j[ok], (both - 2 * need)[ok]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
+        x, y = np.maximum(cid[i], cid[j]), np.minimum(cid[i], cid[j])
+        ok = (apart <= most) & (x != y) & np.where(cid[i] == x, asks[i], asks[j])
+        pairs.add(x[ok], y[ok], apart[ok])
+        first = last
 
 
-_ROW = np.dtype([("word", "i4"), ("part", "i4"), ("cid", "i8"), ("n", "i4"), ("bits", "i8"),
-                 ("place", "i4"), ("asks", "?")])
+_COLUMNS = {"word": np.int32, "part": np.int32, "cid": np.int64, "n": np.int64,
+            "bits": np.uint64, "place": np.int64, "asks": bool}
 
 
 def _meet_in_lists(threshold: float, keep: int | None):
     """Rows come ordered by word and part; a list may go on in the next batch."""
-    def run(batches):
-        rest = np.zeros(0, _ROW)
-        for batch in batches:
-            rows = np.zeros(batch.num_rows, _ROW)
-            for c in _ROW.names:
-                rows[c] = batch.column(c).to_numpy(zero_copy_only=False)
-            rows = np.concatenate([rest, rows])
-            if not len(rows):
-                continue
-            open_ = (rows["word"] == rows["word"][-1]) & (rows["part"] == rows["part"][-1])
-            last = 0 if open_.all() else int(np.flatnonzero(~open_)[-1]) + 1
-            pairs = _Pairs(keep)
-            _meet(rows[:last], threshold, pairs)
-            rest = rows[last:]
-            if (made := pairs.batch()) is not None:
-                yield made
+    def found(rows) -> Iterator[pa.RecordBatch]:
         pairs = _Pairs(keep)
-        _meet(rest, threshold, pairs)
+        _meet(rows, threshold, pairs)
         if (made := pairs.batch()) is not None:
             yield made
+
+    def run(batches):
+        rest = {c: np.zeros(0, kind) for c, kind in _COLUMNS.items()}
+        for some in _gathered(batches, 1 << 16):
+            rows = {c: np.concatenate([rest[c], *[
+                x.column(c).to_numpy(zero_copy_only=False).astype(kind) for x in some]])
+                for c, kind in _COLUMNS.items()}
+            word, part = rows["word"], rows["part"]
+            whole = np.flatnonzero((word != word[-1]) | (part != part[-1]))
+            last = int(whole[-1]) + 1 if len(whole) else 0
+            yield from found({c: x[:last] for c, x in rows.items()})
+            rest = {c: x[last:] for c, x in rows.items()}
+        yield from found(rest)
     return run
 
 
+def _gathered(batches, rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of about so many rows; small batches cost more than their rows."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _word_sets(batches):
     """The whole word sets of chosen lines, a row per class: ``chosen`` lists (line, cid)."""
     for batch in per_piece(lambda piece: piece)(batches):
@@ -316,6 +338,7 @@ def earlier_matches(classes: DataFrame, docs: DataFrame, threshold: float) -> Da
             F.max(F.struct("apart", "y")).alias("other"), F.sum(F.col("n") - 1).alias("more"))
         .select("x", F.col("best.y").alias("y"), F.col("other.y").alias("z"), "more"),
         "line_candidates")
+    drop_shuffles(docs.sparkSession)
     first = _matches(near.select("x", "y"), classes, docs, threshold)
     left = near.join(first, "x", "left_anti").where("more > 0 or y != z").select(
         F.col("x").alias("cid"))
@@ -365,6 +388,7 @@ def dedup_lines(
         .select(*whole, "at.*", "bits", "prefixes")
         .repartitionByRange(*spot).sortWithinPartitions(*spot)
         .withColumn("cid", F.monotonically_increasing_id()), "line_classes")
+    drop_shuffles(spark)
     matches = earlier_matches(classes, texts, threshold)
 
     linked = matches.select(F.col("x").alias("cid"), F.lit(True).alias("linked"))
