@@ -86,6 +86,8 @@ def build_surgery(surgery: DataFrame, chart: DataFrame, cfg: CohortConfig) -> Da
         SURGERY_LABEL, uniqueness_label(F.col("surg_procs_all"), F.col("surg_procs_distinct")))
 
 
+ENCOUNTER = ("context_id", "EnterpriseID", "ClinicalEncounterID")
+
 # rule numbers of a code, see RuleSet.number
 RULE_COLUMNS = {
     "oncology_rule": ONCOLOGY,
@@ -114,11 +116,11 @@ def encounter_codes(
     """Distinct diagnosis codes of each encounter that has fills, with :data:`RULE_COLUMNS`.
 
     The fills shrink to their distinct encounters before they meet the diagnoses, and the rules
-    run once per entry of the code table.
+    run once per code of the code table, after the codes of an encounter are distinct.
     """
-    encounters = fills.select("context_id", "EnterpriseID", "ClinicalEncounterID").distinct()
-    codes = number_rules(
-        icd_codes.where(in_list(F.col("DiagnosisCodeSet"), cfg.code_sets, cfg.collation)), cfg)
+    encounters = fills.select(*ENCOUNTER).distinct()
+    codes = icd_codes.where(in_list(F.col("DiagnosisCodeSet"), cfg.code_sets, cfg.collation))
+    rules = number_rules(codes.select(F.col("DiagnosisCode")).distinct(), cfg)
     dx_on, code_on = ["ClinicalEncounterDXID"], ["IcdCodeID"]
     if cfg.tenant_safe:
         dx_on += [c for c in ("context_id",) if c in dx_icd.columns]
@@ -127,11 +129,11 @@ def encounter_codes(
     return (
         encounters.join(diagnosis.select(*on, "ClinicalEncounterDXID"), on)
         .join(dx_icd.select(*dx_on, "IcdCodeID"), dx_on)
-        .join(codes.select(*code_on, "DiagnosisCode", *RULE_COLUMNS), code_on)
-        .select("context_id", "EnterpriseID", "ClinicalEncounterID", "DiagnosisCode",
-                *RULE_COLUMNS)
-        .distinct()
+        .join(codes.select(*code_on, F.col("DiagnosisCode").alias("_code")), code_on)
+        .select(*ENCOUNTER, "_code").distinct()
+        .join(rules, F.col("_code").eqNullSafe(F.col("DiagnosisCode")))
         .withColumn("unique_patient", tenant_key(F.col("context_id"), F.col("EnterpriseID")))
+        .select(*ENCOUNTER, "DiagnosisCode", *RULE_COLUMNS, "unique_patient")
     )
 
 
@@ -157,7 +159,11 @@ def encounter_features(codes: DataFrame) -> DataFrame:
         flags |= {
             out: F.col(column) == rules.number_of(label)
             for out, label in counts.items()}
-    return flag_counts(codes, ["unique_patient", "ClinicalEncounterID"], flags)
+    # the key is text made of two of these columns: added after the shuffle
+    counts = flag_counts(codes, ENCOUNTER, flags)
+    return counts.select(
+        tenant_key(F.col("context_id"), F.col("EnterpriseID")).alias("unique_patient"),
+        "ClinicalEncounterID", *flags)
 
 
 def build_detail(
