@@ -102,7 +102,7 @@ def _print(gram: int, window: int, shorts: list[int], item: bool, bloom, keys: l
         words = words_of(piece.column("text"))
         place, length, value = fingerprints(words, gram, window, shorts, item)
         if bloom is not None:
-            seen = _in_filter(bloom.value, value)
+            seen = in_filter(bloom.value, value)
             place, length, value = place[seen], length[seen], value[seen]
         owner = words.owner[place]
         own = place - words.bounds[owner]
@@ -123,7 +123,7 @@ def _filter_places(values: np.ndarray) -> list[np.ndarray]:
     return [(values >> np.uint64(s)) & mask for s in (0, 20, 40)]
 
 
-def _in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.ones(len(values), bool)
     for p in _filter_places(values):
         out &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1

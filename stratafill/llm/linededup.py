@@ -23,14 +23,15 @@ a frequent word is cut into parts, and each two parts meet in a task of their ow
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key, same
+from stratafill.llm.decontaminate import bloom_filter, in_filter
 from stratafill.llm.words import Words, buffers, lists, mix, per_piece, words_of
 from stratafill.sources.staging import drop_shuffles, release, stage
 
@@ -38,15 +39,17 @@ SIMILARITY = 0.8
 RARITY_SLOTS = 1 << 22  # 16 MB of counts, whatever the corpus
 LIST_ROWS = 1 << 15     # a part of a word's list has about so many rows at most
 NEAREST = 2             # candidates that a list gives a class at first
+TRIED = 3               # of those, the nearest are compared before all are asked for
 
 
 class Lines:
     """The distinct words of each line with words in it: text, line number and word hashes.
 
-    Line i has ``words[bounds[i]:bounds[i + 1]]``, ascending.
+    Line i has ``words[bounds[i]:bounds[i + 1]]``, ascending by ``rank`` (a number per word) and
+    then by hash.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, rank: Callable[[np.ndarray], np.ndarray] | None = None):
         data, offsets = buffers(column)
         newline = np.flatnonzero(data == 10)
         begins = np.unique(np.concatenate([offsets[:-1], newline + 1]))
@@ -56,7 +59,9 @@ class Lines:
         text_of = np.searchsorted(offsets, edges[:-1], side="right") - 1
         first_line = np.searchsorted(edges, offsets)
         number = np.arange(len(edges) - 1) - first_line[text_of] if len(edges) > 1 else edges[:0]
-        order = np.lexsort((found.hashes, line))
+        keys = [found.hashes, line] if rank is None else [
+            found.hashes, rank(found.hashes), line]
+        order = np.lexsort(keys)
         line, words = line[order], found.hashes[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
@@ -83,8 +88,9 @@ def _slot(words: np.ndarray) -> np.ndarray:
 def _count_words(batches):
     """Words per slot of the table, summed over the partition."""
     counts = np.zeros(RARITY_SLOTS, np.int64)
-    for batch in per_piece(lambda piece: piece)(batches):
-        counts += np.bincount(_slot(words_of(batch.column("text")).hashes), minlength=RARITY_SLOTS)
+    for some in _gathered(per_piece(lambda piece: piece)(batches), 1 << 14):
+        slots = [_slot(words_of(x.column("text")).hashes) for x in some]
+        counts += np.bincount(np.concatenate(slots), minlength=RARITY_SLOTS)
     some = np.flatnonzero(counts)
     for i in range(0, len(some), 1 << 16):
         part = some[i:i + (1 << 16)]
@@ -115,7 +121,8 @@ _ENTRY = np.dtype([("word", "<u4"), ("place", "<u2"), ("parts", "<u2")])
 def _profile(counts, threshold: float, list_rows: int):
     """Per document its lines: set hashes, sizes, parity bits, and the prefixes by rarity."""
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        lines = Lines(piece.column("text"))
+        # the rarest first
+        lines = Lines(piece.column("text"), lambda words: counts.value[_slot(words)])
         words, sizes, rows = lines.words, lines.sizes, piece.num_rows
         owner = np.repeat(np.arange(len(lines)), sizes)
         h1 = lines.summed(mix(words))
@@ -125,15 +132,14 @@ def _profile(counts, threshold: float, list_rows: int):
             np.uint64(1) << (words >> np.uint64(58)), lines.bounds[:-1])
             if len(lines) else words[:0])
         held = counts.value[_slot(words)]
-        order = np.lexsort((words, held, owner))
         place = np.arange(len(words)) - np.repeat(lines.bounds[:-1], sizes)
         prefix = (sizes - _ceil(threshold * sizes) + 1)[owner]
-        use = (place < prefix) & (held[order] > 1)
+        use = (place < prefix) & (held > 1)
         mine = owner[use]
         entries = np.zeros(len(mine), _ENTRY)
-        entries["word"] = words[order][use] >> np.uint64(32)
+        entries["word"] = words[use] >> np.uint64(32)
         entries["place"] = np.minimum(place[use], 0xFFFF)
-        entries["parts"] = np.clip(-(-held[order][use] // list_rows), 1, 0xFFFF)
+        entries["parts"] = np.clip(-(-held[use] // list_rows), 1, 0xFFFF)
         cut = np.searchsorted(mine, np.arange(len(lines) + 1))
         packed = pa.array([entries[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
                           pa.binary())
@@ -150,26 +156,50 @@ def _profile(counts, threshold: float, list_rows: int):
 LISTED = "word int, part int, cid bigint, n int, bits bigint, place int, asks boolean"
 
 
-def _list_words(batches):
-    """A row per looked-up word of a class, and per meeting of the parts of a long list."""
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of all rows, and the row of each entry."""
+    raw = batch.column("prefixes").to_pylist()
+    return np.frombuffer(b"".join(raw), _ENTRY), np.repeat(
+        np.arange(batch.num_rows), [len(x) // _ENTRY.itemsize for x in raw])
+
+
+def _word_hashes(batches):
     for batch in batches:
-        raw = batch.column("prefixes").to_pylist()
-        entries = np.frombuffer(b"".join(raw), _ENTRY)
-        row = np.repeat(np.arange(batch.num_rows), [len(x) // _ENTRY.itemsize for x in raw])
-        parts = entries["parts"].astype(np.int64)
-        cid = batch.column("cid").to_numpy()[row]
-        own = (mix(cid.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-        again = np.repeat(np.arange(len(row)), parts)
-        other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-        mine = own[again]
-        part = np.minimum(mine, other) * 0x10000 + np.maximum(mine, other)
-        take = pa.array(row[again])
+        entries, _ = _entries(batch)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(entries["word"][again].view(np.int32)),
-             pa.array(part.astype(np.uint32).view(np.int32)), batch.column("cid").take(take),
-             batch.column("n").take(take), batch.column("bits").take(take),
-             pa.array(entries["place"][again].astype(np.int32)), batch.column("asks").take(take)],
-            names=["word", "part", "cid", "n", "bits", "place", "asks"])
+            [pa.array(mix(entries["word"]).view(np.int64))], names=["hash"])
+
+
+def _list_words(asked):
+    """A row per looked-up word of a class, and per meeting of the parts of a long list.
+
+    With ``asked``, a filter of words, only those.
+    """
+    def run(batches):
+        for batch in batches:
+            yield _listed(batch, asked)
+    return run
+
+
+def _listed(batch: pa.RecordBatch, asked) -> pa.RecordBatch:
+    entries, row = _entries(batch)
+    if asked is not None:
+        use = in_filter(asked.value, mix(entries["word"]))
+        entries, row = entries[use], row[use]
+    parts = entries["parts"].astype(np.int64)
+    cid = batch.column("cid").to_numpy()[row]
+    own = (mix(cid.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+    again = np.repeat(np.arange(len(row)), parts)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+    mine = own[again]
+    part = np.minimum(mine, other) * 0x10000 + np.maximum(mine, other)
+    take = pa.array(row[again])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(entries["word"][again].view(np.int32)),
+         pa.array(part.astype(np.uint32).view(np.int32)), batch.column("cid").take(take),
+         batch.column("n").take(take), batch.column("bits").take(take),
+         pa.array(entries["place"][again].astype(np.int32)), batch.column("asks").take(take)],
+        names=["word", "part", "cid", "n", "bits", "place", "asks"])
 
 
 class _Pairs:
@@ -300,10 +330,15 @@ def _word_sets(batches):
             names=["cid", "words"])
 
 
-def _candidates(classes: DataFrame, asks, threshold: float, keep: int | None) -> DataFrame:
-    """Per class x that ``asks``, earlier candidates y of its lists (``keep`` of each, or all)."""
+def _candidates(
+    classes: DataFrame, asks: Column, threshold: float, keep: int | None, asked=None
+) -> DataFrame:
+    """Per class x that ``asks``, earlier candidates y of its lists (``keep`` of each, or all).
+
+    ``asked`` is a filter of the words whose lists are needed.
+    """
     listed = classes.select("cid", "n", "bits", "prefixes", asks.alias("asks")).mapInArrow(
-        _list_words, LISTED)
+        _list_words(asked), LISTED)
     ordered = listed.repartition("word", "part").sortWithinPartitions("word", "part")
     return ordered.mapInArrow(
         _meet_in_lists(threshold, keep), "x bigint, y bigint, apart bigint, n bigint")
@@ -332,24 +367,30 @@ def earlier_matches(classes: DataFrame, docs: DataFrame, threshold: float) -> Da
 
     ``cid`` numbers the classes in the order of their first lines.
     """
+    # of at most NEAREST candidates per looked-up word
+    nearest = F.array_sort(F.collect_set(F.struct("apart", "y")))
     near = stage(
         _candidates(classes, F.lit(True), threshold, NEAREST).groupBy("x").agg(
-            F.min(F.struct("apart", "y")).alias("best"),
-            F.max(F.struct("apart", "y")).alias("other"), F.sum(F.col("n") - 1).alias("more"))
-        .select("x", F.col("best.y").alias("y"), F.col("other.y").alias("z"), "more"),
+            nearest.alias("all"), F.sum(F.col("n") - 1).alias("more"))
+        .select("x", F.transform(F.slice("all", 1, TRIED), lambda c: c["y"]).alias("ys"),
+                ((F.col("more") > 0) | (F.size("all") > TRIED)).alias("more")),
         "line_candidates")
     drop_shuffles(docs.sparkSession)
-    first = _matches(near.select("x", "y"), classes, docs, threshold)
-    left = near.join(first, "x", "left_anti").where("more > 0 or y != z").select(
-        F.col("x").alias("cid"))
+    tried = near.select("x", F.explode("ys").alias("y"))
+    first = _matches(tried, classes, docs, threshold)
+    first = first.groupBy("x").agg(F.min("y").alias("y"))
+    left = near.where("more").join(first, "x", "left_anti").select(F.col("x").alias("cid"))
     left = stage(left, "line_rest")
     if left.isEmpty():
         release(near, left)
         return first
     asking = classes.join(left.withColumn("asks", F.lit(True)), "cid", "left")
+    wanted = classes.join(left, "cid", "left_semi").select("prefixes")
+    asked = docs.sparkSession.sparkContext.broadcast(  # of a fixed size
+        bloom_filter(wanted.mapInArrow(_word_hashes, "hash bigint")))
     rest = stage(
-        _candidates(asking, F.coalesce("asks", F.lit(False)), threshold, None)
-        .select("x", "y").distinct().join(near.select("x", "y"), ["x", "y"], "left_anti"),
+        _candidates(asking, F.coalesce("asks", F.lit(False)), threshold, None, asked)
+        .select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"),
         "line_pairs")
     second = _matches(rest, classes, docs, threshold)
     release(near, left, rest)
