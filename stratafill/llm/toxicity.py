@@ -13,6 +13,10 @@ a fixed number of blocks, whose results are averaged after each round.
 Labels that only say toxic or not are graded first: words that toxic texts hold more often than
 others (by the z-score of the log odds, over all labelled rows) are marks, and toxic texts are
 cut into grades at the quantiles of their number of marks.
+
+Equal rows count once. Where a class is sampled, each of its rows stands for as many as were left
+out: it weighs 1 / share in learning, so the odds of the classes, and with them the scores and the
+cut at a half, are those of the whole table at every size.
 """
 
 from __future__ import annotations
@@ -109,8 +113,9 @@ def _marks(marked):
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         n = [int(counts[marked.value[held]].sum()) for held, counts in features(piece.column("text"))]
         return pa.RecordBatch.from_arrays(
-            [piece.column(c) for c in ("text", "toxic", "order")] + [pa.array(n, pa.int64())],
-            names=["text", "toxic", "order", "marks"])
+            [piece.column(c) for c in ("text", "toxic", "order", "weight")]
+            + [pa.array(n, pa.int64())],
+            names=["text", "toxic", "order", "weight", "marks"])
     return per_piece(run)
 
 
@@ -124,6 +129,7 @@ def _learn_block(model):
         every = np.arange(k)
         table = table.sort_by([("order", "ascending"), ("text", "ascending")])
         grades = table.column("grade").to_pylist()
+        weights = table.column("weight").to_pylist()
         done = 0
         for batch in table.select(["text"]).combine_chunks().to_batches():
             for piece in per_piece(lambda p: p)([batch]):
@@ -133,6 +139,7 @@ def _learn_block(model):
                     now = Model(w, float(c[0]), np.clip(c[1:], -6, 6))
                     by_score, by_cut = cumulative_gradient(
                         float(x @ w), now.thresholds, grades[done])
+                    by_score, by_cut = weights[done] * by_score, weights[done] * by_cut
                     ftrl.step(held, w, by_score * x)
                     # a step moves its own threshold and all higher ones
                     tail = np.cumsum(by_cut[::-1])[::-1]
@@ -149,12 +156,13 @@ def _learn_block(model):
 def train(rows: DataFrame) -> Model | None:
     """Learn from ``rows`` (text, toxic 0 or 1): all for word statistics, a sample for weights.
 
-    Gives None if either class is absent. Rows with a null are ignored. The sample is drawn by a
-    cut of a hash of the text, about SAMPLE_PER_CLASS rows of each class.
+    Gives None if either class is absent. Rows with a null are ignored, equal rows count once.
+    The sample is drawn by a cut of a hash of the text, about SAMPLE_PER_CLASS rows of each
+    class, and weighted by what it stands for (1 on average), so it has the odds of all rows.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("text").cast("string"), F.col("toxic").cast("int")).dropna()
-    rows = rows.where("toxic in (0, 1)")
+    rows = stage(rows.where("toxic in (0, 1)").distinct(), "toxic_rows")
     found = rows.mapInArrow(_count_texts, "toxic int, feature bigint, n bigint").groupBy(
         "toxic", "feature").agg(F.sum("n").alias("n")).toArrow()  # 2 * FEATURES at most
     seen = np.zeros((2, FEATURES + 1), np.int64)
@@ -162,6 +170,7 @@ def train(rows: DataFrame) -> Model | None:
         found.column("n").to_numpy())
     texts = seen[:, FEATURES]
     if not texts.all():
+        release(rows)
         return None
     n = seen[:, :FEATURES]
     odds = np.log((n[1] + 0.5) / (texts[1] - n[1] + 0.5)) - np.log(
@@ -171,19 +180,22 @@ def train(rows: DataFrame) -> Model | None:
     known = n.sum(axis=0) >= LEAST_TEXTS
 
     order = F.xxhash64("text")
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE_PER_CLASS / texts[1]))).otherwise(
-        F.lit(min(1.0, SAMPLE_PER_CLASS / texts[0])))
-    drawn = rows.withColumn("order", order).where(
-        F.pmod("order", F.lit(1 << 20)) < share * (1 << 20)).distinct()
+    shares = np.minimum(1.0, SAMPLE_PER_CLASS / texts)
+    each = 1 / shares * (texts * shares).sum() / texts.sum()
+    of_class = lambda x: F.when(F.col("toxic") == 1, float(x[1])).otherwise(float(x[0]))
+    drawn = rows.withColumns({"order": order, "weight": of_class(each)}).where(
+        F.pmod("order", F.lit(1 << 20)) < of_class(shares) * (1 << 20))
     sample = stage(drawn.mapInArrow(
-        _marks(marked), "text string, toxic int, order bigint, marks bigint"), "toxic_sample")
+        _marks(marked), "text string, toxic int, order bigint, weight double, marks bigint"),
+        "toxic_sample")
+    release(rows)
     cuts = [i / (GRADES - 1) for i in range(1, GRADES - 1)]
     found = sample.where("toxic = 1").agg(F.percentile("marks", F.array(*map(F.lit, cuts)))).first()
     grade = F.lit(1)
     for cut in found[0] or []:
         grade = grade + F.when(F.col("marks") > cut, 1).otherwise(0)
     graded = sample.select(
-        "text", "order", F.when(F.col("toxic") == 1, grade).otherwise(0).alias("grade"),
+        "text", "order", "weight", F.when(F.col("toxic") == 1, grade).otherwise(0).alias("grade"),
         F.pmod(F.shiftright("order", 24), F.lit(BLOCKS)).cast("int").alias("block"))
     model = Model(np.zeros(FEATURES), first=1.0, known=known)
     for _ in range(ROUNDS):
