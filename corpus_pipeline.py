@@ -56,11 +56,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document in sequences of at most 2048 tokens."""
+    """Token ids of every document in sequences of at most 2048 tokens.
+
+    ``ids`` are little-endian 32-bit numbers; the pieces of a sequence_id in the order of their
+    offsets are the sequence.
+    """
     small_batches(spark)
-    packed = pack_documents(docs, public_tokenizers.path(TOKENIZER), with_ids=False)
-    return packed.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids_crc32",
-                         "sequence_id", "offset")
+    packed = pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packed.select(F.col("_id").alias("doc_id"), "piece", "start", "length",
+                         F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
 
 
 STAGES = [

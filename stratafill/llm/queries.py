@@ -42,9 +42,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     packed = pack_documents(table(spark, sf_dir, "documents"),
-                            public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
-    return packed.select(F.col("_id").alias("doc_id"), "piece", "start", "length", "ids_crc32",
-                         "sequence_id", "offset")
+                            public_tokenizers.path("byte_bpe_50k.json"))
+    # of the ids that were written and placed
+    return packed.select(F.col("_id").alias("doc_id"), "piece", "start", "length",
+                         F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
