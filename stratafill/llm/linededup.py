@@ -14,6 +14,8 @@ Exact overlap decides in the end.
 A line needs one earlier match to go, not all of them. So each list gives a class only the
 earlier ones that look nearest, which keeps large groups of near copies from making all their
 pairs. Classes whose nearest candidates fail, though there are more, are joined again with all.
+Where the links themselves are asked for, every class is joined with all its candidates, and each
+pair of classes that matches counts; their number grows with the square of such a group.
 
 Rarity comes from a count of every word of the corpus in a table of fixed size. Words that share
 an entry only share a rank, so the order is the same everywhere and results do not depend on it;
@@ -239,7 +241,7 @@ class _Pairs:
             [pa.array(x.astype(np.int64)) for x in self.cut()], names=["x", "y", "apart", "n"])
 
 
-def _meet(rows: dict[str, np.ndarray], threshold: float, pairs: _Pairs) -> None:
+def _meet(rows: dict[str, np.ndarray], threshold: float) -> Iterator[tuple]:
     """Candidates in whole lists; ``rows`` are columns, ordered by word and part."""
     word, part = rows["word"], rows["part"]
     if not len(word):
@@ -268,7 +270,7 @@ def _meet(rows: dict[str, np.ndarray], threshold: float, pairs: _Pairs) -> None:
         apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
         x, y = np.maximum(cid[i], cid[j]), np.minimum(cid[i], cid[j])
         ok = (apart <= most) & (x != y) & np.where(cid[i] == x, asks[i], asks[j])
-        pairs.add(x[ok], y[ok], apart[ok])
+        yield x[ok], y[ok], apart[ok]
         first = last
 
 
@@ -280,7 +282,11 @@ def _meet_in_lists(threshold: float, keep: int | None):
     """Rows come ordered by word and part; a list may go on in the next batch."""
     def found(rows) -> Iterator[pa.RecordBatch]:
         pairs = _Pairs(keep)
-        _meet(rows, threshold, pairs)
+        for some in _meet(rows, threshold):
+            pairs.add(*some)
+            if not keep and pairs.size > 1 << 20:  # all are handed on, so none need be held
+                yield pairs.batch()
+                pairs = _Pairs(keep)
         if (made := pairs.batch()) is not None:
             yield made
 
@@ -351,6 +357,7 @@ def _matches(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
               .groupBy(*KEY).agg(F.collect_list(F.struct("line", "cid")).alias("chosen")))
     found = docs.join(chosen, same(docs, chosen, KEY)).select("text", "chosen")
     held = stage(found.mapInArrow(_word_sets, "cid bigint, words array<bigint>"), "line_sets")
+    drop_shuffles(docs.sparkSession)
     one = held.dropDuplicates(["cid"])
     both = (pairs.join(one.select(F.col("cid").alias("x"), F.col("words").alias("u")), "x")
             .join(one.select(F.col("cid").alias("y"), F.col("words").alias("v")), "y"))
@@ -397,9 +404,20 @@ def earlier_matches(classes: DataFrame, docs: DataFrame, threshold: float) -> Da
     return first.unionByName(second.groupBy("x").agg(F.min("y").alias("y")))
 
 
+def all_matches(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): every pair of classes of lines that match, x the later one."""
+    pairs = stage(_candidates(classes, F.lit(True), threshold, None).select("x", "y").distinct(),
+                  "line_pairs")
+    drop_shuffles(docs.sparkSession)
+    matched = _matches(pairs, classes, docs, threshold)
+    release(pairs)
+    drop_shuffles(docs.sparkSession)
+    return matched
+
+
 def dedup_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    threshold: float = SIMILARITY, list_rows: int = LIST_ROWS,
+    threshold: float = SIMILARITY, list_rows: int = LIST_ROWS, all_links: bool = False,
 ) -> DataFrame:
     """``docs`` without the lines that match an earlier line, and with counts.
 
@@ -408,6 +426,11 @@ def dedup_lines(
     long, in place of columns of these names. Lines without words always stay, so an
     empty text stays empty, a null stays null. Rows that repeat a document (id and text) give the
     same result each. All other columns are handed through.
+
+    With ``all_links`` every link is found, not one per line that has some, and two more columns
+    are added: _classes, per line with words, in order, the id of its class (a hash of its set of
+    words), and _matches (long), to how many other classes these lines are linked, earlier or
+    later ones, summed over the lines.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.struct("*").alias("row"), *[
@@ -430,9 +453,14 @@ def dedup_lines(
         .repartitionByRange(*spot).sortWithinPartitions(*spot)
         .withColumn("cid", F.monotonically_increasing_id()), "line_classes")
     drop_shuffles(spark)
-    matches = earlier_matches(classes, texts, threshold)
-
-    linked = matches.select(F.col("x").alias("cid"), F.lit(True).alias("linked"))
+    if all_links:
+        ends = F.array(F.struct(F.col("x").alias("cid"), F.lit(True).alias("linked")),
+                       F.struct(F.col("y").alias("cid"), F.lit(None).cast("boolean").alias("linked")))
+        linked = (all_matches(classes, texts, threshold).select(F.inline(ends)).groupBy("cid")
+                  .agg(F.max("linked").alias("linked"), F.count(F.lit(1)).alias("matches")))
+    else:
+        linked = earlier_matches(classes, texts, threshold).select(
+            F.col("x").alias("cid"), F.lit(True).alias("linked"))
     verdicts = classes.select(
         *whole, "cid", F.struct(*spot).alias("first")).join(linked, "cid", "left").drop("cid")
     judged = lines("line", *whole).join(verdicts, whole)
@@ -440,11 +468,16 @@ def dedup_lines(
     gone = F.col("linked").isNotNull() | (F.col("first") != F.struct(*spot))
     per_doc = judged.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("lines"), F.count("linked").alias("links"),
-        F.collect_set(F.when(gone, F.col("line"))).alias("gone"))
+        F.collect_set(F.when(gone, F.col("line"))).alias("gone"),
+        *([F.sum("matches").alias("matches"),
+           F.array_sort(F.collect_set(F.struct("line", "h1", "h2"))).alias("held")]
+          if all_links else []))
     # a document that is there twice has been counted twice
     counted = per_doc.join(times, same(per_doc, times, KEY)).select(
         *[per_doc[c] for c in KEY], (F.col("lines") / F.col("times")).cast("bigint").alias("_lines"),
-        (F.col("links") / F.col("times")).cast("bigint").alias("_links"), "gone")
+        (F.col("links") / F.col("times")).cast("bigint").alias("_links"), "gone",
+        *([(F.col("matches") / F.col("times")).cast("bigint").alias("matches"), "held"]
+          if all_links else []))
     joined = keyed.join(counted, same(keyed, counted, KEY), "left")
     text = F.col("row")[text_col]
     left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col("gone"), i))
@@ -452,6 +485,10 @@ def dedup_lines(
     added = {"_lines": F.coalesce("_lines", zero),
              "_removed": F.coalesce(F.size("gone").cast("bigint"), zero),
              "_links": F.coalesce("_links", zero)}
+    if all_links:
+        ids = F.transform("held", lambda x: F.format_string("%016x%016x", x["h1"], x["h2"]))
+        added |= {"_matches": F.coalesce("matches", zero),
+                  "_classes": F.coalesce(ids, F.array().cast("array<string>"))}
     shown = [F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(text).alias(c)
              if c == text_col else F.col("row")[c].alias(c)
              for c in docs.columns if c not in added]

@@ -49,12 +49,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that match an earlier line."""
+    """Every document without the lines that match an earlier line, and all links of its lines."""
     small_batches(spark)
-    cleaned = dedup_lines(table(spark, sf_dir, "documents"))
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"), all_links=True)
     return cleaned.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_lines").alias("n_lines"),
-        F.col("_removed").alias("n_removed"), F.col("_links").alias("n_links"), "text")
+        F.col("_removed").alias("n_removed"), F.col("_links").alias("n_links"),
+        F.col("_matches").alias("n_matches"), F.col("_classes").alias("class_ids"), "text")
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

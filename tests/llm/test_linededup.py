@@ -56,3 +56,58 @@ def test_odd_rows(spark):
         (3, "five", 2, "y", 2, 1, 0), (4, None, None, None, 0, 0, 0), (5, "", 5, "", 0, 0, 0),
         (6, "\n...\n", 6, "z", 0, 0, 0), (7, "six six", 7, None, 2, 1, 0)], key=key)
     assert linededup.dedup_lines(made.limit(0)).count() == 0
+
+
+def test_all_links_of_a_family(spark):
+    """Both sides of every link count, also where each line has many partners."""
+    rng = random.Random(5)
+    common = [f"w{k}" for k in range(40)]
+    rows = [(None, None), (500, ""), (501, "...\n")]
+    for i in range(150):
+        line = list(common)
+        for _ in range(rng.randrange(5)):
+            line[rng.randrange(40)] = rng.choice([f"v{rng.randrange(30)}", f"u{i}"])
+        rows.append((i, "\n".join([" ".join(line), "", f"alone {i} of the rest", " ".join(line[::-1])])))
+    rows.append(rows[-1])
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = {i: [frozenset(words(x)) for x in (t or "").split("\n") if words(x)] for i, t in rows}
+    every = {w for held in sets.values() for w in held}
+    links = {w: sum(similar(w, o) for o in every if o != w) for w in every}
+    assert sum(links.values()) > 20 * len(every)
+    plain = {r.doc_id: r for r in linededup.dedup_lines(made).collect()}
+    for list_rows in (linededup.LIST_ROWS, 16):
+        got = linededup.dedup_lines(made, all_links=True, list_rows=list_rows).collect()
+        assert len(got) == len(rows)
+        named = {}
+        for r in got:
+            own = sets[r.doc_id]
+            assert r._matches == sum(links[w] for w in own) and len(r._classes) == len(own)
+            assert all(named.setdefault(c, w) == w for c, w in zip(r._classes, own, strict=True))
+            assert tuple(r)[:5] == tuple(plain[r.doc_id])
+        assert len(named) == len(every)
+    empty = linededup.dedup_lines(made.limit(0), all_links=True)
+    assert empty.count() == 0
+
+
+def test_the_query_gives_classes_and_links(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    got = entry.queries()["op3_linededup"](spark, folder).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    of_class = {}
+    for r in got:
+        own = [frozenset(words(x)) for x in texts[r.doc_id].split("\n") if words(x)]
+        assert len(r.class_ids) == r.n_lines == len(own)
+        of_class.update(zip(own, r.class_ids, strict=True))
+    assert len(set(of_class.values())) == len(of_class)
+    by_word = {}
+    for w in of_class:
+        for x in w:
+            by_word.setdefault(x, []).append(w)
+    links = {w: sum(similar(w, o) for o in {o for x in w for o in by_word[x]} if o != w)
+             for w in of_class}
+    assert any(links.values())
+    for r in got:
+        own = [frozenset(words(x)) for x in texts[r.doc_id].split("\n") if words(x)]
+        assert r.n_matches == sum(links[w] for w in own)
