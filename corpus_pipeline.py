@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafill.llm import langid
@@ -41,9 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     keyed = docs.withColumns(document_key(docs))
     kept = near_duplicates(docs).where("keep").select(*KEY)
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))
-    return (keyed.join(kept, same(keyed, kept, KEY), "left_semi").withColumn("_nth", nth)
-            .where("_nth = 1").select(*docs.columns))
+    # copies of a row go before the shuffle
+    return (keyed.join(kept, same(keyed, kept, KEY), "left_semi").dropDuplicates(KEY)
+            .select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,12 @@ def test_stages(spark):
     for r in seen["best_fit_packing"]:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 2048
+
+
+def test_near_dedup_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f g")] * 40 + [(None, "h i j k l m n")] * 40 + [(2, "x y z u v w t")]
+    made = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, made, SF)
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in set(made.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_first" in plan
