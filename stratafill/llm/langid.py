@@ -128,6 +128,7 @@ def _learn_block(model):
         ftrl = Ftrl(np.vstack([start.weights, start.bias]), ALPHA, BETA, L1, L2)
         table = table.sort_by([("order", "ascending"), ("text", "ascending")])
         langs = table.column("lang").to_pylist()
+        weights = table.column("weight").to_pylist()
         done = 0
         for batch in table.select(["text"]).combine_chunks().to_batches():
             for piece in per_piece(lambda p: p)([batch]):
@@ -137,7 +138,7 @@ def _learn_block(model):
                     w = ftrl.weights(held)
                     error = softmax(x @ w)
                     error[labels[langs[done]]] -= 1
-                    ftrl.step(held, w, np.outer(x, error))
+                    ftrl.step(held, w, np.outer(x, weights[done] * error))
                     done += 1
         w = ftrl.weights(slice(None))
         feature, language = np.nonzero(w)
@@ -155,19 +156,20 @@ def _raw_scores(model):
              features(piece.column("text"))]
         return pa.RecordBatch.from_arrays(
             [pa.array(z, pa.list_(pa.float64())),
-             pa.array([labels[x] for x in piece.column("lang").to_pylist()], pa.int32())],
-            names=["z", "label"])
+             pa.array([labels[x] for x in piece.column("lang").to_pylist()], pa.int32()),
+             piece.column("weight")],
+            names=["z", "label", "weight"])
     return per_piece(run)
 
 
-def fit_temperature(z: np.ndarray, labels: np.ndarray) -> float:
+def fit_temperature(z: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
     """The temperature with the least log loss, by golden section over its logarithm."""
     if not len(z):
         return 1.0
 
     def loss(t: float) -> float:
         p = softmax(z / np.exp(t))[np.arange(len(labels)), labels]
-        return -np.log(np.maximum(p, 1e-300)).mean()
+        return -np.average(np.log(np.maximum(p, 1e-300)), weights=weights)
 
     low, high, ratio = -4.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(60):
@@ -181,12 +183,14 @@ def train(rows: DataFrame) -> Model:
 
     The sample is the SAMPLE_PER_LANGUAGE rows of a language with the least hash of their text
     (about; it is drawn by a cut of the hash, not by sorting). A tenth of it is left out of
-    learning and sets the temperature. Rows with a null text or language are ignored.
+    learning and sets the temperature. Each row weighs 1 / share of its language, so languages are
+    as frequent as among all distinct rows. Rows with a null text or language are ignored.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).dropna()
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy("lang").collect()}
+    order = F.xxhash64("text", "lang")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct(order).alias("n"))
+             .orderBy("lang").collect()}  # equal rows are learned from once
     languages = sorted(sizes)
     found = (rows.select("text").mapInArrow(_document_frequency, "feature bigint, n bigint")
              .groupBy("feature").agg(F.sum("n").alias("n")).toArrow()).to_pydict()
@@ -197,14 +201,16 @@ def train(rows: DataFrame) -> Model:
     if not languages:
         return model
 
-    share = F.lit(0.0)
+    share, weight = F.lit(0.0), F.lit(0.0)
+    mean = sum(sizes.values()) / sum(min(n, SAMPLE_PER_LANGUAGE) for n in sizes.values())
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n))).otherwise(share)
-    order = F.xxhash64("text", "lang")
+        part, own = min(1.0, SAMPLE_PER_LANGUAGE / n), F.col("lang") == lang
+        share = F.when(own, F.lit(part)).otherwise(share)
+        weight = F.when(own, F.lit(1 / part / mean)).otherwise(weight)
     drawn = F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)
     sample = stage(
         rows.where(drawn).distinct().withColumns({
-            "order": order, "part": F.pmod(F.shiftright(order, 24), F.lit(10 * BLOCKS)).cast("int")}),
+            "order": order, "weight": weight, "part": F.pmod(F.shiftright(order, 24), F.lit(10 * BLOCKS)).cast("int")}),
         "language_sample")
     learned = sample.where(F.col("part") >= BLOCKS).withColumn("block", F.col("part") % BLOCKS)
     for _ in range(ROUNDS):
@@ -219,9 +225,10 @@ def train(rows: DataFrame) -> Model:
         model = Model(languages, model.idf, w[:-1] / blocks, w[-1] / blocks)
     now = spark.sparkContext.broadcast(model)
     held = sample.where(F.col("part") < BLOCKS).mapInArrow(
-        _raw_scores(now), "z array<double>, label int").toArrow().to_pydict()
+        _raw_scores(now), "z array<double>, label int, weight double").toArrow().to_pydict()
     model.temperature = fit_temperature(
-        np.array(held["z"], float).reshape(-1, len(languages)), np.array(held["label"], int))
+        np.array(held["z"], float).reshape(-1, len(languages)), np.array(held["label"], int),
+        np.array(held["weight"], float))
     release(sample)
     return model
 

@@ -39,3 +39,16 @@ def test_toxicity_of_a_sample_and_of_repeated_rows(labelled, monkeypatch):
     got = judged(labelled, many)
     assert {i: r.toxic for i, r in got.items()} == {i: r.toxic for i, r in want.items()}
     assert all(abs(r.toxic_score - want[i].toxic_score) < 1e-6 for i, r in got.items())
+
+
+def test_languages_of_a_sample_are_as_frequent_as_in_the_table(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(f"{w} {i % 40} {'abcdefgh'[i % 8]}{'klmnopqr'[i // 8 % 8]}", lang)
+         for lang, w, n in (("xx", "same", 1200), ("yy", "same", 120)) for i in range(n)]
+        + [(f"same {'abcdefgh'[i % 8]} {i}", "xx") for i in range(400)], "text string, lang string")
+    asked = spark.createDataFrame([(1, "same")], "doc_id bigint, text string")
+    want = langid.predict(asked, langid.train(rows)).first()
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANGUAGE", 60)
+    got = langid.predict(asked, langid.train(rows)).first()
+    assert want.lang_pred == got.lang_pred == "xx"
+    assert want.score > 0.75 and abs(got.score - want.score) < 0.15
