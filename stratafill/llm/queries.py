@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafill.llm import chat, knn, langid, sharding, toxicity
+from stratafill.llm import chat, knn, langid, periods, sharding, toxicity
 from stratafill.llm.archive import page_of, read_archives, write_archives
 from stratafill.llm.common import small_batches, table
 from stratafill.llm.decontaminate import contamination
@@ -130,6 +130,46 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                         langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, after runs were planted in every tenth or so."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_planted_runs().alias("text"))
+    found = periods.periodic_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r.length.alias("length"), (-r.start).alias("before"), (-r.period).alias("finer"))))
+    lines = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")),
+        F.lit("\n")))
+    return found.withColumn("_longest", longest).select(
+        F.col("_id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("_longest.before")).alias("start"), F.col("_longest.length").alias("length"),
+        (-F.col("_longest.finer")).alias("period"),
+        F.expr("1000 * _longest.length div -_longest.finer").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def with_planted_runs() -> Column:
+    """The text; of a tenth of the ids by hash, from word g % n on a part of its words repeats."""
+    spaces = r"[\x20\x09-\x0D]+"
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", spaces), lambda w: w != "")
+    n = F.size(words)
+    g = F.floor(crc / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+
+    def repeated(named: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), named.n - 1), lambda i: F.get(
+            named.words, F.when(i < named.a, i).otherwise(named.a + (i - named.a) % named.p))), " ")
+
+    # named once, so that the parts are not computed for every word
+    named = F.transform(F.array(F.struct(words.alias("words"), n.alias("n"), a.alias("a"), p.alias("p"))),
+                        repeated)
+    chosen = (crc % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return F.when(chosen, F.get(named, F.lit(0))).otherwise(F.col("text"))
+
+
 LLM_QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -141,5 +181,6 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
     "op10_langid": op10_langid,
+    "op11_periods": op11_periods,
 }
 LLM_ORACLES: dict[str, str] = {}
