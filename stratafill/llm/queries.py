@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafill.llm import chat, knn, langid, periods, sharding, toxicity
+from stratafill.llm.aligned import align_documents
 from stratafill.llm.archive import page_of, read_archives, write_archives
 from stratafill.llm.common import small_batches, table
 from stratafill.llm.decontaminate import contamination
@@ -170,6 +171,21 @@ def with_planted_runs() -> Column:
     return F.when(chosen, F.get(named, F.lit(0))).otherwise(F.col("text"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies align in every document, with corpus-wide counts."""
+    import public_tokenizers
+
+    small_batches(spark)
+    found = align_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+    groups = F.col("groups")
+    return found.select(
+        F.col("_id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("n_a") > 0, F.sha2(groups.cast("binary"), 256)).otherwise("")
+        .alias("groups_sha256"))
+
+
 LLM_QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -182,5 +198,6 @@ LLM_QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_langid": op10_langid,
     "op11_periods": op11_periods,
+    "op12_alignment": op12_alignment,
 }
 LLM_ORACLES: dict[str, str] = {}
