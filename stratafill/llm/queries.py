@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafill.llm import chat, knn, langid, periods, sharding, toxicity
+from stratafill.llm import chat, knn, langid, periods, sharding, simhash, toxicity
 from stratafill.llm.aligned import align_documents
 from stratafill.llm.archive import page_of, read_archives, write_archives
 from stratafill.llm.common import small_batches, table
@@ -186,6 +186,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("groups_sha256"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and the least id of its component of near fingerprints."""
+    small_batches(spark)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+        "component_id")
+
+
 LLM_QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -199,5 +208,6 @@ LLM_QUERIES = {
     "op10_langid": op10_langid,
     "op11_periods": op11_periods,
     "op12_alignment": op12_alignment,
+    "op13_simhash": op13_simhash,
 }
 LLM_ORACLES: dict[str, str] = {}
