@@ -31,7 +31,7 @@ from stratafill.sources.staging import release, stage
 
 SLICE_PAIRS = 4_000_000
 PIECE = 4 << 20
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 64 << 20
 CHUNK = 1 << 16  # slots of a vector that is sent
 COUNTERS, BRANCHES = 64, 8  # tasks that count, sums per step of the tree
 
@@ -77,7 +77,7 @@ def _cuts(data: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Aligned units of texts. Lives as long as a task; remembers units up to a number of bytes."""
+    """Token ids of units. Lives as long as a task; remembers units up to a number of bytes."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -87,13 +87,23 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_bytes, self.b_bytes = byte_level_tokens(self.a), piece_tokens(self.b)
-        self.b_size = len(self.b_bytes)
+        a_bytes, b_bytes = byte_level_tokens(self.a), piece_tokens(self.b)
+        self.a_tokens, self.b_tokens = (pa.array(x, pa.large_binary()) for x in (a_bytes, b_bytes))
+        self.b_size = len(b_bytes)
         names = [self.b.id_to_piece(i) for i in range(self.b_size)]
         self.space = self.b.piece_to_id("▁")
         self.cuts = not any("▁" in x.lstrip("▁") or "\n" in x for x in names)
-        self.known: dict[bytes, tuple] = {}
+        #: ids as they are written: of A before , and |, of B before , and ;
+        self.written = pa.array(
+            [f"{i}{c}" for n, end in ((len(a_bytes), "|"), (self.b_size, ";"))
+             for i in range(n) for c in (",", end)], pa.large_binary())
+        self.b_written = 2 * len(a_bytes)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
         self.held = 0
+        self.ids = [Lists(), Lists()]
 
     def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """(text, number of unit) of all units in order, and the distinct units.
@@ -104,7 +114,7 @@ class Aligner:
         some = np.flatnonzero(np.diff(offsets))
         data = np.insert(data, offsets[some], 0x20)
         starts = offsets[some] + np.arange(len(some))
-        edges = np.union1d(starts, _cuts(data)) if self.cuts else starts
+        edges = distinct(np.concatenate([starts, _cuts(data)])) if self.cuts else starts
         text = some[np.searchsorted(starts, edges, side="right") - 1] if len(some) else some
         units = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(edges),
@@ -112,65 +122,124 @@ class Aligner:
         coded = units.dictionary_encode()
         return text, coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
-    def align(self, units: list[bytes]) -> list[tuple]:
-        """Per unit (tokens of A, of B, groups, links or None if the bytes differ, the groups).
-
-        Links are an array of ``a * size of B + b``, repeats included.
-        """
+    def encode(self, units: list[bytes]) -> tuple[Lists, Lists]:
+        """The ids of A and of B of each unit."""
+        if self.held > REMEMBERED_BYTES:
+            self._forget()
         new = [u for u in units if u not in self.known]
         if new:
             texts = [u.decode("utf-8", "replace") for u in new]
-            in_a = self.a.encode_batch_fast(texts, add_special_tokens=False)
+            in_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
             in_b = self.b.encode([x[1:] if x[0] == " " else x for x in texts], num_threads=1)
-            for unit, a, b in zip(new, in_a, in_b, strict=True):
+            for k, unit in enumerate(new):
                 if unit[0] != 0x20:  # it is inside a text, so the space that B adds goes
-                    b = b[1:] if b[:1] == [self.space] else [0]
-                self.known[unit] = found = self._groups(unit, a.ids, b)
-                self.held += 600 + len(unit) + 8 * found[2] + len(found[4])
-        out = [self.known[u] for u in units]
-        if self.held > REMEMBERED_BYTES:
-            self.known, self.held = {}, 0
-        return out
-
-    def _groups(self, unit: bytes, a: list[int], b: list[int]) -> tuple:
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if (b"".join([a_bytes[i] for i in a]) != unit or b"".join([b_bytes[i] for i in b]) != unit):
-            return (0, 0, 0, None, b"")
-        links, written, left, right = [], [], [], []
-        ahead, rest = 0, iter(b)  # bytes that the right side is ahead
-        for i in a:
-            left.append(i)
-            ahead -= len(a_bytes[i])
-            while ahead < 0:
-                j = next(rest)
-                right.append(j)
-                ahead += len(b_bytes[j])
-            if ahead == 0:
-                links += [x * self.b_size + y for x in left for y in right]
-                written.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                left, right = [], []
-        return (len(a), len(b), len(written), np.array(links, np.int64), ";".join(written).encode())
+                    in_b[k] = in_b[k][1:] if in_b[k][:1] == [self.space] else [0]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)),
+                                  strict=True))
+            for held, more in zip(self.ids, (in_a, in_b), strict=True):
+                held.extend(more)
+            self.held += sum(map(len, new)) + 150 * len(new) + 4 * sum(
+                len(x) for both in (in_a, in_b) for x in both)
+        at = np.array([self.known[u] for u in units], np.int64)
+        return self.ids[0].take(at), self.ids[1].take(at)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh]
+
+
+def ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...``, n[i] of them, for each i."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+class Lists:
+    """Lists of numbers, end to end: list i is ``flat[edges[i]:edges[i + 1]]``."""
+
+    def __init__(self, flat: np.ndarray | None = None, edges: np.ndarray | None = None):
+        self.flat = np.zeros(0, np.int32) if flat is None else flat
+        self.edges = np.zeros(1, np.int64) if edges is None else edges
+
+    def extend(self, lists: list[list[int]]) -> None:
+        more = np.fromiter(itertools.chain.from_iterable(lists), np.int32)
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.flat = np.concatenate([self.flat, more])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(n)])
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.edges)
+
+    def take(self, at: np.ndarray) -> Lists:
+        n = self.sizes[at]
+        return Lists(self.flat[ragged(self.edges[at], n)], np.append(0, np.cumsum(n)))
 
 
 class AlignedPiece:
     """One piece of texts: per unit occurrence its text and number, per distinct unit the rest.
 
-    Texts with a unit whose bytes differ have no units.
+    ``a`` and ``b`` are the ids of the distinct units, ``links`` their linked pairs as
+    ``a * size of B + b``, repeats included. Texts with a unit that the bytes of either
+    tokenization do not give back have no units.
     """
 
     def __init__(self, aligner: Aligner, column: pa.Array):
-        text, unit, distinct = aligner.units(column)
-        found = aligner.align(distinct.to_pylist())
-        bad = np.array([x[3] is None for x in found], bool)
-        good = np.ones(len(column), bool)
+        self.aligner, self.n = aligner, len(column)
+        self.text, self.unit, units = aligner.units(column)
+        self.a, self.b = aligner.encode(units.to_pylist())
+        bad = self._differs(units, self.a, aligner.a_tokens)
+        bad |= self._differs(units, self.b, aligner.b_tokens)
         if bad.any():
-            good[text[bad[unit]]] = False
-        own = good[text]
-        self.n, self.text, self.unit, self.found = len(column), text[own], unit[own], found
-        none = np.zeros(0, np.int64)
-        links = [none if x[3] is None else x[3] for x in found]
-        self.links = np.concatenate([none, *links])
-        self.first = np.append(0, np.cumsum([len(x) for x in links])).astype(np.int64)
+            good = np.ones(self.n, bool)
+            good[self.text[bad[self.unit]]] = False
+            own = good[self.text]
+            self.text, self.unit = self.text[own], self.unit[own]
+            keep = np.flatnonzero(~bad)  # the others have no occurrence any more
+            place = np.zeros(len(bad), np.int64)
+            place[keep] = np.arange(len(keep))
+            self.unit = place[self.unit]
+            self.a, self.b = self.a.take(keep), self.b.take(keep)
+        self._align()
+
+    @staticmethod
+    def _differs(units: pa.Array, ids: Lists, tokens: pa.Array) -> np.ndarray:
+        """Units whose tokens are not their bytes."""
+        n = np.diff(np.frombuffer(tokens.buffers()[1], np.int64))
+        sizes = np.diff(np.append(0, np.cumsum(n[ids.flat]))[ids.edges])
+        data, offsets = units.buffers()[2], np.frombuffer(units.buffers()[1], np.int64)
+        want = np.diff(offsets[:len(units) + 1])
+        bad = sizes != want
+        own = np.flatnonzero(~bad)
+        joined = tokens.take(pa.array(ids.take(own).flat)).buffers()[2] or b""
+        whole = np.frombuffer(data, np.uint8)[ragged(offsets[own], want[own])] if data else []
+        off = np.flatnonzero(np.frombuffer(joined, np.uint8)[:len(whole)] != whole)
+        bad[own[np.searchsorted(np.cumsum(want[own]), off, side="right")]] = True
+        return bad
+
+    def _align(self) -> None:
+        tokens = (self.aligner.a_tokens, self.aligner.b_tokens)
+        ends = [np.cumsum(np.diff(np.frombuffer(t.buffers()[1], np.int64))[x.flat])
+                for t, x in zip(tokens, (self.a, self.b), strict=True)]
+        self.closes = [np.isin(x, y, assume_unique=True) for x, y in (ends, ends[::-1])]
+        # the group of each token, and the tokens of each group
+        self.group = [np.cumsum(x) - x for x in self.closes]
+        groups = int(self.closes[0].sum())
+        self.in_group = [np.bincount(g, minlength=groups) for g in self.group]
+        n_a, n_b = self.in_group
+        per_a = n_b[self.group[0]]
+        first_b = np.cumsum(n_b) - n_b
+        right = self.b.flat[ragged(first_b[self.group[0]], per_a)]
+        self.links = np.repeat(self.a.flat.astype(np.int64), per_a) * self.aligner.b_size + right
+        #: links of distinct unit u are ``links[first[u]:first[u + 1]]``
+        self.first = np.append(0, np.cumsum(per_a))[self.a.edges]
+
+    def sizes(self) -> list[np.ndarray]:
+        """Per distinct unit: tokens of A, of B, groups, links."""
+        groups = np.diff(np.append(0, np.cumsum(self.closes[0]))[self.a.edges])
+        return [self.a.sizes, self.b.sizes, groups, np.diff(self.first)]
 
     def total(self, per_unit: np.ndarray) -> np.ndarray:
         """Sums per text of a whole number per distinct unit."""
@@ -180,26 +249,31 @@ class AlignedPiece:
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs, and in how many texts of the piece each is linked."""
-        pairs, number = np.unique(self.links, return_inverse=True)
+        pairs = distinct(self.links)
+        number = np.searchsorted(pairs, self.links)
         size = np.diff(self.first)
-        here = np.unique(self.text * np.int64(max(len(size), 1)) + self.unit)
-        text, unit = np.divmod(here, max(len(size), 1))
-        n = size[unit]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        held = number[np.repeat(self.first[unit], n) + within]
-        once = np.unique(np.repeat(text, n) * np.int64(max(len(pairs), 1)) + held)
+        text, unit = np.divmod(
+            distinct(self.text * np.int64(max(len(size), 1)) + self.unit), max(len(size), 1))
+        held = number[ragged(self.first[unit], size[unit])]
+        once = distinct(np.repeat(text, size[unit]) * np.int64(max(len(pairs), 1)) + held)
         docs = np.bincount(once % max(len(pairs), 1), minlength=len(pairs))
         return pairs[docs > 0], docs[docs > 0]
 
     def groups(self) -> pa.Array:
         """The groups of each text, written ``a1,a2|b1;a3|b2``."""
-        written = pa.array([x[4] + b";" for x in self.found], pa.large_binary())
-        held = written.take(pa.array(self.unit))
-        at = np.frombuffer(held.buffers()[1], np.int64)[held.offset:held.offset + len(held) + 1] \
-            if len(held) else np.zeros(1, np.int64)
-        data = held.buffers()[2].to_pybytes() if len(held) else b""
-        edges = at[np.searchsorted(self.text, np.arange(self.n + 1))].tolist()
-        return pa.array([data[x:max(x, y - 1)] for x, y in itertools.pairwise(edges)],
+        before_a = np.arange(len(self.a.flat)) + (np.cumsum(self.in_group[1]) - self.in_group[1])[
+            self.group[0]]
+        before_b = np.arange(len(self.b.flat)) + np.cumsum(self.in_group[0])[self.group[1]]
+        codes = np.zeros(len(before_a) + len(before_b), np.int64)
+        codes[before_a] = 2 * self.a.flat + self.closes[0]
+        codes[before_b] = self.aligner.b_written + 2 * self.b.flat + self.closes[1]
+        own = Lists(codes, self.a.edges + self.b.edges).take(self.unit)
+        held = self.aligner.written.take(pa.array(own.flat))
+        at = np.frombuffer(held.buffers()[1], np.int64)[:len(held) + 1] if len(held) \
+            else np.zeros(1, np.int64)
+        data = memoryview(held.buffers()[2]) if len(held) else b""
+        edges = at[own.edges[np.searchsorted(self.text, np.arange(self.n + 1))]].tolist()
+        return pa.array([bytes(data[x:max(x, y - 1)]) for x, y in itertools.pairwise(edges)],
                         pa.binary()).cast(pa.string())
 
 
@@ -297,8 +371,7 @@ def _looked_up(a_path: str, b_path: str, sent, with_groups: bool):
                 held = AlignedPiece(aligner, piece.column("text"))
                 count, best = known.of(held.links)
                 sums = [np.append(0, np.cumsum(x))[held.first] for x in (best, count)]
-                per_unit = [*[np.array([x[k] for x in held.found], np.int64) for k in range(3)],
-                            np.diff(held.first), *map(np.diff, sums)]
+                per_unit = [*held.sizes(), *map(np.diff, sums)]
                 groups = held.groups() if with_groups else pa.nulls(held.n, pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [*[piece.column(c) for c in KEY], *[pa.array(held.total(x)) for x in per_unit],

@@ -75,12 +75,15 @@ def test_odd_rows(spark, slice_pairs):
 
 
 def test_memory_that_is_dropped_changes_nothing(monkeypatch):
-    monkeypatch.setattr(aligned, "REMEMBERED_BYTES", 1)
     own = aligned.Aligner(A, B)
-    column = pa.array(ODD)
-    first = aligned.AlignedPiece(own, column)
-    assert not own.known
-    assert first.groups().to_pylist() == [x[6] for x in plain(ODD)]
+    want = [x[6] for x in plain(ODD)]
+    for limit in (1 << 30, 1):
+        monkeypatch.setattr(aligned, "REMEMBERED_BYTES", limit)
+        for k in range(0, len(ODD), 7):
+            part = aligned.AlignedPiece(own, pa.array(ODD[k:k + 7], pa.string()))
+            assert part.groups().to_pylist() == want[k:k + 7]
+        assert aligned.AlignedPiece(own, pa.array(ODD)).groups().to_pylist() == want
+    assert len(own.known) < 100
 
 
 def test_query(spark):
