@@ -104,6 +104,29 @@ def appointments(t: Tables) -> DataFrame:
         c("l_orderkey").alias("appointmentid"), c("l_partkey").alias("claimid"))
 
 
+def claims(t: Tables) -> DataFrame:
+    """Line items as claims on their shipment; those with an odd number replaced another claim."""
+    odd = c("l_linenumber") % 2
+    return tenant_lines(t).select(
+        "context_id", c("o_custkey").alias("patientid"), (c("l_partkey") + odd).alias("claimid"),
+        F.when(odd == 1, c("l_partkey")).alias("originalclaimid"),
+        c("l_suppkey").alias("renderingproviderid"), c("l_orderkey").alias("claimappointmentid"),
+        c("l_linenumber").alias("servicedepartmentid"),
+        F.date_add(c("l_shipdate").cast("date"), (c("l_suppkey") % 45).cast("int"))
+        .alias("ChargeFromDate"))
+
+
+def transactions(t: Tables) -> DataFrame:
+    """A charge per line item on its claim, by the year of the charge."""
+    return claims(t).select(
+        "context_id", "claimid", "ChargeFromDate",
+        F.year("ChargeFromDate").alias("charge_year"))
+
+
+def patient_appointments(t: Tables) -> DataFrame:
+    return appointments(t).withColumnRenamed("PatientID", "patientid")
+
+
 def birth_dates(t: Tables) -> DataFrame:
     """(c_custkey, dob): the first order, moved back by 0 to 69 years."""
     return (

@@ -11,7 +11,7 @@ from stratafill.analogues import adapters as on
 from stratafill.analogues import sql
 from stratafill.functions import buckets, dates, predicates, text
 from stratafill.functions.rules import DEPRESSION, DISEASE, ONCOLOGY, PAIN
-from stratafill.operators import cohort, features, quality, sequence, strata, threshold
+from stratafill.operators import claims, cohort, features, quality, sequence, strata, threshold
 from stratafill.operators.features import DISEASE_COUNTS
 from stratafill.plans import workflow
 from stratafill.sources.staging import stage
@@ -564,3 +564,64 @@ def claims_after_year(t):
         .join(t["customer"], c("o_custkey") == c("c_custkey"))
         .select(text.tenant_key(c("c_nationkey"), c("c_custkey")).alias("unique_patient"),
                 "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"))
+
+
+_LINK = ("a.context_id, a.patientid, a.appointmentid, AppointmentDate, c.claimid, "
+         "renderingproviderid")
+
+
+@register(f"""SELECT {_LINK} FROM appointments a JOIN claims c ON a.context_id = c.context_id
+AND a.patientid = c.patientid AND a.appointmentid = c.claimappointmentid
+JOIN (SELECT DISTINCT context_id, patientid, documentid FROM fills) r
+ON a.context_id = r.context_id AND a.patientid = r.patientid
+WHERE a.claimid IN (c.claimid, c.originalclaimid) AND year(AppointmentDate) > 1999""",
+          "appointments", "claims", "fills")
+def appointment_claims(t):
+    return claims.link_appointments(
+        on.patient_appointments(t), on.claims(t), stage(on.fills(t), "fills"), after=1999)
+
+
+@register(f"""SELECT {_LINK}, ChargeFromDate FROM appointments a JOIN claims c
+ON a.context_id = c.context_id AND a.patientid = c.patientid
+AND a.claimid IN (c.claimid, c.originalclaimid)
+AND ChargeFromDate BETWEEN CAST(AppointmentDate AS DATE) - 5 AND CAST(AppointmentDate AS DATE) + 25
+""", "appointments", "claims")
+def claims_near_appointments(t):
+    return claims.link_claims_within(
+        on.patient_appointments(t), on.claims(t), before=5, after=25)
+
+
+@register(f"""SELECT {_LINK}, r.documentid AS recordid, r.ChartID, d.documentid
+FROM appointments a JOIN claims c ON a.context_id = c.context_id
+AND a.patientid = c.patientid AND a.appointmentid = c.claimappointmentid
+JOIN fills r ON a.context_id = r.context_id AND a.patientid = r.patientid
+JOIN (SELECT context_id, o_custkey AS patientid, o_custkey AS ChartID,
+        (l_orderkey * 1000000 + l_partkey) * 10000 + l_suppkey AS documentid FROM tenant_lines) d
+ON r.context_id = d.context_id AND r.patientid = d.patientid AND r.ChartID = d.ChartID
+WHERE a.claimid IN (c.claimid, c.originalclaimid)
+AND AppointmentDate BETWEEN TIMESTAMP '2001-09-20' AND TIMESTAMP '2002-01-01'""",
+          "appointments", "claims", "fills", "tenant_lines")
+def appointment_records(t):
+    return claims.appointment_records(
+        on.patient_appointments(t), on.fills(t), on.claims(t), on.source_tables(t)["document"],
+        since="2001-09-20", until="2002-01-01")
+
+
+_CLAIM = """a.context_id, a.patientid, concat(a.context_id, ' - ', a.patientid) AS unique_patient,
+a.claimid, a.renderingproviderid, a.claimappointmentid, a.servicedepartmentid"""
+
+
+@register(f"""SELECT {_CLAIM}, b.ChargeFromDate FROM claims a JOIN claims b
+ON a.context_id = b.context_id AND a.claimid = b.claimid WHERE year(b.ChargeFromDate) > 2000""",
+          "claims")
+def claims_by_transactions(t):
+    return claims.claims_by_transactions(on.claims(t), on.transactions(t), after=2000)
+
+
+@register(f"""SELECT {_CLAIM} FROM claims a SEMI JOIN (
+  SELECT context_id, claimid FROM claims
+  WHERE year(ChargeFromDate) IN (SELECT year(EncounterDate) FROM fills)) b
+ON a.context_id = b.context_id AND a.claimid = b.claimid""", "claims", "fills")
+def claims_in_fill_years(t):
+    charged = stage(on.transactions(t), "transactions", ["charge_year"])
+    return claims.claims_in_fill_years(on.claims(t), charged, on.fills(t))

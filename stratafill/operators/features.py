@@ -14,6 +14,7 @@ from stratafill.functions.predicates import in_list
 from stratafill.functions.rules import DEPRESSION, DISEASE, ONCOLOGY, PAIN
 from stratafill.functions.text import first_present, tenant_key
 from stratafill.operators.cohort import DEMOGRAPHIC_COLUMNS
+from stratafill.operators.joins import join_reduced
 
 # Output column -> label counted, in output order.
 GROSS_COUNTS = ("diagnosiscode_all_total", "oncology_visits", "pain_visits", "depression_visits")
@@ -169,13 +170,16 @@ def encounter_features(codes: DataFrame) -> DataFrame:
 def build_detail(
     demographics: DataFrame, fills: DataFrame, surgery: DataFrame, dx: DataFrame
 ) -> DataFrame:
-    """One row per fill record and demographic row of its patient (:data:`DETAIL_COLUMNS`)."""
+    """One row per fill record and demographic row of its patient (:data:`DETAIL_COLUMNS`).
+
+    The people are written first, so that a patient with very many fills is split.
+    """
     people = demographics.join(surgery, "unique_patient", "left")
     quantity = F.col("prescriptionfillquantity")
+    recorded = fills.select("unique_patient", *DETAIL_FILL_COLUMNS).join(
+        dx, ["unique_patient", "ClinicalEncounterID"], "left")
     return (
-        fills.select("unique_patient", *DETAIL_FILL_COLUMNS)
-        .join(dx, ["unique_patient", "ClinicalEncounterID"], "left")
-        .join(people, "unique_patient")
+        join_reduced(recorded, people, "unique_patient")
         .withColumnsRenamed(DETAIL_NAMES)
         .fillna(0, subset=["numberofrefillsprescribed", *SURGERY_COUNTS, *DETAIL_COUNTS])
         .fillna("no surgery", subset=[SURGERY_LABEL])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafill.functions.predicates import contains_any
+from stratafill.operators.joins import join_reduced
 
 
 def profile(df: DataFrame, key: str, extra: Mapping[str, str] | None = None) -> DataFrame:
@@ -67,7 +68,7 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def rows_of_duplicates(df: DataFrame, keys: Sequence[str], entity: str) -> DataFrame:
     """All rows of the entities that own a repeated key combination."""
-    return df.join(duplicates(df, keys).select(entity).distinct(), entity, "left_semi")
+    return join_reduced(df, duplicates(df, keys).select(entity).distinct(), entity, "left_semi")
 
 
 def multi_encounter_days(
@@ -76,7 +77,7 @@ def multi_encounter_days(
 ) -> DataFrame:
     """All rows of the entities with several encounters on one day."""
     days = duplicates(df.select(key, date, encounter).distinct(), [key, date])
-    return df.join(days.select(key).distinct(), key, "left_semi")
+    return join_reduced(df, days.select(key).distinct(), key, "left_semi")
 
 
 def trace(df: DataFrame, key: str, value, *order: str) -> DataFrame:

@@ -31,15 +31,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write an intermediate result that later steps read more than once, and read it back.
 
     The files replace the lineage: a lost executor costs a re-read, and each reader prunes
-    columns and pushes its filters into the scan. ``release`` removes the files.
+    columns and pushes its filters into the scan. ``partition_by`` are columns with few values
+    that readers prune by. ``release`` removes the files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
     # whatever is not released goes when the driver ends
