@@ -123,8 +123,9 @@ def transactions_in_fill_years(transactions: DataFrame, fills: DataFrame) -> Dat
     ``transactions`` are partitioned by ``charge_year``; only the partitions of those years are
     read, which is known when the query runs.
     """
+    # Spark prunes by a side that has a comparison, which "is not null" is none of
     years = fills.select(F.year("EncounterDate").alias("charge_year")).where(
-        "charge_year IS NOT NULL").distinct()
+        "charge_year > 0").distinct()
     # a row per year
     return transactions.join(F.broadcast(years), "charge_year", "left_semi")
 
