@@ -11,7 +11,7 @@ from stratafill.analogues import adapters as on
 from stratafill.analogues import sql
 from stratafill.functions import buckets, dates, predicates, text
 from stratafill.functions.rules import DEPRESSION, DISEASE, ONCOLOGY, PAIN
-from stratafill.operators import claims, cohort, features, quality, sequence, strata, threshold
+from stratafill.operators import claims, cohort, features, quality, ruletable, sequence, strata, threshold
 from stratafill.operators.features import DISEASE_COUNTS
 from stratafill.plans import workflow
 from stratafill.sources.staging import stage
@@ -247,6 +247,19 @@ _classified("classify_prefix", DEPRESSION)
 _classified("classify_disease", DISEASE)
 
 
+_SETS = {"oncology": ONCOLOGY, "pain": PAIN, "depression": DEPRESSION, "disease": DISEASE}
+
+
+@register(f"""SELECT p_partkey, code, {', '.join(
+    f"{sql.label_sql(rules, 'code')} AS {name}" for name, rules in _SETS.items())}
+FROM (SELECT p_partkey, {sql.code_sql('p_partkey')} AS code FROM part)""")
+def classify_by_table(t):
+    codes = t["part"].select("p_partkey", on.code_of(c("p_partkey")).alias("code"))
+    return ruletable.apply_rules(
+        codes, ruletable.rule_table(t.spark, _SETS),
+        {name: rules.default for name, rules in _SETS.items()}, "code")
+
+
 def _core(t):
     return stage(on.detail(t).select(*workflow.CORE_COLUMNS), "detail")
 
@@ -367,6 +380,15 @@ def random_order_id(t):
     return keys.withColumn("randGUID", strata.random_id(c("unique_patient"), on.CFG.id_seed))
 
 
+@register("""SELECT unique_patient, randGUID, row_number() OVER (
+ORDER BY randGUID, unique_patient) AS random_order
+FROM (SELECT DISTINCT concat(c_nationkey, ' - ', c_custkey) AS unique_patient,
+  sha256(concat('example|', c_nationkey, ' - ', c_custkey)) AS randGUID FROM customer)""")
+def patients_in_random_order(t):
+    return strata.in_random_order(t["customer"].select(
+        text.tenant_key(c("c_nationkey"), c("c_custkey")).alias("unique_patient")), on.CFG.id_seed)
+
+
 # --- fills in sequence ---------------------------------------------------------------------
 
 _SEQ = "unique_patient, EncounterDate, ndc, prescriptionfillquantity"

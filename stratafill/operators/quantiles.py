@@ -90,3 +90,19 @@ def upper_median(df: DataFrame, by: Sequence[str], value: str, out: str = "cut")
     """Per group: the least value of the top half (half rounded up)."""
     middle = F.floor(F.col("_n") / 2)
     return _values_at(df, by, value, middle, middle).select(*by, F.col("_low").alias(out))
+
+
+def quantile_sketch(
+    df: DataFrame, by: Sequence[str], value: str, p: float, out: str, size: str,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """Per group: a value whose rank is within n / ``accuracy`` of the ``p`` quantile's, and n.
+
+    One pass and one shuffle of sketches, which hold some ``accuracy`` numbers a group at most and
+    are merged; for many values where an exact rank is not asked for. Not interpolated. Null
+    values count nowhere.
+    """
+    known = df.where(F.col(value).isNotNull())
+    return known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias(size),
+        F.percentile_approx(F.col(value).cast("double"), p, accuracy).alias(out))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from stratafill.functions.buckets import (
     chronic_bucket, median_bucket, micro_stratum, surgery_bucket)
 from stratafill.operators.features import DISEASE_COUNTS
+from stratafill.operators.ordered import ordered_scan
 from stratafill.operators.quantiles import upper_median
+from stratafill.sources.staging import stage
 
 # Total column -> short name in the stratum label, in label order.
 CUT_FEATURES = {
@@ -124,3 +126,27 @@ def random_id(key: Column, seed: str | None) -> Column:
     """
     seed = secrets.token_hex(32) if seed is None else seed
     return F.sha2(F.concat_ws("|", F.lit(seed), key), 256)
+
+
+def in_random_order(patients: DataFrame, seed: str | None = None) -> DataFrame:
+    """The distinct patients with randGUID and random_order, 1 to n over all of them by randGUID.
+
+    Patients are dealt to ranges of the id and numbered in each; the ranges' sizes give the rest,
+    so no task holds them all. With a seed (see :func:`random_id`) the numbers are the same on
+    every run and for any number of partitions.
+    """
+    drawn = stage(patients.select("unique_patient").distinct().withColumn(
+        "randGUID", random_id(F.col("unique_patient"), seed)), "drawn")
+    # one key for all: a scan in blocks, however many rows it has
+    return ordered_scan(drawn.withColumn("_all", F.lit(0)), "_all", ["randGUID", "unique_patient"],
+                        number="random_order").drop("_all")
+
+
+def random_sample(patients: DataFrame, n: int, seed: str | None = None) -> DataFrame:
+    """``n`` distinct patients at random (all, if fewer), by the least randGUID.
+
+    Each task hands on its ``n`` least, so take few.
+    """
+    drawn = patients.select("unique_patient").distinct().withColumn(
+        "randGUID", random_id(F.col("unique_patient"), seed))
+    return drawn.orderBy("randGUID", "unique_patient").limit(n)

@@ -1,4 +1,4 @@
-"""Staged intermediates and published tables."""
+"""Staged intermediates."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 _watching: list[list[DataFrame]] = []
@@ -50,6 +51,14 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     return staged
 
 
+def stage_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``stage``, with the rows and the aggregates ``counts``, taken in the pass that writes."""
+    seen = Observation()
+    staged = stage(df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counts.items()]), name)
+    return staged, {"rows": 0, **seen.get}
+
+
 @contextlib.contextmanager
 def staged_since() -> Iterator[list[DataFrame]]:
     """A list that gets every table staged inside the block."""
@@ -90,17 +99,6 @@ def _file_system(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def publish(
-    df: DataFrame, table: str, mode: str = "overwrite", partition_by: Sequence[str] | None = None
-) -> DataFrame:
-    """Replace the catalog table ``table`` by ``df`` and return the table."""
-    writer = df.write.mode(mode).format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(table)
-    return df.sparkSession.read.table(table)
-
-
 def preview(df: DataFrame, n: int = 100) -> DataFrame:
     """Any ``n`` rows."""
     return df.limit(n)
