@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key, same
 from stratafill.llm.perfecthash import PLACED, PerfectHash, buckets_for, place_group
+from stratafill.llm.tokens import Lists, distinct, ragged, units_of
 from stratafill.llm.words import buffers, pieces
 from stratafill.sources.staging import release, stage
 
@@ -55,27 +56,6 @@ def piece_tokens(model) -> list[bytes]:
             for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
 
 
-def _cuts(data: np.ndarray) -> np.ndarray:
-    """Where a single space or line end stands between two characters that are no white space."""
-    white = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D)) | ((data >= 0x1C) & (data <= 0x1F))
-    own = np.flatnonzero((data == 0x20) | (data == 0x0A))
-    d = np.concatenate([data, np.zeros(2, np.uint8)])
-    first, second, third = d[:-2], d[1:-1], d[2:]
-    two = (first == 0xC2) & ((second == 0x85) | (second == 0xA0))
-    # U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+2581 (a space to B), U+3000
-    three = (((first == 0xE1) & (second == 0x9A) & (third == 0x80))
-             | ((first == 0xE2) & (second == 0x80) & (
-                 (third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)))
-             | ((first == 0xE2) & (second == 0x81) & (third == 0x9F))
-             | ((first == 0xE2) & (second == 0x96) & (third == 0x81))
-             | ((first == 0xE3) & (second == 0x80) & (third == 0x80)))
-    for at, size in ((np.flatnonzero(two), 2), (np.flatnonzero(three), 3)):
-        for k in range(size):
-            white[at + k] = True
-    own = own[(own > 0) & (own < len(data) - 1)]
-    return own[~white[own - 1] & ~white[own + 1]]
-
-
 class Aligner:
     """Token ids of units. Lives as long as a task; remembers units up to a number of bytes."""
 
@@ -114,13 +94,8 @@ class Aligner:
         some = np.flatnonzero(np.diff(offsets))
         data = np.insert(data, offsets[some], 0x20)
         starts = offsets[some] + np.arange(len(some))
-        edges = distinct(np.concatenate([starts, _cuts(data)])) if self.cuts else starts
-        text = some[np.searchsorted(starts, edges, side="right") - 1] if len(some) else some
-        units = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(edges),
-            [None, pa.py_buffer(np.append(edges, len(data)).astype(np.int64)), pa.py_buffer(data)])
-        coded = units.dictionary_encode()
-        return text, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        at, unit, units = units_of(data, starts, self.cuts)
+        return some[at], unit, units
 
     def encode(self, units: list[bytes]) -> tuple[Lists, Lists]:
         """The ids of A and of B of each unit."""
@@ -144,40 +119,6 @@ class Aligner:
         return self.ids[0].take(at), self.ids[1].take(at)
 
 
-def distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    fresh = np.ones(len(values), bool)
-    fresh[1:] = values[1:] != values[:-1]
-    return values[fresh]
-
-
-def ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """``first[i], first[i] + 1, ...``, n[i] of them, for each i."""
-    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-
-
-class Lists:
-    """Lists of numbers, end to end: list i is ``flat[edges[i]:edges[i + 1]]``."""
-
-    def __init__(self, flat: np.ndarray | None = None, edges: np.ndarray | None = None):
-        self.flat = np.zeros(0, np.int32) if flat is None else flat
-        self.edges = np.zeros(1, np.int64) if edges is None else edges
-
-    def extend(self, lists: list[list[int]]) -> None:
-        more = np.fromiter(itertools.chain.from_iterable(lists), np.int32)
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.flat = np.concatenate([self.flat, more])
-        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(n)])
-
-    @property
-    def sizes(self) -> np.ndarray:
-        return np.diff(self.edges)
-
-    def take(self, at: np.ndarray) -> Lists:
-        n = self.sizes[at]
-        return Lists(self.flat[ragged(self.edges[at], n)], np.append(0, np.cumsum(n)))
-
-
 class AlignedPiece:
     """One piece of texts: per unit occurrence its text and number, per distinct unit the rest.
 

@@ -5,186 +5,91 @@ whole sequences. The plan needs only how many pieces have each length: at most `
 numbers. Lengths are placed from long to short, each into the sequences with the least room that
 still fits; sequences with equal room are one entry with a range of numbers, so a step places
 thousands of pieces at once, and the plan has a size that does not follow the documents. A piece
-then takes its place by its rank among the pieces of its length.
+then takes its place by its rank among the pieces of its length. A whole sequence needs no plan:
+it is numbered where it was made and never shuffled.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import sys
 import zlib
-from array import array
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key
+from stratafill.llm.tokens import UnitTokens
 from stratafill.llm.words import per_piece
 from stratafill.sources.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-RANK_PARTS = 256
-_REMEMBERED = 500_000
-_tokenizers: dict[str, TokenBytes] = {}
-
-
-class Recent:
-    """A memory for what was used lately: twice ``size`` entries at most."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Keys that are not known; those that are can be read from ``young`` afterwards."""
-        found = keys.difference(self.young)
-        if self.old:
-            for k in found & self.old.keys():
-                self.young[k] = self.old[k]
-                found.discard(k)
-        return found
-
-    def trim(self) -> None:
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-
-
-class TokenBytes:
-    """Ids of a text as little-endian 32-bit numbers.
-
-    The vocabulary's pattern never joins what stands on the two sides of a single space between
-    two other characters: the space begins the next token. A single line end is a token, and so
-    is a full stop or a comma between a letter or digit and one of those. So texts without other
-    white space are cut there, and each part is encoded once and remembered; a text where the
-    cuts could be wrong is encoded whole.
-
-    If the vocabulary is a byte-level one whose merges are in the order of their ids, parts are
-    merged by tiktoken on the same vocabulary, which gives the same ids several times faster.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Recent(_REMEMBERED)
-        self.merger = _merger(path)
-
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        if self.merger is None:
-            return self._encode(parts)
-        return [array("I", x).tobytes() for x in map(self.merger.encode_ordinary, parts)]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(x) or any(s in x for s in self.special) else _cut_text(x)
-                 for x in texts]
-        new = sorted(self.parts.missing({x for parts in split if parts for x in parts}))
-        known = self.parts.young
-        known.update(zip(new, self._encode_parts(new), strict=True))
-        whole = iter(self._encode([t for t, x in zip(texts, split, strict=True) if x is None]))
-        out = [next(whole) if x is None else b"".join(map(known.__getitem__, x)) for x in split]
-        self.parts.trim()
-        return out
-
-
-def _merger(path: str):
-    """tiktoken over the vocabulary of a tokenizer file, or None if that would be another one."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)
-    vocabulary = model["model"].get("vocab", {})
-    merges = [x if isinstance(x, str) else " ".join(x) for x in model["model"].get("merges", [])]
-    kind = [x.get("type") for x in (model, model["model"], model.get("pre_tokenizer") or {})]
-    if (kind[1:] != ["BPE", "ByteLevel"] or model.get("normalizer")
-            or model["pre_tokenizer"].get("add_prefix_space") or sys.byteorder != "little"
-            or array("I").itemsize != 4
-            or [vocabulary.get(x.replace(" ", "")) for x in merges] != list(
-                range(256, 256 + len(merges)))):
-        return None
-    # byte-level vocabularies write the bytes that do not print as characters from 256 on
-    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in printed]
-    byte_of = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(other)}
-    ranks = {bytes(byte_of[c] for c in x): i for x, i in vocabulary.items()
-             if i < 256 + len(merges)}
-    return tiktoken.Encoding("parts", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks,
-                             special_tokens={})
-
-
-# The pattern that byte-level pre-tokenizers cut by.
-_BYTE_LEVEL = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
-               r"|\s+(?!\S)|\s+")
-_CUT = "\x01"
-#: other white space, white space side by side or at an end, a stop or comma that begins a token
-_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z|[\W_][.,](?=[ \n])|\x01")
-
-
-def _cut_text(text: str) -> list[str]:
-    text = text.replace(" ", _CUT + " ").replace("\n", _CUT + "\n" + _CUT)
-    for mark in ".,":
-        text = text.replace(mark + _CUT, _CUT + mark + _CUT)
-    return text.split(_CUT)
-
-
-def token_bytes(path: str) -> TokenBytes:
-    if path not in _tokenizers:
-        _tokenizers[path] = TokenBytes(path)
-    return _tokenizers[path]
-
-
-PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
-
-
-def _cut(path: str, capacity: int, with_ids: bool):
-    end = END_ID.to_bytes(4, "little")
-
-    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        encode = token_bytes(path)
-        texts = [x or "" for x in piece.column("text").to_pylist()]
-        rows, at, number, start, length, crc, ids = piece.num_rows, [], [], [], [], [], []
-        for row, held in zip(range(rows), encode(texts), strict=True):
-            held += end
-            n, first, k = len(held) // 4, 0, 0
-            while first < n:
-                last = first + ((n - first - 1) % capacity + 1 if k == 0 else capacity)
-                part = held[first * 4:last * 4]
-                at.append(row)
-                number.append(k)
-                start.append(first)
-                length.append(last - first)
-                crc.append(zlib.crc32(part))
-                ids.append(part if with_ids else None)
-                first, k = last, k + 1
-        take = pa.array(at, pa.int64())
+RANK_ROWS = 50_000
+
+
+PIECES = ("_id bigint, _th bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
+          "ids binary, _task int, _nth bigint")
+
+
+def _cut(path: str, capacity: int, with_ids: bool, narrow: bool):
+    kind = "<u2" if narrow else "<u4"
+
+    def pieces_of(piece: pa.RecordBatch, encode: UnitTokens) -> pa.RecordBatch:
+        n, (units, first) = piece.num_rows, encode(piece.column("text"))
+        ends = units.edges[first[1:]]
+        # the end id follows the ids of each text
+        flat = np.insert(units.flat, ends, END_ID).astype("<u4")
+        size = np.diff(np.append(0, ends)) + 1
+        edge = np.append(0, np.cumsum(size))
+        many = -(-size // capacity)
+        row = np.repeat(np.arange(n), many)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        # the first piece takes what is over
+        over = (size - 1) % capacity + 1
+        start = np.where(number == 0, 0, over[row] + (number - 1) * capacity)
+        length = np.where(number == 0, over[row], capacity)
+        begin = (edge[row] + start).tolist()
+        parts = [flat[i:i + k] for i, k in zip(begin, length.tolist(), strict=True)]
+        take = pa.array(row)
+        ids = [x.astype(kind).tobytes() if with_ids else None for x in parts]
         return pa.RecordBatch.from_arrays(
             [*[piece.column(c).take(take) for c in KEY], pa.array(number, pa.int32()),
-             pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-             pa.array(ids, pa.binary())],
+             pa.array(start), pa.array(length),
+             pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(ids, pa.binary())],
             names=[*KEY, "piece", "start", "length", "ids_crc32", "ids"])
-    return per_piece(run)
+
+    def run(batches):
+        encode = UnitTokens(path)  # for this task
+        task, full = TaskContext.get().partitionId(), 0
+        for some in per_piece(lambda piece: pieces_of(piece, encode))(batches):
+            whole = some.column("length").to_numpy() == capacity
+            nth = np.where(whole, full + np.cumsum(whole) - 1, -1)
+            full += int(whole.sum())
+            yield some.append_column("_task", pa.array([task] * some.num_rows, pa.int32())
+                                     ).append_column("_nth", pa.array(nth))
+    return run
 
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
-    capacity: int = CAPACITY, with_ids: bool = True,
+    capacity: int = CAPACITY, with_ids: bool = True, narrow: bool = False,
 ) -> DataFrame:
-    """Per piece: _id, _th, piece, start, length, ids_crc32 and ids (null without ``with_ids``)."""
+    """Per piece: _id, _th, piece, start, length, ids_crc32 and ids (null without ``with_ids``).
+
+    ``ids`` are little-endian 32-bit numbers, 16-bit ones with ``narrow``; the digest is of the
+    32-bit ones. _task and _nth number the pieces of ``capacity`` in the task that made them.
+    """
     texts = docs.select(F.col(text_col).cast("string").alias("text"),
                         *[c.alias(n) for n, c in document_key(docs, id_col, text_col).items()])
-    return texts.mapInArrow(_cut(tokenizer, capacity, with_ids),
-                            f"_id bigint, _th bigint, {PIECES}")
+    return texts.mapInArrow(_cut(tokenizer, capacity, with_ids, narrow), PIECES)
+
+
+def widened(ids: Column) -> Column:
+    """16-bit numbers, end to end, as 32-bit ones."""
+    return F.unhex(F.regexp_replace(F.hex(ids), "(....)", "$10000"))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -235,21 +140,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return steps
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (_id, _th, piece, length, ...) with sequence_id and offset (long).
-
-    No sequence holds more than ``capacity``; its pieces lie side by side from 0. ``pieces`` is
-    read three times, so pass a written table. Equal rows get places of their own.
-    """
+def _places(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces`` of less than ``capacity`` with sequence_id and offset, by rank within length."""
     spark = pieces.sparkSession
     counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(
         F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     steps = spark.createDataFrame(
         plan(counts, capacity), "length bigint, low bigint, high bigint, sequence bigint, "
                                 "at bigint, each bigint")
-    # rank within length: parts of a length are counted, then numbered inside
-    part = F.pmod(F.xxhash64("_id", "_th", "piece"), F.lit(RANK_PARTS)).cast("int")
-    parted = pieces.withColumn("_part", part)
+    # rank within length: parts of a length are counted, then numbered inside; a part has about
+    # RANK_ROWS pieces, however many a length has
+    parts = spark.createDataFrame(
+        [(k, n // RANK_ROWS + 1) for k, n in counts.items()], "length bigint, _parts bigint")
+    part = F.pmod(F.xxhash64("_id", "_th", "piece"), F.col("_parts")).cast("int")
+    parted = pieces.join(F.broadcast(parts), "length").withColumn("_part", part).drop("_parts")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (parted.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -270,15 +174,49 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
         (F.col("at") + F.pmod(nth, F.col("each")) * F.col("length")).cast("bigint").alias("offset"))
 
 
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` of :func:`token_pieces` with sequence_id and offset (long).
+
+    No sequence holds more than ``capacity``; its pieces lie side by side from 0. A piece of
+    ``capacity`` fills a sequence alone: it gets a negative number, by its place in its task after
+    the pieces of the tasks before, and is not shuffled. The others are planned and get numbers
+    from 0. ``pieces`` is read four times, so pass a written table. Equal rows get places of
+    their own.
+    """
+    own = ["_task", "_nth"]
+    parts = _places(pieces.where(F.col("length") < capacity), capacity).drop(*own)
+    full = pieces.where(F.col("length") == capacity)
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = full.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_task").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = full.join(F.broadcast(tasks), F.col("_task") == F.col("_of"))  # a row per task
+    alone = numbered.select(
+        *[c for c in pieces.columns if c not in own],
+        (-1 - F.col("_before") - F.col("_nth")).alias("sequence_id"),
+        F.lit(0).cast("bigint").alias("offset"))
+    return parts.unionByName(alone)
+
+
+def _is_narrow(tokenizer: str) -> bool:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
     capacity: int = CAPACITY, with_ids: bool = True,
 ) -> DataFrame:
     """Tokenize and pack ``docs``: a row per piece, with its sequence and its offset there.
 
-    A null text counts as empty and is the end id alone. Each row of ``docs`` is packed, repeated
-    rows too. Other columns play no part. The tokenized pieces are written to the shared folder.
+    ``ids`` are little-endian 32-bit numbers; they are written and shuffled as 16-bit ones if the
+    vocabulary allows. A null text counts as empty and is the end id alone. Each row of ``docs``
+    is packed, repeated rows too. Other columns play no part. A very long text is tokenized by
+    one task, in memory in proportion to it. The tokenized pieces are written to the shared
+    folder.
     """
-    return pack(stage(token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col,
-                                   capacity=capacity, with_ids=with_ids), "pieces"),
-                capacity=capacity)
+    narrow = with_ids and _is_narrow(tokenizer)
+    pieces = stage(token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col,
+                                capacity=capacity, with_ids=with_ids, narrow=narrow), "pieces")
+    packed = pack(pieces, capacity=capacity)
+    return packed.withColumn("ids", widened(F.col("ids"))) if narrow else packed
