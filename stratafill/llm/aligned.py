@@ -16,7 +16,7 @@ is broadcast has that bound at any size of the corpus. Documents are aligned onc
 from __future__ import annotations
 
 import itertools
-import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key, same
 from stratafill.llm.perfecthash import PLACED, PerfectHash, buckets_for, place_group
-from stratafill.llm.tokens import Lists, distinct, ragged, units_of
+from stratafill.llm.tokens import (
+    Lists, Vocabulary, byte_of_character, distinct, ragged, units_of)
 from stratafill.llm.words import buffers, pieces
 from stratafill.sources.staging import release, stage
 
@@ -39,10 +40,7 @@ COUNTERS, BRANCHES = 64, 8  # tasks that count, sums per step of the tree
 
 def byte_level_tokens(tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
-    # byte-level vocabularies write the bytes that do not print as characters from 256 on
-    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in printed]
-    byte_of = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(other)}
+    byte_of = byte_of_character()
     out = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():
         if all(c in byte_of for c in token):
@@ -56,28 +54,38 @@ def piece_tokens(model) -> list[bytes]:
             for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
 
 
-class Aligner:
-    """Token ids of units. Lives as long as a task; remembers units up to a number of bytes."""
+class Vocabularies:
+    """Both tokenizers and tables of their ids; of a fixed size."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.a = Vocabulary(a_path, ordinary=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        a_bytes, b_bytes = byte_level_tokens(self.a), piece_tokens(self.b)
+        a_bytes, b_bytes = byte_level_tokens(self.a.tokenizer), piece_tokens(self.b)
         self.a_tokens, self.b_tokens = (pa.array(x, pa.large_binary()) for x in (a_bytes, b_bytes))
         self.b_size = len(b_bytes)
         names = [self.b.id_to_piece(i) for i in range(self.b_size)]
         self.space = self.b.piece_to_id("▁")
-        self.cuts = not any("▁" in x.lstrip("▁") or "\n" in x for x in names)
+        self.cuts = self.a.cut and not any(
+            "▁" in x.lstrip("▁") or "\n" in x for x in names)
         #: ids as they are written: of A before , and |, of B before , and ;
         self.written = pa.array(
             [f"{i}{c}" for n, end in ((len(a_bytes), "|"), (self.b_size, ";"))
              for i in range(n) for c in (",", end)], pa.large_binary())
         self.b_written = 2 * len(a_bytes)
+
+
+@lru_cache(maxsize=1)
+def vocabularies(a_path: str, b_path: str) -> Vocabularies:
+    return Vocabularies(a_path, b_path)
+
+
+class Aligner:
+    """Token ids of units. Lives as long as a task; remembers units up to a number of bytes."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.vocabulary = vocabularies(a_path, b_path)
         self._forget()
 
     def _forget(self) -> None:
@@ -94,7 +102,7 @@ class Aligner:
         some = np.flatnonzero(np.diff(offsets))
         data = np.insert(data, offsets[some], 0x20)
         starts = offsets[some] + np.arange(len(some))
-        at, unit, units = units_of(data, starts, self.cuts)
+        at, unit, units = units_of(data, starts, self.vocabulary.cuts)
         return some[at], unit, units
 
     def encode(self, units: list[bytes]) -> tuple[Lists, Lists]:
@@ -104,11 +112,11 @@ class Aligner:
         new = [u for u in units if u not in self.known]
         if new:
             texts = [u.decode("utf-8", "replace") for u in new]
-            in_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-            in_b = self.b.encode([x[1:] if x[0] == " " else x for x in texts], num_threads=1)
+            in_a = self.vocabulary.a.encode(texts)
+            in_b = self.vocabulary.b.encode([x[1:] if x[0] == " " else x for x in texts], num_threads=1)
             for k, unit in enumerate(new):
                 if unit[0] != 0x20:  # it is inside a text, so the space that B adds goes
-                    in_b[k] = in_b[k][1:] if in_b[k][:1] == [self.space] else [0]
+                    in_b[k] = in_b[k][1:] if in_b[k][:1] == [self.vocabulary.space] else [0]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)),
                                   strict=True))
             for held, more in zip(self.ids, (in_a, in_b), strict=True):
@@ -128,11 +136,11 @@ class AlignedPiece:
     """
 
     def __init__(self, aligner: Aligner, column: pa.Array):
-        self.aligner, self.n = aligner, len(column)
+        self.tables, self.n = aligner.vocabulary, len(column)
         self.text, self.unit, units = aligner.units(column)
         self.a, self.b = aligner.encode(units.to_pylist())
-        bad = self._differs(units, self.a, aligner.a_tokens)
-        bad |= self._differs(units, self.b, aligner.b_tokens)
+        bad = self._differs(units, self.a, self.tables.a_tokens)
+        bad |= self._differs(units, self.b, self.tables.b_tokens)
         if bad.any():
             good = np.ones(self.n, bool)
             good[self.text[bad[self.unit]]] = False
@@ -161,7 +169,7 @@ class AlignedPiece:
         return bad
 
     def _align(self) -> None:
-        tokens = (self.aligner.a_tokens, self.aligner.b_tokens)
+        tokens = (self.tables.a_tokens, self.tables.b_tokens)
         ends = [np.cumsum(np.diff(np.frombuffer(t.buffers()[1], np.int64))[x.flat])
                 for t, x in zip(tokens, (self.a, self.b), strict=True)]
         self.closes = [np.isin(x, y, assume_unique=True) for x, y in (ends, ends[::-1])]
@@ -173,7 +181,7 @@ class AlignedPiece:
         per_a = n_b[self.group[0]]
         first_b = np.cumsum(n_b) - n_b
         right = self.b.flat[ragged(first_b[self.group[0]], per_a)]
-        self.links = np.repeat(self.a.flat.astype(np.int64), per_a) * self.aligner.b_size + right
+        self.links = np.repeat(self.a.flat.astype(np.int64), per_a) * self.tables.b_size + right
         #: links of distinct unit u are ``links[first[u]:first[u + 1]]``
         self.first = np.append(0, np.cumsum(per_a))[self.a.edges]
 
@@ -207,9 +215,9 @@ class AlignedPiece:
         before_b = np.arange(len(self.b.flat)) + np.cumsum(self.in_group[0])[self.group[1]]
         codes = np.zeros(len(before_a) + len(before_b), np.int64)
         codes[before_a] = 2 * self.a.flat + self.closes[0]
-        codes[before_b] = self.aligner.b_written + 2 * self.b.flat + self.closes[1]
+        codes[before_b] = self.tables.b_written + 2 * self.b.flat + self.closes[1]
         own = Lists(codes, self.a.edges + self.b.edges).take(self.unit)
-        held = self.aligner.written.take(pa.array(own.flat))
+        held = self.tables.written.take(pa.array(own.flat))
         at = np.frombuffer(held.buffers()[1], np.int64)[:len(held) + 1] if len(held) \
             else np.zeros(1, np.int64)
         data = memoryview(held.buffers()[2]) if len(held) else b""
