@@ -33,3 +33,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hand Python at most so many rows at once; texts and vectors are wide."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def share_drawn(order: Column, most: int, n: int) -> Column:
+    """Draw about ``most`` of ``n`` different rows by a 64-bit hash (a long); all, if most >= n.
+
+    The whole hash is compared, its low 20 bits before the others, so the share is right at any
+    size, and the rows that are drawn are in no special place of an order by the hash.
+    """
+    if most >= n:
+        return F.lit(True)
+    low_first = F.shiftleft(order, 44).bitwiseOR(F.shiftrightunsigned(order, 20))
+    return low_first.bitwiseXOR(F.lit(-(1 << 63))) < F.lit((most << 64) // n - (1 << 63))
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns of these names (in any case) renamed, and how to name them back."""
+    used = {c.lower() for c in [*docs.columns, *names]}
+    back, wanted = {}, {n.lower() for n in names}
+    for c in docs.columns:
+        if c.lower() in wanted:
+            free = next(x for x in (f"_kept_{i}" for i in range(len(used) + 1)) if x not in used)
+            used.add(free)
+            back[free] = c
+    return docs.withColumnsRenamed({v: k for k, v in back.items()}), back

@@ -24,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratafill.llm.common import share_drawn
 from stratafill.llm.ftrl import Ftrl
 from stratafill.llm.words import buffers, per_piece
 from stratafill.sources.staging import release, stage
 
 FEATURES = 1 << 16
 SIZES = (1, 2, 3)
-SAMPLE_PER_LANGUAGE = 3000  # rows a language is learned from, at most
+SAMPLE_PER_LANGUAGE = 3000  # rows a language is learned from, at most (about)
+MOST_LANGUAGES = 128  # of 65,536 weights each
 BLOCKS = 6
 ROUNDS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
@@ -183,14 +185,17 @@ def train(rows: DataFrame) -> Model:
 
     The sample is the SAMPLE_PER_LANGUAGE rows of a language with the least hash of their text
     (about; it is drawn by a cut of the hash, not by sorting). A tenth of it is left out of
-    learning and sets the temperature. Each row weighs 1 / share of its language, so languages are
-    as frequent as among all distinct rows. Rows with a null text or language are ignored.
+    learning and sets the temperature. Each row weighs what it stands for, the rows of its language
+    by those drawn, so languages are as frequent as among all distinct rows. Rows with a null text
+    or language are ignored. Of more than MOST_LANGUAGES languages, those with the most distinct
+    rows are learned (ties: the smaller name), which bounds the model.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).dropna()
     order = F.xxhash64("text", "lang")
+    # equal rows are learned from once
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct(order).alias("n"))
-             .orderBy("lang").collect()}  # equal rows are learned from once
+             .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     found = (rows.select("text").mapInArrow(_document_frequency, "feature bigint, n bigint")
              .groupBy("feature").agg(F.sum("n").alias("n")).toArrow()).to_pydict()
@@ -201,17 +206,19 @@ def train(rows: DataFrame) -> Model:
     if not languages:
         return model
 
-    share, weight = F.lit(0.0), F.lit(0.0)
-    mean = sum(sizes.values()) / sum(min(n, SAMPLE_PER_LANGUAGE) for n in sizes.values())
+    drawn = F.lit(False)
     for lang, n in sizes.items():
-        part, own = min(1.0, SAMPLE_PER_LANGUAGE / n), F.col("lang") == lang
-        share = F.when(own, F.lit(part)).otherwise(share)
-        weight = F.when(own, F.lit(1 / part / mean)).otherwise(weight)
-    drawn = F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)
-    sample = stage(
-        rows.where(drawn).distinct().withColumns({
-            "order": order, "weight": weight, "part": F.pmod(F.shiftright(order, 24), F.lit(10 * BLOCKS)).cast("int")}),
+        drawn |= (F.col("lang") == lang) & share_drawn(order, SAMPLE_PER_LANGUAGE, n)
+    sample = stage(rows.where(drawn).distinct().withColumns({
+        "order": order, "part": F.pmod(F.shiftright(order, 24), F.lit(10 * BLOCKS)).cast("int")}),
         "language_sample")
+    # weighed by what was drawn, 1 on average
+    found = {r.lang: r.n for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mean = sum(sizes[x] for x in found) / max(1, sum(found.values()))
+    weight = F.lit(0.0)
+    for lang, n in found.items():
+        weight = F.when(F.col("lang") == lang, F.lit(sizes[lang] / n / mean)).otherwise(weight)
+    drawn_rows, sample = sample, sample.withColumn("weight", weight)
     learned = sample.where(F.col("part") >= BLOCKS).withColumn("block", F.col("part") % BLOCKS)
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
@@ -229,11 +236,11 @@ def train(rows: DataFrame) -> Model:
     model.temperature = fit_temperature(
         np.array(held["z"], float).reshape(-1, len(languages)), np.array(held["label"], int),
         np.array(held["weight"], float))
-    release(sample)
+    release(drawn_rows)
     return model
 
 
-def _predict(model):
+def _predict(model, with_text: bool):
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         own: Model = model.value
         lang, score = [], []
@@ -247,8 +254,9 @@ def _predict(model):
             lang.append(own.languages[best])
             score.append(float(p[best]))
         return pa.RecordBatch.from_arrays(
-            [piece.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-            names=["row", "lang_pred", "score"])
+            [piece.column("row"), *([piece.column("text")] if with_text else []),
+             pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+            names=["row", *(["text"] if with_text else []), "lang_pred", "score"])
     return per_piece(run)
 
 
@@ -256,18 +264,25 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", carry: lis
             ) -> DataFrame:
     """The columns ``carry`` (default: all) of each row, with lang_pred and score.
 
+    Of languages with one score, the first by name is predicted.
+
     A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
     could be learned. The score is the calibrated probability of the predicted language. Columns
     of ``docs`` with these two names are replaced.
     """
     now = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size per language
     kept = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
-    packed = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"),
+    # the text goes to Python once
+    once = text_col in kept and docs.schema[text_col].dataType == T.StringType()
+    sent = [c for c in kept if not (once and c == text_col)]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in sent]).alias("row"),
                          F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
-    found = packed.mapInArrow(_predict(now), schema)
-    return found.select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
+    schema = T.StructType([
+        packed.schema["row"], *([T.StructField("text", T.StringType())] if once else []),
+        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = packed.mapInArrow(_predict(now, once), schema)
+    return found.select(*[F.col("text").alias(c) if once and c == text_col
+                          else F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafill.llm.common import KEY, document_key
+from stratafill.llm.common import KEY, document_key, share_drawn
 from stratafill.llm.ftrl import Ftrl
 from stratafill.llm.words import per_piece, words_of
 from stratafill.sources.staging import release, stage
@@ -113,9 +113,8 @@ def _marks(marked):
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         n = [int(counts[marked.value[held]].sum()) for held, counts in features(piece.column("text"))]
         return pa.RecordBatch.from_arrays(
-            [piece.column(c) for c in ("text", "toxic", "order", "weight")]
-            + [pa.array(n, pa.int64())],
-            names=["text", "toxic", "order", "weight", "marks"])
+            [piece.column(c) for c in ("text", "toxic", "order")] + [pa.array(n, pa.int64())],
+            names=["text", "toxic", "order", "marks"])
     return per_piece(run)
 
 
@@ -180,15 +179,17 @@ def train(rows: DataFrame) -> Model | None:
     known = n.sum(axis=0) >= LEAST_TEXTS
 
     order = F.xxhash64("text")
-    shares = np.minimum(1.0, SAMPLE_PER_CLASS / texts)
-    each = 1 / shares * (texts * shares).sum() / texts.sum()
-    of_class = lambda x: F.when(F.col("toxic") == 1, float(x[1])).otherwise(float(x[0]))
-    drawn = rows.withColumns({"order": order, "weight": of_class(each)}).where(
-        F.pmod("order", F.lit(1 << 20)) < of_class(shares) * (1 << 20))
-    sample = stage(drawn.mapInArrow(
-        _marks(marked), "text string, toxic int, order bigint, weight double, marks bigint"),
-        "toxic_sample")
+    drawn = [(F.col("toxic") == c) & share_drawn(order, SAMPLE_PER_CLASS, int(texts[c]))
+             for c in (0, 1)]
+    found = rows.where(drawn[0] | drawn[1]).withColumn("order", order)
+    held = stage(found.mapInArrow(
+        _marks(marked), "text string, toxic int, order bigint, marks bigint"), "toxic_sample")
     release(rows)
+    # weighed by what was drawn, 1 on average
+    taken = {r.toxic: r.n for r in held.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mean = sum(int(texts[c]) for c in taken) / max(1, sum(taken.values()))
+    each = [float(texts[c]) / taken.get(c, 1) / mean for c in (0, 1)]
+    sample = held.withColumn("weight", F.when(F.col("toxic") == 1, each[1]).otherwise(each[0]))
     cuts = [i / (GRADES - 1) for i in range(1, GRADES - 1)]
     found = sample.where("toxic = 1").agg(F.percentile("marks", F.array(*map(F.lit, cuts)))).first()
     grade = F.lit(1)
@@ -206,7 +207,7 @@ def train(rows: DataFrame) -> Model | None:
         w = np.zeros(FEATURES + GRADES - 1)
         w[total.column("feature").to_numpy()] = total.column("w").to_numpy()
         model = Model(w[:FEATURES], float(w[FEATURES]), np.clip(w[FEATURES + 1:], -6, 6), known)
-    release(sample)
+    release(held)
     return model
 
 

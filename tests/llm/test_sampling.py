@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratafill.llm import langid, toxicity
+from stratafill.llm.common import share_drawn
 
 SF = "/root/testdata/sf0.1"
 
@@ -41,6 +42,24 @@ def test_toxicity_of_a_sample_and_of_repeated_rows(labelled, monkeypatch):
     assert all(abs(r.toxic_score - want[i].toxic_score) < 1e-6 for i, r in got.items())
 
 
+def test_the_whole_hash_draws(spark):
+    """One row in 10,000, and in a billion, where 20 bits of a hash draw ten times too many."""
+    rows = spark.range(2_000_000).select(F.xxhash64("id").alias("h"))
+    drawn = rows.where(share_drawn(F.col("h"), 3000, 30_000_000)).count()
+    assert 140 <= drawn <= 262
+    assert rows.where(share_drawn(F.col("h"), 6000, 50_000_000_000)).count() <= 5
+    assert rows.where(share_drawn(F.col("h"), 7, 7)).count() == 2_000_000
+    assert rows.where(share_drawn(F.col("h"), 1, 2)).count() - 1_000_000 < 5000
+
+
+def test_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = spark.createDataFrame(
+        [(f"{w} {i}", x) for x, w, n in (("aa", "abba", 30), ("bb", "obbo", 20), ("cc", "icci", 20))
+         for i in range(n)] + [(f"dirty {i}", f"x{i}") for i in range(50)], "text string, lang string")
+    assert langid.train(rows).languages == ["aa", "bb"]
+
+
 def test_languages_of_a_sample_are_as_frequent_as_in_the_table(spark, monkeypatch):
     rows = spark.createDataFrame(
         [(f"{w} {i % 40} {'abcdefgh'[i % 8]}{'klmnopqr'[i // 8 % 8]}", lang)
