@@ -45,7 +45,7 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
     # whatever is not released goes when the driver ends
-    _file_system(spark, path).deleteOnExit(_path(spark, path))
+    remove_at_exit(spark, path)
     for held in _watching:
         held.append(staged)
     return staged
@@ -91,6 +91,11 @@ def remove(spark: SparkSession, path: str) -> None:
     _file_system(spark, path).delete(_path(spark, path), True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a path that has been written when the driver ends."""
+    _file_system(spark, path).deleteOnExit(_path(spark, path))
+
+
 def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
