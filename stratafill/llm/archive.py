@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafill.llm.warc import SCHEMA, WarcDataSource
+from stratafill.sources.staging import stage
 
 LEAST_BYTES = 100
 
@@ -28,7 +29,8 @@ def archive_records(
     id. Other columns play no part.
 
     Only ids and digests are compared. A frequent body is one key there, which adaptive
-    execution splits; the pages themselves are then joined by id and digest.
+    execution splits, since the least ids are written before they are joined; the pages
+    themselves are then joined by id and digest.
     """
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("target_uri"),
@@ -37,8 +39,9 @@ def archive_records(
                              "payload_digest": F.sha2("payload", 256)})
     keys = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("id").isNotNull()).select(
         "id", "payload_digest")
-    first = keys.groupBy("payload_digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    later = keys.join(first.where("first != last"), "payload_digest").where("id != first").select(
+    first = stage(keys.groupBy("payload_digest").agg(
+        F.min("id").alias("first"), F.max("id").alias("last")).where("first != last"), "first_pages")
+    later = keys.join(first, "payload_digest").where("id != first").select(
         "id", "payload_digest", "first").distinct()
     joined = rows.join(later, ["id", "payload_digest"], "left")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))

@@ -356,16 +356,17 @@ def _matches(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
     chosen = (classes.join(wanted, "cid").select(*KEY, "line", "cid")
               .groupBy(*KEY).agg(F.collect_list(F.struct("line", "cid")).alias("chosen")))
     found = docs.join(chosen, same(docs, chosen, KEY)).select("text", "chosen")
-    held = stage(found.mapInArrow(_word_sets, "cid bigint, words array<bigint>"), "line_sets")
+    # written, so that a class of many pairs is split
+    one = stage(found.mapInArrow(_word_sets, "cid bigint, words array<bigint>")
+                .dropDuplicates(["cid"]), "line_sets")
     drop_shuffles(docs.sparkSession)
-    one = held.dropDuplicates(["cid"])
     both = (pairs.join(one.select(F.col("cid").alias("x"), F.col("words").alias("u")), "x")
             .join(one.select(F.col("cid").alias("y"), F.col("words").alias("v")), "y"))
     common = F.size(F.array_intersect("u", "v"))
     union = F.size("u") + F.size("v") - common
     matched = stage(
         both.where(common >= F.lit(threshold) * union - 1e-9).select("x", "y"), "line_matches")
-    release(held)
+    release(one)
     return matched
 
 
@@ -478,6 +479,7 @@ def dedup_lines(
         (F.col("links") / F.col("times")).cast("bigint").alias("_links"), "gone",
         *([(F.col("matches") / F.col("times")).cast("bigint").alias("matches"), "held"]
           if all_links else []))
+    counted = stage(counted, "line_counts")  # so that rows that repeat a document are split
     joined = keyed.join(counted, same(keyed, counted, KEY), "left")
     text = F.col("row")[text_col]
     left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col("gone"), i))

@@ -147,15 +147,16 @@ def similar_pairs(
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     texts = wanted.join(classes.select("cid", *KEY), "cid")
     found = docs.join(texts, same(docs, texts, KEY)).select("cid", "text")
-    held = stage(found.mapInArrow(_sets(size), "cid bigint, bag array<bigint>"), "bags")
-    one = held.dropDuplicates(["cid"])  # a document may be there twice
+    # a document may be there twice; written after that, so that a class of many pairs is split
+    one = stage(found.mapInArrow(_sets(size), "cid bigint, bag array<bigint>")
+                .dropDuplicates(["cid"]), "bags")
     joined = (pairs.join(one.select(F.col("cid").alias("a"), F.col("bag").alias("x")), "a")
               .join(one.select(F.col("cid").alias("b"), F.col("bag").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
     linked = stage(joined.select(
         "a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity"))
         .where(F.col("similarity") >= threshold), "links")
-    release(held)
+    release(one)
     return linked
 
 
@@ -169,15 +170,17 @@ def _apart(
     among all classes of such buckets: two bags reach the threshold only if a shared element has
     few rarer ones before it in both.
     """
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    # tables with a row per key are written before they are joined: a large group is then split
+    sizes = stage(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "part_sizes")
     own = parts.join(sizes, "component").withColumnRenamed("node", "cid")
     member = shared.select("band", "hash", "cid").join(own, "cid", "left").select(
         "band", "hash", "cid", F.coalesce("component", "cid").alias("component"),
         F.coalesce("size", F.lit(1)).alias("size"))
     rank = F.struct("size", "component")
-    tops = member.groupBy("band", "hash").agg(
+    tops = stage(member.groupBy("band", "hash").agg(
         F.max(rank).alias("top"), F.min(rank).alias("low")).where("top != low")
-    apart = member.join(tops.select("band", "hash", "top"), ["band", "hash"])
+        .select("band", "hash", "top"), "tops")
+    apart = member.join(tops, ["band", "hash"])
     asked = stage(apart.groupBy("cid", "component", "size").agg(
         F.max(F.col("component") != F.col("top.component")).alias("asks")), "apart")
 
@@ -186,7 +189,8 @@ def _apart(
     bags_ = found.mapInArrow(_sets(size), "cid bigint, bag array<bigint>").dropDuplicates(["cid"])
     held = stage(bags_, "open_bags")
     elements = held.select("cid", F.size("bag").alias("n"), F.explode("bag").alias("element"))
-    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    often = stage(elements.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
+                  .where("often > 1"), "often")
     # of an element that no other bag has, only the number before the shared ones matters
     listed = elements.join(often, "element").select("cid", "n", "element", "often")
     order = Window.partitionBy("cid").orderBy("often", "element")
@@ -207,7 +211,7 @@ def _apart(
         & (F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n") - 1e-9))
     found = stage(pairs.select(F.greatest("x_cid", "y_cid").alias("a"),
                                F.least("x_cid", "y_cid").alias("b")).distinct(), "apart_pairs")
-    release(asked, held, placed)
+    release(sizes, tops, asked, held, often, placed)
     return found
 
 
@@ -237,12 +241,14 @@ def near_duplicates(
 
     buckets = classes.select("cid", "n", F.posexplode("bands").alias("band", "hash"))
     bucket = ["band", "hash"]
-    several = buckets.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    several = stage(buckets.groupBy(*bucket).agg(F.count(F.lit(1)).alias("members"))
+                    .where("members > 1"), "several")
     shared = stage(buckets.join(several, bucket), "buckets")
     met = shared.groupBy("cid").agg(F.sum(F.col("members") - 1).alias("met"))
-    heads = (shared.join(met, "cid")
-             .groupBy(*bucket, F.pmod(F.xxhash64("cid"), F.lit(HEADS)).alias("part"))
-             .agg(F.max(F.struct("met", "cid", "n")).alias("head")))
+    heads = stage(
+        shared.join(met, "cid")
+        .groupBy(*bucket, F.pmod(F.xxhash64("cid"), F.lit(HEADS)).alias("part"))
+        .agg(F.max(F.struct("met", "cid", "n")).alias("head")), "heads")
     near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
     tried = stage(
         shared.join(heads, bucket).select(
@@ -258,19 +264,20 @@ def near_duplicates(
         rest.join(tried, ["a", "b"], "left_anti"), classes, docs, threshold, shingle_words)
     groups = stage(connected_components(
         links.select("a", "b").unionByName(more.select("a", "b"))), "groups")
-    release(shared, tried, links, parts, rest, more)
+    release(several, shared, heads, tried, links, parts, rest, more)
 
     named = classes.select("cid", "n", "h1", "h2", "copies", *KEY).join(
         groups.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("group_id", F.coalesce("component", "cid"))
-    heads = named.groupBy("group_id").agg(F.min(F.struct(*KEY)).alias("kept"))
-    named = named.join(heads, "group_id").select(
+    least = stage(named.groupBy("group_id").agg(F.min(F.struct(*KEY)).alias("kept")), "least")
+    named = named.join(least, "group_id").select(
         "n", "h1", "h2", "copies", "group_id", F.col("cid").alias("class_id"), "kept")
     rows_ = documents.drop("bands")
     alone = rows_.where("n = 0").select(
         *KEY, (-1 - F.monotonically_increasing_id()).alias("class_id")).select(
         *KEY, "class_id", F.col("class_id").alias("group_id"), F.lit(1).cast("bigint").alias("copies"),
         F.lit(True).alias("keep"))
+    named = stage(named, "named")
     return rows_.where("n > 0").join(named, ["n", "h1", "h2"]).select(
         *KEY, "class_id", "group_id", "copies",
         (F.col("_id").eqNullSafe(F.col("kept._id")) & F.col("_th").eqNullSafe(F.col("kept._th")))

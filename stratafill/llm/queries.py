@@ -13,7 +13,7 @@ from stratafill.llm.decontaminate import contamination
 from stratafill.llm.linededup import dedup_lines
 from stratafill.llm.minhash import near_duplicates
 from stratafill.llm.packing import pack_documents
-from stratafill.sources.staging import new_path, stage
+from stratafill.sources.staging import new_path, remove_at_exit, stage
 
 SHARDS = 16
 
@@ -29,6 +29,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = records.withColumn("slot", sharding.slot_of(F.col("hash")))
     path = new_path(spark, "slot_map")
     sharding.save_map(sharding.first_map(sharding.slot_sizes(records), SHARDS), path)
+    remove_at_exit(spark, path)
     sharded = sharding.shard_of(records, sharding.load_map(spark, path))
     placed = sharding.places(sharded, "hash", ["doc_id", "text_crc32", "size"])
     return placed.select(
@@ -75,20 +76,27 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, as the archives that were written of all pages give it back."""
+    """Every page, as the archives that were written of all pages give it back.
+
+    Responses are read with their payload, of which length and digest are taken; revisits are
+    read from their headers alone. Both filters are the source's.
+    """
     small_batches(spark, 500)
     path = new_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    found = read_archives(spark, path)
-    # of a response, length and digest are taken from the payload that was read
-    own = F.col("record_type") == "response"
-    return found.select(
-        page_of("record_id").alias("page_id"),
-        F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("bigint")
-        .alias("payload_bytes"),
-        F.when(own, F.sha2("payload", 256)).otherwise(
-            F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
-        "record_type", page_of("refers_to").alias("refers_to"))
+    remove_at_exit(spark, path)
+    page = page_of("record_id").alias("page_id")
+    responses = read_archives(spark, path, ["record_id", "record_type", "refers_to", "payload"])
+    revisits = read_archives(
+        spark, path, ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
+    return responses.where("record_type = 'response'").select(
+        page, F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"), "record_type",
+        page_of("refers_to").alias("refers_to")
+    ).unionByName(revisits.where("record_type = 'revisit'").select(
+        page, "payload_bytes",
+        F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type",
+        page_of("refers_to").alias("refers_to")))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

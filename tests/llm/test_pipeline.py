@@ -45,3 +45,46 @@ def test_near_dedup_of_repeated_rows(spark):
     assert sorted(map(str, got.collect())) == sorted(str(r) for r in set(made.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_first" in plan
+
+
+ODD_ROWS = [
+    (None, "one two three four five six seven"), (None, None), (1, ""), (2, None), (3, "..."),
+    (4, "the same words here again and more of them"), (4, "the same words here again and more of them"),
+    (5, "the same words here again and more of them\nand a line of its own for this one"),
+    (6, "word " * 30_000), (7, "a line\n\n\n"), (8, "1 2 3 4 5")]
+CLASHING = ["score", "Lang_Pred", "_lines", "_removed", "_links", "_id", "_th", "_kept_0"]
+
+
+def odd_documents(spark, rows):
+    fields = ", ".join(f"{c} string" for c in CLASHING)
+    return spark.createDataFrame(
+        [(i, t, "en" if k % 2 else None, "s", -1, *[f"{c}{k}" for c in CLASHING])
+         for k, (i, t) in enumerate(rows)],
+        f"doc_id bigint, text string, lang string, source string, n_chars int, {fields}")
+
+
+def test_odd_rows_and_clashing_columns_in_every_stage(spark):
+    docs = odd_documents(spark, ODD_ROWS)
+    given = {r.score: r.asDict() for r in docs.collect()}
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.schema["n_chars"] == docs.schema["n_chars"]
+        rows = left[name] = got.collect()
+        for r in rows:
+            for c in CLASHING:
+                assert r[c] == given[r.score][c], (name, c)
+            assert r.doc_id == given[r.score]["doc_id"]
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    kept = {n: sorted(int(r.score[5:]) for r in rows) for n, rows in left.items()}
+    words_of = {k for k, (_, t) in enumerate(ODD_ROWS) if words(t or "")}
+    assert set(kept["language_id"]) <= words_of - {10}  # no letter in the last one
+    # rows that repeat a document share what becomes of it
+    assert kept["line_dedup"] == [0, 5, 6, 7, 8, 9, 10]
+    assert kept["minhash_near_dedup"] in (
+        [k for k in range(11) if k != 5], [k for k in range(11) if k != 6])
+    assert kept["benchmark_decontamination"] == list(range(11))
+    packed = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert sorted(r.doc_id or 0 for r in packed if r.piece == 0) == sorted(
+        i or 0 for i, _ in ODD_ROWS)
+    assert corpus_pipeline.packing(spark, docs.limit(0), SF).count() == 0
