@@ -420,13 +420,22 @@ def strata_threshold(t):
     return threshold.strata_threshold(stage(cumulative, "cumulative"))
 
 
-@register(f"""SELECT {', '.join('s.' + x for x in _SEQ.split(', '))}, s.rowid_encounter,
-lag_filldate, current_filldate, filldatediff, cumul_filldatediff FROM seq s
-JOIN gaps g ON s.unique_patient = g.unique_patient AND s.rowid_encounter = g.rowid_encounter""",
-          "seq", "gaps")
+@register(f"""SELECT {_SEQ}, number AS rowid_encounter, EncounterDate AS lag_filldate,
+coalesce(next_date, EncounterDate) AS current_filldate,
+coalesce(datediff('day', EncounterDate, next_date), 0) AS filldatediff,
+datediff('day', first_date, coalesce(next_date, EncounterDate)) AS cumul_filldatediff
+FROM (SELECT *, row_number() OVER w AS number, lead(EncounterDate) OVER w AS next_date,
+        first_value(EncounterDate) OVER w AS first_date
+      FROM (SELECT DISTINCT {_SEQ},
+              concat(strftime(EncounterDate, '%Y.%m.%d'), ndc, prescriptionfillquantity) AS tied
+            FROM order_fills)
+      WINDOW w AS (PARTITION BY unique_patient
+                   ORDER BY tied, EncounterDate, ndc, prescriptionfillquantity))""",
+          "order_fills")
 def fill_gaps(t):
-    numbered = sequence.fill_sequence(_order_fills(t)).drop("tiebreaker")
-    return sequence.fill_gaps(numbered)
+    # number and gaps in one scan
+    return sequence.fill_timeline(sequence.distinct_fills(on.order_fills(t))).drop(
+        "tiebreaker", "cumul_prescritionfillqty")
 
 
 @register("SELECT * FROM gaps", "gaps")
