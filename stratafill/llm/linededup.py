@@ -41,6 +41,7 @@ SIMILARITY = 0.8
 RARITY_SLOTS = 1 << 22  # 16 MB of counts, whatever the corpus
 LIST_ROWS = 1 << 15     # a part of a word's list has about so many rows at most
 NEAREST = 2             # candidates that a list gives a class at first
+SEEN_SETS = 1 << 20     # hashes of sets that a task remembers to give each once
 TRIED = 3               # of those, the nearest are compared before all are asked for
 
 
@@ -127,8 +128,7 @@ def _profile(counts, threshold: float, list_rows: int):
         lines = Lines(piece.column("text"), lambda words: counts.value[_slot(words)])
         words, sizes, rows = lines.words, lines.sizes, piece.num_rows
         owner = np.repeat(np.arange(len(lines)), sizes)
-        h1 = lines.summed(mix(words))
-        h2 = lines.summed(mix(words ^ np.uint64(0x5851F42D4C957F2D)))
+        h1, h2 = _set_hashes(lines)
         # parity of the words on each of 64 bits
         bits = (np.bitwise_xor.reduceat(
             np.uint64(1) << (words >> np.uint64(58)), lines.bounds[:-1])
@@ -319,21 +319,35 @@ def _gathered(batches, rows: int) -> Iterator[list[pa.RecordBatch]]:
         yield held
 
 
-def _word_sets(batches):
-    """The whole word sets of chosen lines, a row per class: ``chosen`` lists (line, cid)."""
-    for batch in per_piece(lambda piece: piece)(batches):
-        lines = Lines(batch.column("text"))
-        where = {(t, k): i for i, (t, k) in
-                 enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
-        ids, sets = [], []
-        for t, chosen in enumerate(batch.column("chosen").to_pylist()):
-            for c in chosen:
-                i = where[t, c["line"]]
-                ids.append(c["cid"])
-                sets.append(lines.words[lines.bounds[i]:lines.bounds[i + 1]].view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-            names=["cid", "words"])
+SETS = "n int, h1 bigint, h2 bigint, words array<bigint>"
+
+
+def _set_hashes(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    return (lines.summed(mix(lines.words)),
+            lines.summed(mix(lines.words ^ np.uint64(0x5851F42D4C957F2D))))
+
+
+def _word_sets(asked):
+    """The whole word sets of lines whose hash is in the filter, each about once per task."""
+    def run(batches):
+        seen = np.zeros(0, np.uint64)
+        for piece in per_piece(lambda piece: piece)(batches):
+            lines = Lines(piece.column("text"))
+            h1, h2 = _set_hashes(lines)
+            key = h1 ^ mix(h2)
+            at = np.flatnonzero(in_filter(asked.value, h1) & ~np.isin(key, seen))
+            _, first = np.unique(key[at], return_index=True)
+            at = np.sort(at[first])
+            seen = np.union1d(seen, key[at]) if len(seen) < SEEN_SETS else key[at]
+            n = lines.sizes[at]
+            flat = np.arange(n.sum()) + np.repeat(lines.bounds[at] - (np.cumsum(n) - n), n)
+            edges = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(n, pa.int32()), pa.array(h1[at].view(np.int64)),
+                 pa.array(h2[at].view(np.int64)),
+                 pa.ListArray.from_arrays(edges, pa.array(lines.words[flat].view(np.int64)))],
+                names=["n", "h1", "h2", "words"])
+    return run
 
 
 def _candidates(
@@ -351,14 +365,19 @@ def _candidates(
 
 
 def _matches(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (x, y) of classes whose word sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
-    chosen = (classes.join(wanted, "cid").select(*KEY, "line", "cid")
-              .groupBy(*KEY).agg(F.collect_list(F.struct("line", "cid")).alias("chosen")))
-    found = docs.join(chosen, same(docs, chosen, KEY)).select("text", "chosen")
+    """The pairs (x, y) of classes whose word sets reach the threshold.
+
+    The sets are taken from the texts once more, where these are read: only the sets of classes
+    in a pair go through a shuffle, not the texts.
+    """
+    whole = ["n", "h1", "h2"]
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
+    wanted = stage(classes.select("cid", *whole).join(ends, "cid"), "line_wanted")
+    asked = docs.sparkSession.sparkContext.broadcast(  # of a fixed size
+        bloom_filter(wanted.select(F.col("h1").alias("hash"))))
+    sets = docs.select("text").mapInArrow(_word_sets(asked), SETS)
     # written, so that a class of many pairs is split
-    one = stage(found.mapInArrow(_word_sets, "cid bigint, words array<bigint>")
-                .dropDuplicates(["cid"]), "line_sets")
+    one = stage(sets.join(wanted, whole).dropDuplicates(whole).select("cid", "words"), "line_sets")
     drop_shuffles(docs.sparkSession)
     both = (pairs.join(one.select(F.col("cid").alias("x"), F.col("words").alias("u")), "x")
             .join(one.select(F.col("cid").alias("y"), F.col("words").alias("v")), "y"))
@@ -366,7 +385,7 @@ def _matches(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
     union = F.size("u") + F.size("v") - common
     matched = stage(
         both.where(common >= F.lit(threshold) * union - 1e-9).select("x", "y"), "line_matches")
-    release(one)
+    release(one, wanted)
     return matched
 
 
@@ -428,10 +447,11 @@ def dedup_lines(
     empty text stays empty, a null stays null. Rows that repeat a document (id and text) give the
     same result each. All other columns are handed through.
 
-    With ``all_links`` every link is found, not one per line that has some, and two more columns
+    With ``all_links`` every link is found, not one per line that has some, and three more columns
     are added: _classes, per line with words, in order, the id of its class (a hash of its set of
-    words), and _matches (long), to how many other classes these lines are linked, earlier or
-    later ones, summed over the lines.
+    words); _class_matches (longs), to how many other classes each of these is linked, earlier or
+    later ones; and _matches (long), their sum. A very long line is one set of words, a very long
+    text one task's work, in memory that is in proportion to it.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.struct("*").alias("row"), *[
@@ -471,7 +491,8 @@ def dedup_lines(
         F.count(F.lit(1)).alias("lines"), F.count("linked").alias("links"),
         F.collect_set(F.when(gone, F.col("line"))).alias("gone"),
         *([F.sum("matches").alias("matches"),
-           F.array_sort(F.collect_set(F.struct("line", "h1", "h2"))).alias("held")]
+           F.array_sort(F.collect_set(F.struct(
+               "line", "h1", "h2", F.coalesce("matches", F.lit(0)).alias("matches")))).alias("held")]
           if all_links else []))
     # a document that is there twice has been counted twice
     counted = per_doc.join(times, same(per_doc, times, KEY)).select(
@@ -489,7 +510,10 @@ def dedup_lines(
              "_links": F.coalesce("_links", zero)}
     if all_links:
         ids = F.transform("held", lambda x: F.format_string("%016x%016x", x["h1"], x["h2"]))
-        added |= {"_matches": F.coalesce("matches", zero),
+        added |= {"_class_matches": F.coalesce(
+                      F.transform("held", lambda x: x["matches"].cast("bigint")),
+                      F.array().cast("array<bigint>")),
+                  "_matches": F.coalesce("matches", zero),
                   "_classes": F.coalesce(ids, F.array().cast("array<string>"))}
     shown = [F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(text).alias(c)
              if c == text_col else F.col("row")[c].alias(c)

@@ -57,7 +57,8 @@ def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_lines").alias("n_lines"),
         F.col("_removed").alias("n_removed"), F.col("_links").alias("n_links"),
-        F.col("_matches").alias("n_matches"), F.col("_classes").alias("class_ids"), "text")
+        F.col("_matches").alias("n_matches"), F.col("_classes").alias("class_ids"),
+        F.col("_class_matches").alias("class_matches"), "text")
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

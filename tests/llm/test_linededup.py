@@ -56,6 +56,11 @@ def test_odd_rows(spark):
         (3, "five", 2, "y", 2, 1, 0), (4, None, None, None, 0, 0, 0), (5, "", 5, "", 0, 0, 0),
         (6, "\n...\n", 6, "z", 0, 0, 0), (7, "six six", 7, None, 2, 1, 0)], key=key)
     assert linededup.dedup_lines(made.limit(0)).count() == 0
+    long = " ".join(f"w{i}" for i in range(60_000))
+    made = spark.createDataFrame(
+        [(1, long), (2, "short\n" + long + " more"), (3, long[:350_000])], "doc_id int, text string")
+    assert {r.doc_id: (r._lines, r._removed, r._links) for r in linededup.dedup_lines(made).collect()
+            } == {1: (1, 0, 0), 2: (2, 1, 1), 3: (1, 1, 1)}
 
 
 def test_all_links_of_a_family(spark):
@@ -82,6 +87,7 @@ def test_all_links_of_a_family(spark):
         for r in got:
             own = sets[r.doc_id]
             assert r._matches == sum(links[w] for w in own) and len(r._classes) == len(own)
+            assert r._class_matches == [links[w] for w in own]
             assert all(named.setdefault(c, w) == w for c, w in zip(r._classes, own, strict=True))
             assert tuple(r)[:5] == tuple(plain[r.doc_id])
         assert len(named) == len(every)
@@ -111,3 +117,4 @@ def test_the_query_gives_classes_and_links(spark):
     for r in got:
         own = [frozenset(words(x)) for x in texts[r.doc_id].split("\n") if words(x)]
         assert r.n_matches == sum(links[w] for w in own)
+        assert r.class_matches == [links[w] for w in own]
