@@ -14,8 +14,9 @@ class CohortConfig:
 
     ``tenants`` None means all tenants. ``cuts`` None means the medians of the data.
     ``feature_mode`` "reference" sums encounter counts once per fill of the encounter,
-    "dedup" once per encounter. ``collation`` applies to the lists of tenants, record types, code
-    sets, drug classes and drug names. ``id_seed`` None draws the random ids anew on each run.
+    "dedup" once per encounter. ``collation`` (``UTF8_LCASE``, ``UTF8_BINARY_RTRIM``, ``UTF8_LCASE_RTRIM``)
+    sets how text compares: the tenants in every join and key, the lists, the drug patterns and
+    the prefixes, ranges and whole codes of the rules. ``id_seed`` None draws the random ids anew on each run.
     """
 
     tenants: Sequence[str] | None = None

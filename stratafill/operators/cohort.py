@@ -86,6 +86,7 @@ def distinct_fill_records(joined_fills: DataFrame) -> DataFrame:
     kept = [c for c in FILL_COLUMNS if c != "unique_patient"]
     return (
         joined_fills.select(*kept).distinct()
+        .withColumn("medicationtype", F.col("medicationtype").cast("string"))  # no collation
         .withColumn("unique_patient", tenant_key(F.col("context_id"), F.col("EnterpriseID")))
         .select(*FILL_COLUMNS)
     )

@@ -19,6 +19,7 @@ from stratafill.operators.strata import (
 from stratafill.operators.threshold import strata_threshold
 from stratafill.sources.publishing import has_rows, publish, publish_version
 from stratafill.sources.staging import release, stage, stage_counted, staged_since
+from stratafill.sources.tables import collated
 
 # the columns of the detail table that the second step reads
 COUNTS_USED = ("diagnosiscode_all_total", *SUM_NAMES, *DISEASE_COUNTS)
@@ -145,6 +146,8 @@ def run(
     The partitions are the columns that a published table is partitioned by. With both tables
     published, what was staged is removed, the fills too.
     """
+    if cfg.collation:
+        tables = collated(tables, cfg.collation)
     with staged_since() as staged:
         fills, of_fills = stage_counted(build_fills(tables, cfg), "fills")
         keys, of_keys = stage_counted(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _L, _I, _D = T.StringType(), T.LongType(), T.IntegerType(), T.DateType()
@@ -54,3 +57,40 @@ class Tables(dict):
     def __missing__(self, name: str) -> DataFrame:
         self[name] = load(self.spark, self.root, name)
         return self[name]
+
+
+TENANT = "context_id"
+#: text that lists and rules are compared with
+COMPARED: dict[str, tuple[str, ...]] = {
+    "patient_medication": ("medicationtype",),
+    "medication": ("MedicationName", "HIC3Description"),
+    "icd_code_all": ("DiagnosisCode", "DiagnosisCodeSet"),
+}
+
+
+def one_spelling(c: Column, collation: str) -> Column:
+    """The text that all texts equal under the collation are written as.
+
+    For the collations that ignore the case of letters (LCASE), blanks at the end (RTRIM) or both.
+    """
+    if "RTRIM" in collation:
+        c = F.rtrim(c)
+    return F.lower(c) if "LCASE" in collation else c
+
+
+def collated(tables: Mapping[str, DataFrame], collation: str) -> dict[str, DataFrame]:
+    """The source tables with text that compares as under ``collation`` in every step.
+
+    Tenants get one spelling, since they become a part of the patient's key; text that lists,
+    patterns, prefixes and ranges are compared with is given the collation.
+    """
+    if not any(x in collation for x in ("LCASE", "RTRIM")) or not collation.startswith("UTF8_"):
+        raise ValueError(f"collation {collation!r} is not one of UTF8_LCASE and the RTRIM ones")
+    out = {}
+    for name in SCHEMAS:
+        df = tables[name]
+        if TENANT in df.columns:
+            df = df.withColumn(TENANT, one_spelling(F.col(TENANT).cast("string"), collation))
+        out[name] = df.withColumns({
+            c: F.collate(F.col(c), collation) for c in COMPARED.get(name, ())})
+    return out
