@@ -32,7 +32,7 @@ from stratafill.llm.words import buffers, pieces
 from stratafill.sources.staging import release, stage
 
 SLICE_PAIRS = 4_000_000
-PIECE = 4 << 20
+PIECE = 2 << 20
 REMEMBERED_BYTES = 64 << 20
 CHUNK = 1 << 16  # slots of a vector that is sent
 COUNTERS, BRANCHES = 64, 8  # tasks that count, sums per step of the tree

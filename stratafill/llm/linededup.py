@@ -91,8 +91,13 @@ def _slot(words: np.ndarray) -> np.ndarray:
 def _count_words(batches):
     """Words per slot of the table, summed over the partition."""
     counts = np.zeros(RARITY_SLOTS, np.int64)
-    for some in _gathered(per_piece(lambda piece: piece)(batches), 1 << 14):
-        slots = [_slot(words_of(x.column("text")).hashes) for x in some]
+    slots: list[np.ndarray] = []
+    for piece in per_piece(lambda piece: piece)(batches):
+        slots.append(_slot(words_of(piece.column("text")).hashes).astype(np.int32))
+        if sum(map(len, slots)) > 1 << 20:
+            counts += np.bincount(np.concatenate(slots), minlength=RARITY_SLOTS)
+            slots = []
+    if slots:
         counts += np.bincount(np.concatenate(slots), minlength=RARITY_SLOTS)
     some = np.flatnonzero(counts)
     for i in range(0, len(some), 1 << 16):

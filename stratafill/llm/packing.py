@@ -28,6 +28,7 @@ from stratafill.sources.staging import stage
 CAPACITY = 2048
 END_ID = 0
 RANK_ROWS = 50_000
+PIECE = 2 << 20  # of more text, more units are equal
 
 
 PIECES = ("_id bigint, _th bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
@@ -64,7 +65,8 @@ def _cut(path: str, capacity: int, with_ids: bool, narrow: bool):
     def run(batches):
         encode = UnitTokens(path)  # for this task
         task, full = TaskContext.get().partitionId(), 0
-        for some in per_piece(lambda piece: pieces_of(piece, encode))(batches):
+        for some in per_piece(
+                lambda piece: pieces_of(piece, encode), most=PIECE)(batches):
             whole = some.column("length").to_numpy() == capacity
             nth = np.where(whole, full + np.cumsum(whole) - 1, -1)
             full += int(whole.sum())

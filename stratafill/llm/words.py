@@ -7,6 +7,7 @@ does not follow the number of rows; only a single text longer than that makes a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
 
@@ -127,12 +128,24 @@ def words_of(column: pa.Array) -> Words:
     return Words(*buffers(column))
 
 
-def per_piece(function: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text"):
+def give_back() -> None:
+    """Return freed memory to the system; a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def per_piece(function: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text",
+              most: int = PIECE_BYTES):
     """A function for ``mapInArrow`` that sees bounded pieces."""
     def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, column):
-                yield function(piece)
+        try:
+            for batch in batches:
+                for piece in pieces(batch, column, most):
+                    yield function(piece)
+        finally:
+            give_back()
     return run
 
 
