@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from stratafill.llm.common import share_drawn
 from stratafill.llm.ftrl import Ftrl
-from stratafill.llm.words import buffers, per_piece
+from stratafill.llm.words import SMALL_PIECE, buffers, per_piece
 from stratafill.sources.staging import release, stage
 
 FEATURES = 1 << 16
@@ -112,7 +112,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def _document_frequency(batches):
     """Texts per feature in the partition, and at feature -1 the number of texts."""
     seen, n = np.zeros(FEATURES, np.int64), 0
-    for batch in per_piece(lambda piece: piece)(batches):
+    for batch in per_piece(lambda piece: piece, most=SMALL_PIECE)(batches):
         for held, _, _ in features(batch.column("text")):
             seen[held] += 1
             n += 1
@@ -133,7 +133,7 @@ def _learn_block(model):
         weights = table.column("weight").to_pylist()
         done = 0
         for batch in table.select(["text"]).combine_chunks().to_batches():
-            for piece in per_piece(lambda p: p)([batch]):
+            for piece in per_piece(lambda p: p, most=SMALL_PIECE)([batch]):
                 for held, counts, _ in features(piece.column("text")):
                     x = np.append(start.vector(held, counts), 1.0)
                     held = np.append(held, FEATURES)
@@ -161,7 +161,7 @@ def _raw_scores(model):
              pa.array([labels[x] for x in piece.column("lang").to_pylist()], pa.int32()),
              piece.column("weight")],
             names=["z", "label", "weight"])
-    return per_piece(run)
+    return per_piece(run, most=SMALL_PIECE)
 
 
 def fit_temperature(z: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
@@ -257,7 +257,7 @@ def _predict(model, with_text: bool):
             [piece.column("row"), *([piece.column("text")] if with_text else []),
              pa.array(lang, pa.string()), pa.array(score, pa.float64())],
             names=["row", *(["text"] if with_text else []), "lang_pred", "score"])
-    return per_piece(run)
+    return per_piece(run, most=SMALL_PIECE)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[str] | None = None

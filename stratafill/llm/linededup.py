@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key, same
 from stratafill.llm.decontaminate import bloom_filter, in_filter
-from stratafill.llm.words import Words, buffers, lists, mix, per_piece, words_of
+from stratafill.llm.words import SMALL_PIECE, Words, buffers, lists, mix, per_piece, words_of
 from stratafill.sources.staging import drop_shuffles, release, stage
 
 SIMILARITY = 0.8
@@ -92,7 +92,7 @@ def _count_words(batches):
     """Words per slot of the table, summed over the partition."""
     counts = np.zeros(RARITY_SLOTS, np.int64)
     slots: list[np.ndarray] = []
-    for piece in per_piece(lambda piece: piece)(batches):
+    for piece in per_piece(lambda piece: piece, most=SMALL_PIECE)(batches):
         slots.append(_slot(words_of(piece.column("text")).hashes).astype(np.int32))
         if sum(map(len, slots)) > 1 << 20:
             counts += np.bincount(np.concatenate(slots), minlength=RARITY_SLOTS)
@@ -157,7 +157,7 @@ def _profile(counts, threshold: float, list_rows: int):
             [piece.column("_id"), piece.column("_th"),
              *[lists(lines.text, x, rows) for x in flat]],
             names=["_id", "_th", "line", "h1", "h2", "n", "bits", "prefixes"])
-    return per_piece(run)
+    return per_piece(run, most=SMALL_PIECE)
 
 
 LISTED = "word int, part int, cid bigint, n int, bits bigint, place int, asks boolean"
@@ -336,7 +336,7 @@ def _word_sets(asked):
     """The whole word sets of lines whose hash is in the filter, each about once per task."""
     def run(batches):
         seen = np.zeros(0, np.uint64)
-        for piece in per_piece(lambda piece: piece)(batches):
+        for piece in per_piece(lambda piece: piece, most=SMALL_PIECE)(batches):
             lines = Lines(piece.column("text"))
             h1, h2 = _set_hashes(lines)
             key = h1 ^ mix(h2)
