@@ -38,11 +38,11 @@ def archive_records(
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"),
                              "payload_digest": F.sha2("payload", 256)})
     keys = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("id").isNotNull()).select(
-        "id", "payload_digest")
+        "id", "payload_digest").distinct()
     first = stage(keys.groupBy("payload_digest").agg(
         F.min("id").alias("first"), F.max("id").alias("last")).where("first != last"), "first_pages")
     later = keys.join(first, "payload_digest").where("id != first").select(
-        "id", "payload_digest", "first").distinct()
+        "id", "payload_digest", "first")
     joined = rows.join(later, ["id", "payload_digest"], "left")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     revisit = F.col("first").isNotNull()

@@ -219,4 +219,29 @@ LLM_QUERIES = {
     "op12_alignment": op12_alignment,
     "op13_simhash": op13_simhash,
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op5_topk": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+      FROM scored)
+WHERE place <= 5""",
+    "op6_warc": """
+WITH bodies AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT payload_digest, min(page_id) AS first_page FROM bodies
+  WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, bodies.payload_digest,
+  CASE WHEN page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM bodies LEFT JOIN firsts ON bodies.payload_digest = firsts.payload_digest""",
+}
