@@ -39,8 +39,12 @@ def code_of(number: Column) -> Column:
 
 
 def tenant_orders(t: Tables) -> DataFrame:
-    """Orders with their customer's nation, which is the tenant everywhere."""
-    people = t["customer"].select("c_custkey", c("c_nationkey").cast("string").alias("context_id"))
+    """Orders with their customer's nation, which is the tenant everywhere.
+
+    Customers grow with the orders, so they are shuffled and never sent through the driver.
+    """
+    people = t["customer"].select(
+        "c_custkey", c("c_nationkey").cast("string").alias("context_id")).hint("merge")
     return t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(
         people, c("o_custkey") == c("c_custkey")).drop("c_custkey")
 
@@ -76,7 +80,7 @@ def source_tables(t: Tables) -> dict[str, DataFrame]:
             c("p_name").alias("MedicationName"), c("p_type").alias("HIC3Description")),
         "patient": patient(t),
         "patient_surgery": t["events"].where(c("event_type") == "purchase").join(
-            t["customer"], c("user_id") == c("c_custkey")).select(
+            t["customer"].hint("merge"), c("user_id") == c("c_custkey")).select(
             c("c_nationkey").cast("string").alias("context_id"),
             c("user_id").alias("ChartID"), c("ts").alias("surgerydatetime"),
             F.when(c("value") >= 8, c("props")).alias("Procedure"),

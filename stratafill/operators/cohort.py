@@ -49,12 +49,16 @@ def qualifying_drugs(medication: DataFrame, cfg: CohortConfig) -> DataFrame:
 
 
 def build_fills(tables: Mapping[str, DataFrame], cfg: CohortConfig) -> DataFrame:
-    """Distinct qualifying fills (:data:`FILL_COLUMNS`) from the five source tables."""
+    """Distinct qualifying fills (:data:`FILL_COLUMNS`) from the five source tables.
+
+    Drugs and charts are shuffled, not broadcast: they grow with the data, and Spark's estimate
+    of their size knows neither what a list repeats per row nor how far a file is compressed.
+    """
     records = live_prescriptions(tables["patient_medication"], cfg)
     encounters = tables["clinicalencounter"].where(
         after_year(F.col("EncounterDate"), cfg.fills_after_year))
     drugs = qualifying_drugs(tables["medication"], cfg).select(
-        "context_id", F.col("FDBMedID").alias("FBDMedID"), "ndc")
+        "context_id", F.col("FDBMedID").alias("FBDMedID"), "ndc").hint("merge")
     fills = (
         records.select("context_id", "documentid", "medicationtype",
                        "prescriptionfillquantity", "numberofrefillsprescribed")
@@ -64,7 +68,7 @@ def build_fills(tables: Mapping[str, DataFrame], cfg: CohortConfig) -> DataFrame
         .join(drugs, ["context_id", "FBDMedID"])
         .join(encounters.select("context_id", "ClinicalEncounterID", "EncounterDate"),
               ["context_id", "ClinicalEncounterID"])
-        .join(tables["chart"].select("context_id", "ChartID", "EnterpriseID"),
+        .join(tables["chart"].select("context_id", "ChartID", "EnterpriseID").hint("merge"),
               ["context_id", "ChartID"])
     )
     return distinct_fill_records(fills)

@@ -75,7 +75,9 @@ def build_surgery(surgery: DataFrame, chart: DataFrame, cfg: CohortConfig) -> Da
     """Per patient: surgeries, different surgeries, and how the two compare."""
     procedures = (
         surgery.where(years_between(F.col("surgerydatetime"), *cfg.surgery_years))
-        .join(chart.select("context_id", "ChartID", "EnterpriseID"), ["context_id", "ChartID"])
+        # charts grow with the data: shuffled, as in build_fills
+        .join(chart.select("context_id", "ChartID", "EnterpriseID").hint("merge"),
+              ["context_id", "ChartID"])
         .select(
             tenant_key(F.col("context_id"), F.col("EnterpriseID")).alias("unique_patient"),
             first_present(F.col("Procedure"), F.col("Note")).alias("procedure"))

@@ -73,3 +73,35 @@ def test_catalog_tables_and_shared_folder(spark):
     assert Tables(spark)["three_rows"].count() == 3
     folder = spark.conf.get("spark.checkpoint.dir")
     assert all(folder in f for f in stage(spark.range(3), "x").inputFiles())
+
+
+def test_drugs_and_charts_are_not_sent_through_the_driver(spark, tmp_path):
+    """Small files can hold many rows: a list repeats them, and equal values take no room."""
+    from pyspark.sql import functions as F
+
+    from stratafill.operators.cohort import build_fills
+    from stratafill.operators.features import build_surgery
+
+    tables = source_tables(spark)
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    stored = Tables(spark, str(tmp_path))
+    stored["medication"] = stored["medication"].drop("context_id").distinct().withColumn(
+        "context_id", F.explode(F.array(*[F.lit(f"T{i}") for i in range(25)])))
+    text = simple_plan(build_fills(stored, CFG))
+    assert re.search(r"SortMergeJoin \[context_id#\d+, FBDMedID#\d+", text)
+    assert re.search(r"SortMergeJoin \[context_id#\d+, ChartID#\d+", text)
+    assert re.search(r"SortMergeJoin \[context_id#\d+, ChartID#\d+", simple_plan(
+        build_surgery(stored["patient_surgery"], stored["chart"], CFG)))
+    assert {tuple(r) for r in build_fills(stored, CFG).collect()} >= {
+        tuple(r) for r in build_fills(tables, CFG).collect()}
+
+
+def test_customers_of_orders_are_not_sent_through_the_driver(spark):
+    t = Tables(spark, FOLDER)
+    assert "Broadcast" not in simple_plan(on.tenant_orders(t))
+    assert "Broadcast" not in simple_plan(on.source_tables(t)["patient_surgery"])
+
+
+def simple_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
