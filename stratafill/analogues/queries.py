@@ -440,7 +440,9 @@ def fill_gaps(t):
 
 @register("SELECT * FROM gaps", "gaps")
 def gap_reference_form(t):
-    numbered = stage(sequence.fill_sequence(_order_fills(t)), "numbered")
+    # the columns that its joins read
+    numbered = stage(sequence.fill_sequence(_order_fills(t)).select(
+        "unique_patient", "EncounterDate", "rowid_encounter"), "numbered")
     return sequence.gap_reference_form(numbered)
 
 

@@ -81,10 +81,13 @@ def raw_gaps(sequence: DataFrame) -> DataFrame:
     b = sequence.select(
         KEY, (F.col("rowid_encounter") - 1).alias("rowid_encounter"),
         F.col("EncounterDate").alias("current_filldate"))
-    return a.join(b, [KEY, "rowid_encounter"]).select(
+    # the days follow from the dates: added after the distinct
+    pairs = a.join(b, [KEY, "rowid_encounter"]).select(
+        KEY, "lag_filldate", "current_filldate", "rowid_encounter").distinct()
+    return pairs.select(
         KEY, "lag_filldate", "current_filldate",
         days_between(F.col("lag_filldate"), F.col("current_filldate")).alias("filldatediff"),
-        "rowid_encounter").distinct()
+        "rowid_encounter")
 
 
 def last_fills(sequence: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -95,10 +98,11 @@ def last_fills(sequence: DataFrame, gaps: DataFrame) -> DataFrame:
 def gap_reference_form(sequence: DataFrame) -> DataFrame:
     """Self-join, anti-join, union and running sum; equals :func:`fill_gaps`."""
     gaps = stage(raw_gaps(sequence), "raw_gaps")
-    last = last_fills(sequence, gaps).select(
+    # a row per patient, written: to find its ranges the scan reads its rows once before
+    last = stage(last_fills(sequence, gaps).select(
         KEY, F.col("EncounterDate").alias("lag_filldate"),
         F.col("EncounterDate").alias("current_filldate"),
-        F.lit(0).cast("bigint").alias("filldatediff"), "rowid_encounter")
+        F.lit(0).cast("bigint").alias("filldatediff"), "rowid_encounter"), "last_fills")
     return ordered_scan(
         gaps.unionByName(last), KEY, ["rowid_encounter"],
         sums={"cumul_filldatediff": "filldatediff"})

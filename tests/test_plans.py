@@ -103,5 +103,19 @@ def test_customers_of_orders_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in simple_plan(on.source_tables(t)["patient_surgery"])
 
 
+def test_scan_of_the_reference_form_joins_nothing_again(spark, staged, monkeypatch):
+    """The ranges of a scan are found by reading its rows once more, so these are written."""
+    numbered = stage(sequence.fill_sequence(staged), "numbered")
+    scan, scanned = sequence.ordered_scan, []
+
+    def watched(rows, *args, **kwargs):
+        scanned.append(simple_plan(rows))
+        return scan(rows, *args, **kwargs)
+    monkeypatch.setattr(sequence, "ordered_scan", watched)
+    form = sequence.gap_reference_form(numbered)
+    assert len(scanned) == 1 and "Join" not in scanned[0]
+    assert form.count() == numbered.count()
+
+
 def simple_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
