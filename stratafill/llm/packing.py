@@ -17,7 +17,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafill.llm.common import KEY, document_key
@@ -89,9 +89,24 @@ def token_pieces(
     return texts.mapInArrow(_cut(tokenizer, capacity, with_ids, narrow), PIECES)
 
 
-def widened(ids: Column) -> Column:
-    """16-bit numbers, end to end, as 32-bit ones."""
-    return F.unhex(F.regexp_replace(F.hex(ids), "(....)", "$10000"))
+def _widen(batches):
+    for batch in batches:
+        column = batch.column("ids").cast(pa.large_binary())
+        _, places, data = column.buffers()
+        offsets = np.frombuffer(places, np.int64)[column.offset:column.offset + len(column) + 1]
+        if len(offsets) and data is not None:
+            ids = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view("<u2").astype("<u4")
+            edges = ((offsets - offsets[0]) * 2).astype(np.int32)
+        else:
+            ids, edges = np.zeros(0, "<u4"), np.zeros(batch.num_rows + 1, np.int32)
+        wide = pa.Array.from_buffers(
+            pa.binary(), batch.num_rows, [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", wide)
+
+
+def widened(packed: DataFrame) -> DataFrame:
+    """``packed`` with its ids, 16-bit numbers end to end and never null, as 32-bit ones."""
+    return packed.mapInArrow(_widen, packed.schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -221,4 +236,4 @@ def pack_documents(
     pieces = stage(token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col,
                                 capacity=capacity, with_ids=with_ids, narrow=narrow), "pieces")
     packed = pack(pieces, capacity=capacity)
-    return packed.withColumn("ids", widened(F.col("ids"))) if narrow else packed
+    return widened(packed) if narrow else packed

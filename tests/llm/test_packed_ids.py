@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratafill.llm import queries
+from stratafill.llm import packing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +45,14 @@ def test_the_digest_is_of_written_ids(spark, monkeypatch):
     monkeypatch.setattr(queries, "pack_documents", seen)
     got = queries.op2_packing(spark, SF)
     assert asked == [True] and got.where("ids_crc32 is null or ids_crc32 < 0").isEmpty()
+
+
+def test_ids_are_widened_without_text_expressions(spark):
+    """Turning them into hex and back took more time than all other steps after the tokenizer."""
+    ids = [np.array(x, "<u2") for x in ([], [0], [1, 2, 65535], [50256] * 2048)]
+    rows = spark.createDataFrame(
+        [(i, x.tobytes(), -i) for i, x in enumerate(ids)], "n int, ids binary, sequence_id bigint")
+    wide = packing.widened(rows.repartition(2))
+    assert "regexp" not in wide._jdf.queryExecution().executedPlan().toString()
+    got = {r.n: (np.frombuffer(r.ids, "<u4").tolist(), r.sequence_id) for r in wide.collect()}
+    assert got == {i: (x.tolist(), -i) for i, x in enumerate(ids)}
