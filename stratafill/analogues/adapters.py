@@ -51,7 +51,8 @@ def tenant_orders(t: Tables) -> DataFrame:
 
 def tenant_lines(t: Tables) -> DataFrame:
     """Line items with tenant and order; (order, part, supplier) numbers the document."""
-    return t["lineitem"].join(tenant_orders(t), c("l_orderkey") == c("o_orderkey")).withColumn(
+    return t["lineitem"].join(
+        tenant_orders(t).hint("merge"), c("l_orderkey") == c("o_orderkey")).withColumn(
         "documentid", (c("l_orderkey") * 1_000_000 + c("l_partkey")) * 10_000 + c("l_suppkey"))
 
 
@@ -146,7 +147,7 @@ def patient(t: Tables) -> DataFrame:
     segment = c("c_mktsegment")
     return (
         t["customer"]
-        .join(birth_dates(t), "c_custkey", "left")
+        .join(birth_dates(t).hint("merge"), "c_custkey", "left")
         .join(places, c("c_nationkey") == c("n_nationkey"))
         .select(
             c("c_nationkey").cast("string").alias("context_id"),

@@ -50,7 +50,7 @@ def link_appointments(
     """
     booked = _appointments(appointments).where(after_year(F.col("AppointmentDate"), after))
     linked = booked.join(
-        _claims(claims, F.col("claimappointmentid").alias("appointmentid")),
+        _claims(claims, F.col("claimappointmentid").alias("appointmentid")).hint("merge"),
         [*PATIENT, "appointmentid"]).where(_same_claim())
     wanted = fills.select(*PATIENT, *["documentid"] * per_document).distinct()
     kept = join_reduced(linked, wanted, list(PATIENT), "inner" if per_document else "left_semi")
@@ -89,12 +89,14 @@ def appointment_records(
     if tenants is not None:
         booked = booked.where(F.col("context_id").isin(*tenants))
     linked = booked.join(
-        _claims(claims, F.col("claimappointmentid").alias("appointmentid")),
+        _claims(claims, F.col("claimappointmentid").alias("appointmentid")).hint("merge"),
         [*PATIENT, "appointmentid"]).where(_same_claim()).select(*LINK_COLUMNS)
     charted = records.where(F.col("ChartID").isNotNull()).select(
         *PATIENT, "ChartID", F.col("documentid").alias("recordid"))
-    filed = charted.join(documents.select(*PATIENT, "ChartID", "documentid"), [*PATIENT, "ChartID"])
-    return linked.join(filed, list(PATIENT)).select(
+    # all grow with the data: shuffled, never sent through the driver
+    filed = charted.join(
+        documents.select(*PATIENT, "ChartID", "documentid").hint("merge"), [*PATIENT, "ChartID"])
+    return linked.join(filed.hint("merge"), list(PATIENT)).select(
         *LINK_COLUMNS, "recordid", "ChartID", "documentid")
 
 

@@ -51,8 +51,8 @@ def qualifying_drugs(medication: DataFrame, cfg: CohortConfig) -> DataFrame:
 def build_fills(tables: Mapping[str, DataFrame], cfg: CohortConfig) -> DataFrame:
     """Distinct qualifying fills (:data:`FILL_COLUMNS`) from the five source tables.
 
-    Drugs and charts are shuffled, not broadcast: they grow with the data, and Spark's estimate
-    of their size knows neither what a list repeats per row nor how far a file is compressed.
+    All five are shuffled, none is broadcast: they grow with the data, and Spark's estimate of
+    their size knows neither what a list repeats per row nor how far a file is compressed.
     """
     records = live_prescriptions(tables["patient_medication"], cfg)
     encounters = tables["clinicalencounter"].where(
@@ -63,11 +63,11 @@ def build_fills(tables: Mapping[str, DataFrame], cfg: CohortConfig) -> DataFrame
         records.select("context_id", "documentid", "medicationtype",
                        "prescriptionfillquantity", "numberofrefillsprescribed")
         .join(tables["document"].select(
-            "context_id", "documentid", "patientid", "ClinicalEncounterID", "ChartID", "FBDMedID"),
-            ["context_id", "documentid"])
+            "context_id", "documentid", "patientid", "ClinicalEncounterID", "ChartID", "FBDMedID")
+            .hint("merge"), ["context_id", "documentid"])
         .join(drugs, ["context_id", "FBDMedID"])
-        .join(encounters.select("context_id", "ClinicalEncounterID", "EncounterDate"),
-              ["context_id", "ClinicalEncounterID"])
+        .join(encounters.select("context_id", "ClinicalEncounterID", "EncounterDate")
+              .hint("merge"), ["context_id", "ClinicalEncounterID"])
         .join(tables["chart"].select("context_id", "ChartID", "EnterpriseID").hint("merge"),
               ["context_id", "ChartID"])
     )
@@ -79,7 +79,7 @@ def attach_appointments(fills: DataFrame, appointments: DataFrame) -> DataFrame:
     same_day = appointments.select(
         "context_id", F.col("PatientID").alias("patientid"),
         F.col("AppointmentDate").alias("EncounterDate"), "appointmentid", "AppointmentDate",
-        "claimid")
+        "claimid").hint("merge")
     return fills.join(same_day, ["context_id", "patientid", "EncounterDate"], "left").select(
         *fills.columns, "appointmentid", "AppointmentDate", "claimid")
 
@@ -99,7 +99,8 @@ def distinct_fill_records(joined_fills: DataFrame) -> DataFrame:
 def build_demographics(patient: DataFrame, fills: DataFrame, cfg: CohortConfig) -> DataFrame:
     """Distinct demographic rows (:data:`DEMOGRAPHIC_COLUMNS`) of the patients with fills."""
     c = F.col
-    keys = fills.select("context_id", "EnterpriseID").distinct()
+    # a row per patient: shuffled, as in build_fills
+    keys = fills.select("context_id", "EnterpriseID").distinct().hint("merge")
     rows = (
         patient.join(keys, ["context_id", "EnterpriseID"], "left_semi")
         .withColumns({

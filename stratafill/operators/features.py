@@ -119,7 +119,8 @@ def encounter_codes(
     """Distinct diagnosis codes of each encounter that has fills, with :data:`RULE_COLUMNS`.
 
     The fills shrink to their distinct encounters before they meet the diagnoses, and the rules
-    run once per code of the code table, after the codes of an encounter are distinct.
+    run once per code of the code table, after the codes of an encounter are distinct. The code
+    table has a row per tenant and code, so it is shuffled; its distinct codes may be broadcast.
     """
     encounters = fills.select(*ENCOUNTER).distinct()
     codes = icd_codes.where(in_list(F.col("DiagnosisCodeSet"), cfg.code_sets, cfg.collation))
@@ -130,9 +131,9 @@ def encounter_codes(
         code_on += [c for c in ("context_id",) if c in dx_icd.columns and c in codes.columns]
     on = ["context_id", "ClinicalEncounterID"]
     return (
-        encounters.join(diagnosis.select(*on, "ClinicalEncounterDXID"), on)
-        .join(dx_icd.select(*dx_on, "IcdCodeID"), dx_on)
-        .join(codes.select(*code_on, F.col("DiagnosisCode").alias("_code")), code_on)
+        encounters.join(diagnosis.select(*on, "ClinicalEncounterDXID").hint("merge"), on)
+        .join(dx_icd.select(*dx_on, "IcdCodeID").hint("merge"), dx_on)
+        .join(codes.select(*code_on, F.col("DiagnosisCode").alias("_code")).hint("merge"), code_on)
         .select(*ENCOUNTER, "_code").distinct()
         .join(rules, F.col("_code").eqNullSafe(F.col("DiagnosisCode")))
         .withColumn("unique_patient", tenant_key(F.col("context_id"), F.col("EnterpriseID")))
@@ -176,10 +177,10 @@ def build_detail(
 
     The people are written first, so that a patient with very many fills is split.
     """
-    people = demographics.join(surgery, "unique_patient", "left")
+    people = demographics.join(surgery.hint("merge"), "unique_patient", "left")
     quantity = F.col("prescriptionfillquantity")
     recorded = fills.select("unique_patient", *DETAIL_FILL_COLUMNS).join(
-        dx, ["unique_patient", "ClinicalEncounterID"], "left")
+        dx.hint("merge"), ["unique_patient", "ClinicalEncounterID"], "left")
     return (
         join_reduced(recorded, people, "unique_patient")
         .withColumnsRenamed(DETAIL_NAMES)

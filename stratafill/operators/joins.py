@@ -17,10 +17,11 @@ def join_reduced(
 
     Adaptive execution splits the rows of a hot key only if both inputs of the join are shuffles
     of their own. What an aggregate, a distinct or a join on the same key returns is not shuffled
-    again, so it is written first; one that turns out small is broadcast without a shuffle.
-    ``how`` may be inner, left, left_semi or left_anti.
+    again, so it is written first. It is not broadcast, however small its file: it may have a row
+    per patient, and rows take far more room in the driver than in a file. ``how`` may be inner,
+    left, left_semi or left_anti.
     """
-    return rows.join(stage(reduced, "reduced"), on, how)
+    return rows.join(stage(reduced, "reduced").hint("merge"), on, how)
 
 
 def date_bin(c: Column, days: int) -> Column:

@@ -38,11 +38,11 @@ def ordered_scan(
     ``number`` is the row number; ``sums`` maps an output to the column it accumulates,
     ``nexts`` to the column read from the following row, ``firsts`` to the column read from the
     first row of the key. A null key is a key like any other. ``per_key`` is inner-joined on the
-    key afterwards. The blocks are written to the shared folder when this is called.
+    key afterwards, by a shuffle. The blocks are written to the shared folder when this is called.
     """
     spec = _Spec(rows, key, order, number, dict(sums or {}), dict(nexts or {}), dict(firsts or {}))
     scanned = spec.scan()
-    return scanned if per_key is None else scanned.join(per_key, key)
+    return scanned if per_key is None else scanned.join(per_key.hint("merge"), key)
 
 
 class _Spec:

@@ -117,5 +117,25 @@ def test_scan_of_the_reference_form_joins_nothing_again(spark, staged, monkeypat
     assert form.count() == numbered.count()
 
 
+def test_tables_that_grow_are_not_sent_through_the_driver(spark):
+    """However small their files; nations, years and the distinct codes may be broadcast."""
+    from stratafill.operators import cohort
+    from stratafill.operators.joins import join_reduced
+
+    t = Tables(spark, FOLDER)
+    rows = on.fills(t)
+    people = spark.range(9).withColumnRenamed("id", "o_custkey")
+    assert "Broadcast" not in simple_plan(rows)
+    assert "Broadcast" not in simple_plan(cohort.attach_appointments(rows, on.appointments(t)))
+    assert "Broadcast" not in simple_plan(QUERIES["appointment_records"](spark, FOLDER))
+    assert "Broadcast" not in simple_plan(join_reduced(t["orders"], people, "o_custkey"))
+    places = r"BroadcastHashJoin \[(n_regionkey|c_nationkey)#"
+    for df, fixed in ((QUERIES["demographics"](spark, FOLDER), places),
+                      (on.codes(rows, t), r"BroadcastHashJoin \[coalesce\(_code#"),
+                      (QUERIES["detail_wide"](spark, FOLDER), places + r"|BroadcastHashJoin \[coalesce\(_code#")):
+        text = simple_plan(df)
+        assert len(re.findall("BroadcastHashJoin", text)) == len(re.findall(fixed, text)), text
+
+
 def simple_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
