@@ -8,8 +8,10 @@ Equal sets are one class, found by hash, and only classes are joined. The words
 ordered by rarity. Two sets can reach the threshold only if they share a word among the first
 ``n - ceil(t n) + 1`` of both: classes are listed by the words of their prefixes. A pair of a
 list goes on only if the sizes allow the threshold, if the places of the shared word leave room
-for the overlap, and if the sets' 64 parity bits differ in no more places than words may differ.
-Exact overlap decides in the end.
+for the overlap, and if the sets' tallies differ by no more than words may differ. A tally counts
+the words in each of 32 parts of the hashes, modulo 16; parity bits alone tell short lines apart,
+but in a line of 150 words they are all as good as random, and long lines that share one rare word
+would go on. Exact overlap decides in the end.
 
 A line needs one earlier match to go, not all of them. So each list gives a class only the
 earlier ones that look nearest, which keeps large groups of near copies from making all their
@@ -43,6 +45,9 @@ LIST_ROWS = 1 << 15     # a part of a word's list has about so many rows at most
 NEAREST = 2             # candidates that a list gives a class at first
 SEEN_SETS = 1 << 20     # hashes of sets that a task remembers to give each once
 TRIED = 3               # of those, the nearest are compared before all are asked for
+TALLIES = 32            # parts of the hashes whose words are counted, in four bits each
+_NIBBLE_1, _NIBBLE_8 = np.uint64(0x1111111111111111), np.uint64(0x8888888888888888)
+_LOW_HALVES, _BYTE_1 = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x0101010101010101)
 
 
 class Lines:
@@ -120,24 +125,46 @@ def _ceil(x: np.ndarray) -> np.ndarray:
     return np.ceil(x - 1e-9).astype(np.int64)
 
 
+def _tallies(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Per line how many of its words are in each part of the hashes, 16 parts to a number."""
+    made = np.zeros((len(lines), 2), np.uint64)
+    shift = np.arange(0, 64, 4, dtype=np.uint64)
+    for i in range(0, len(lines), 4096):
+        edges = lines.bounds[i:i + 4097]
+        owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        part = (lines.words[edges[0]:edges[-1]] >> np.uint64(59)).astype(np.int64)
+        n = np.bincount(owner * TALLIES + part, minlength=(len(edges) - 1) * TALLIES) & 15
+        made[i:i + 4096] = (n.reshape(-1, 2, 16).astype(np.uint64) << shift).sum(axis=2)
+    return made[:, 0], made[:, 1]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum over the 16 tallies of how far they are apart, modulo 16: 8 at most each.
+
+    Two sets that differ in d words (one way or the other) are d apart at most.
+    """
+    less = ((a | _NIBBLE_8) - (b & ~_NIBBLE_8)) ^ ((a ^ ~b) & _NIBBLE_8)  # a - b in each tally
+    below = (less & _NIBBLE_8) >> np.uint64(3)
+    size = (less ^ (below * np.uint64(15))) + below
+    pairs = (size & _LOW_HALVES) + ((size >> np.uint64(4)) & _LOW_HALVES)
+    return ((pairs * _BYTE_1) >> np.uint64(56)).astype(np.int64)
+
+
 PROFILED = ("_id bigint, _th bigint, line array<int>, h1 array<bigint>, h2 array<bigint>, "
-            "n array<int>, bits array<bigint>, prefixes array<binary>")
+            "n array<int>, low array<bigint>, high array<bigint>, prefixes array<binary>")
 # an entry of a prefix: half a word's hash finds candidates, exact overlap takes whole ones
 _ENTRY = np.dtype([("word", "<u4"), ("place", "<u2"), ("parts", "<u2")])
 
 
 def _profile(counts, threshold: float, list_rows: int):
-    """Per document its lines: set hashes, sizes, parity bits, and the prefixes by rarity."""
+    """Per document its lines: set hashes, sizes, tallies, and the prefixes by rarity."""
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         # the rarest first
         lines = Lines(piece.column("text"), lambda words: counts.value[_slot(words)])
         words, sizes, rows = lines.words, lines.sizes, piece.num_rows
         owner = np.repeat(np.arange(len(lines)), sizes)
         h1, h2 = _set_hashes(lines)
-        # parity of the words on each of 64 bits
-        bits = (np.bitwise_xor.reduceat(
-            np.uint64(1) << (words >> np.uint64(58)), lines.bounds[:-1])
-            if len(lines) else words[:0])
+        low, high = _tallies(lines)
         held = counts.value[_slot(words)]
         place = np.arange(len(words)) - np.repeat(lines.bounds[:-1], sizes)
         prefix = (sizes - _ceil(threshold * sizes) + 1)[owner]
@@ -152,15 +179,16 @@ def _profile(counts, threshold: float, list_rows: int):
                           pa.binary())
         flat = [pa.array(lines.number.astype(np.int32)), pa.array(h1.view(np.int64)),
                 pa.array(h2.view(np.int64)), pa.array(sizes.astype(np.int32)),
-                pa.array(bits.view(np.int64)), packed]
+                pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), packed]
         return pa.RecordBatch.from_arrays(
             [piece.column("_id"), piece.column("_th"),
              *[lists(lines.text, x, rows) for x in flat]],
-            names=["_id", "_th", "line", "h1", "h2", "n", "bits", "prefixes"])
+            names=["_id", "_th", "line", "h1", "h2", "n", "low", "high", "prefixes"])
     return per_piece(run, most=SMALL_PIECE)
 
 
-LISTED = "word int, part int, cid bigint, n int, bits bigint, place int, asks boolean"
+LISTED = ("word int, part int, cid bigint, n int, low bigint, high bigint, place int, "
+          "asks boolean")
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -204,9 +232,10 @@ def _listed(batch: pa.RecordBatch, asked) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(entries["word"][again].view(np.int32)),
          pa.array(part.astype(np.uint32).view(np.int32)), batch.column("cid").take(take),
-         batch.column("n").take(take), batch.column("bits").take(take),
+         batch.column("n").take(take), batch.column("low").take(take),
+         batch.column("high").take(take),
          pa.array(entries["place"][again].astype(np.int32)), batch.column("asks").take(take)],
-        names=["word", "part", "cid", "n", "bits", "place", "asks"])
+        names=["word", "part", "cid", "n", "low", "high", "place", "asks"])
 
 
 class _Pairs:
@@ -256,7 +285,8 @@ def _meet(rows: dict[str, np.ndarray], threshold: float) -> Iterator[tuple]:
     own = np.cumsum(new)
     order = np.lexsort((rows["n"], own))
     own = own[order]
-    n, place, bits, cid, asks = (rows[c][order] for c in ("n", "place", "bits", "cid", "asks"))
+    n, place, cid, asks = (rows[c][order] for c in ("n", "place", "cid", "asks"))
+    low_tallies, high_tallies = rows["low"][order], rows["high"][order]
     # the smaller set of a pair has the word in a shorter prefix, and is not much smaller
     short = np.flatnonzero(place < n - _ceil(2 * threshold / (1 + threshold) * n) + 1)
     low = np.searchsorted((own[short] << 32) + n[short], (own << 32) + _ceil(threshold * n))
@@ -272,7 +302,10 @@ def _meet(rows: dict[str, np.ndarray], threshold: float) -> Iterator[tuple]:
         need = _ceil(both * (threshold / (1 + threshold)))
         ok = np.minimum(n[i] - place[i], n[j] - place[j]) >= need  # with the shared word
         i, j, most = i[ok], j[ok], (both - 2 * need)[ok]
-        apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
+        apart = _apart(low_tallies[i], low_tallies[j])
+        ok = apart <= most
+        i, j, most, apart = i[ok], j[ok], most[ok], apart[ok]
+        apart = apart + _apart(high_tallies[i], high_tallies[j])
         x, y = np.maximum(cid[i], cid[j]), np.minimum(cid[i], cid[j])
         ok = (apart <= most) & (x != y) & np.where(cid[i] == x, asks[i], asks[j])
         yield x[ok], y[ok], apart[ok]
@@ -280,7 +313,7 @@ def _meet(rows: dict[str, np.ndarray], threshold: float) -> Iterator[tuple]:
 
 
 _COLUMNS = {"word": np.int32, "part": np.int32, "cid": np.int64, "n": np.int64,
-            "bits": np.uint64, "place": np.int64, "asks": bool}
+            "low": np.uint64, "high": np.uint64, "place": np.int64, "asks": bool}
 
 
 def _meet_in_lists(threshold: float, keep: int | None):
@@ -362,7 +395,7 @@ def _candidates(
 
     ``asked`` is a filter of the words whose lists are needed.
     """
-    listed = classes.select("cid", "n", "bits", "prefixes", asks.alias("asks")).mapInArrow(
+    listed = classes.select("cid", "n", "low", "high", "prefixes", asks.alias("asks")).mapInArrow(
         _list_words(asked), LISTED)
     ordered = listed.repartition("word", "part").sortWithinPartitions("word", "part")
     return ordered.mapInArrow(
@@ -472,10 +505,10 @@ def dedup_lines(
     spot = [*KEY, "line"]
     # numbered in the order of their first lines: by range, then inside
     classes = stage(
-        lines("line", *whole, "bits", "prefixes").groupBy(*whole).agg(
-            F.min(F.struct(*spot)).alias("at"), F.first("bits").alias("bits"),
-            F.first("prefixes").alias("prefixes"))
-        .select(*whole, "at.*", "bits", "prefixes")
+        lines("line", *whole, "low", "high", "prefixes").groupBy(*whole).agg(
+            F.min(F.struct(*spot)).alias("at"), F.first("low").alias("low"),
+            F.first("high").alias("high"), F.first("prefixes").alias("prefixes"))
+        .select(*whole, "at.*", "low", "high", "prefixes")
         .repartitionByRange(*spot).sortWithinPartitions(*spot)
         .withColumn("cid", F.monotonically_increasing_id()), "line_classes")
     drop_shuffles(spark)

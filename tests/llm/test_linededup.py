@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from stratafill.llm import linededup
 from tests.llm.brute import words
 
@@ -118,3 +120,42 @@ def test_the_query_gives_classes_and_links(spark):
         own = [frozenset(words(x)) for x in texts[r.doc_id].split("\n") if words(x)]
         assert r.n_matches == sum(links[w] for w in own)
         assert r.class_matches == [links[w] for w in own]
+
+
+def test_tallies_never_say_more_than_the_words_that_differ():
+    """Their distance is a lower bound, also where a part holds over 16 words, and a near one."""
+    rng = random.Random(7)
+    far = []
+    for size in (1, 5, 40, 150, 900):
+        for _ in range(40):
+            one = {f"a{rng.randrange(3 * size)}" for _ in range(size)}
+            two = {w for w in one if rng.random() < 0.9} | {f"b{k}" for k in range(rng.randrange(9))}
+            other = {f"c{rng.randrange(1 << 40)}" for k in range(len(one))}
+            made = linededup.Lines(pa.array(["\n".join(" ".join(sorted(x)) for x in (one, two, other))]))
+            low, high = linededup._tallies(made)
+            apart = [int(sum(linededup._apart(x[:1], x[i:i + 1])[0] for x in (low, high)))
+                     for i in range(len(made))]
+            assert apart[0] == 0 and len(apart) == 3
+            assert apart[1] <= len(one ^ two) and apart[2] <= len(one ^ other)
+            if size == 150:
+                far.append(apart[2])
+    # Jaccard 0.8 leaves two sets of 100 words no more than 22 that differ
+    assert min(far) > 22
+
+
+def test_long_lines_that_share_few_words_are_no_candidates(spark, monkeypatch):
+    """Lines without a match are not looked up again with all of their candidates."""
+    rng = random.Random(11)
+    known = [f"w{k}" for k in range(1000)]
+    rows = [(i, " ".join(rng.sample(known, 200))) for i in range(100)]
+    rows.append((100, rows[3][1] + " end"))
+    staged, stage = {}, linededup.stage
+
+    def watched(df, name, *more):
+        made = stage(df, name, *more)
+        staged[name] = made.count()
+        return made
+    monkeypatch.setattr(linededup, "stage", watched)
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert [r.doc_id for r in got.where("_removed > 0").collect()] == [100]
+    assert staged["line_rest"] < 20  # of 98 that parity bits left
