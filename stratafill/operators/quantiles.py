@@ -53,12 +53,13 @@ def _values_at(
         .select(*[F.col(c).alias(o) for o, c in own.items()],
                 "_before", "_n", "_low_rank", "_high_rank")
     )
-    # null-safe: a NULL group counts, and both sides keep sharing the shuffle of the counts
+    # null-safe: a NULL group counts, and both sides keep sharing the shuffle of the counts;
+    # those grow with the values, so they are never sent through the driver
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for o, c in own.items()])
     inside = (
         Window.partitionBy(*by, "_bin").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.join(bins, same).withColumn(
+    ranked = counts.hint("merge").join(bins, same).withColumn(
         "_reached", F.col("_before") + F.sum("_count").over(inside))
     return ranked.groupBy(*by).agg(
         F.max("_n").alias("_n"),

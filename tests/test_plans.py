@@ -9,6 +9,7 @@ import pytest
 from stratafill.analogues import adapters as on
 from stratafill.analogues.queries import QUERIES
 from stratafill.operators import sequence
+from stratafill.operators.quantiles import upper_median
 from stratafill.operators.threshold import strata_threshold
 from stratafill.sources import Tables, stage
 from tests.fixtures import CFG, source_tables
@@ -139,3 +140,10 @@ def test_tables_that_grow_are_not_sent_through_the_driver(spark):
 
 def simple_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_values_are_not_sent_through_the_driver(spark):
+    rows = spark.range(1000).selectExpr("cast(id % 3 as string) AS g", "id AS v")
+    found = upper_median(rows, ["g"], "v")
+    assert "Broadcast" not in simple_plan(found)
+    assert {r.g: r.cut for r in found.collect()} == {"0": 501, "1": 499, "2": 500}
