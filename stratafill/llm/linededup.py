@@ -22,7 +22,9 @@ pair of classes that matches counts; their number grows with the square of such
 Rarity comes from a count of every word of the corpus in a table of fixed size. Words that share
 an entry only share a rank, so the order is the same everywhere and results do not depend on it;
 a word whose entry counts a single occurrence cannot be shared and is not looked up. The list of
-a frequent word is cut into parts, and each two parts meet in a task of their own.
+a frequent word is cut into parts, and each two parts meet on their own. Lists are dealt to
+buckets, whose number follows the number of entries, and a bucket's entries are shuffled as packed
+columns, not as a row each.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ from stratafill.sources.staging import drop_shuffles, release, stage
 SIMILARITY = 0.8
 RARITY_SLOTS = 1 << 22  # 16 MB of counts, whatever the corpus
 LIST_ROWS = 1 << 15     # a part of a word's list has about so many rows at most
+BUCKET_ROWS = 1 << 16   # entries of a bucket of lists, about
+PACKED_ROWS = 256       # entries of a bucket that a task hands on at once, about
 NEAREST = 2             # candidates that a list gives a class at first
 SEEN_SETS = 1 << 20     # hashes of sets that a task remembers to give each once
 TRIED = 3               # of those, the nearest are compared before all are asked for
@@ -187,8 +191,11 @@ def _profile(counts, threshold: float, list_rows: int):
     return per_piece(run, most=SMALL_PIECE)
 
 
-LISTED = ("word int, part int, cid bigint, n int, low bigint, high bigint, place int, "
-          "asks boolean")
+# an entry of a list; entries are shuffled as packed columns, a row per bucket of lists
+_LISTED = {"word": np.dtype("<u4"), "part": np.dtype("<u4"), "cid": np.dtype("<i8"),
+           "n": np.dtype("<i4"), "low": np.dtype("<u8"), "high": np.dtype("<u8"),
+           "place": np.dtype("<u2"), "asks": np.dtype("?")}
+LISTED = "bucket int, " + ", ".join(f"{c} binary" for c in _LISTED)
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -205,18 +212,35 @@ def _word_hashes(batches):
             [pa.array(mix(entries["word"]).view(np.int64))], names=["hash"])
 
 
-def _list_words(asked):
-    """A row per looked-up word of a class, and per meeting of the parts of a long list.
+def _count_listed(batches):
+    """How many entries :func:`_list_words` makes of all words."""
+    for batch in batches:
+        entries, _ = _entries(batch)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(entries["parts"].sum(dtype=np.int64))])], names=["rows"])
+
+
+def _list_words(asked, buckets: int):
+    """An entry per looked-up word of a class, and per meeting of the parts of a long list.
 
-    With ``asked``, a filter of words, only those.
+    With ``asked``, a filter of words, only those. The lists are dealt to ``buckets``.
     """
+    at_once = min(max(buckets * PACKED_ROWS, 1 << 15), 1 << 19)
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            yield _listed(batch, asked)
+            held.append(_listed(batch, asked))
+            n += len(held[-1]["word"])
+            if n >= at_once:
+                yield _packed(held, buckets)
+                held, n = [], 0
+        if n:
+            yield _packed(held, buckets)
     return run
 
 
-def _listed(batch: pa.RecordBatch, asked) -> pa.RecordBatch:
+def _listed(batch: pa.RecordBatch, asked) -> dict[str, np.ndarray]:
     entries, row = _entries(batch)
     if asked is not None:
         use = in_filter(asked.value, mix(entries["word"]))
@@ -228,14 +252,30 @@ def _listed(batch: pa.RecordBatch, asked) -> pa.RecordBatch:
     other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
     mine = own[again]
     part = np.minimum(mine, other) * 0x10000 + np.maximum(mine, other)
-    take = pa.array(row[again])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(entries["word"][again].view(np.int32)),
-         pa.array(part.astype(np.uint32).view(np.int32)), batch.column("cid").take(take),
-         batch.column("n").take(take), batch.column("low").take(take),
-         batch.column("high").take(take),
-         pa.array(entries["place"][again].astype(np.int32)), batch.column("asks").take(take)],
-        names=["word", "part", "cid", "n", "low", "high", "place", "asks"])
+    rows = {"word": entries["word"][again], "part": part, "place": entries["place"][again],
+            **{c: batch.column(c).to_numpy(zero_copy_only=False)[row[again]]
+               for c in ("cid", "n", "low", "high", "asks")}}
+    return {c: rows[c].astype(kind) for c, kind in _LISTED.items()}
+
+
+def _packed(held: list[dict[str, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """A row per bucket, whose cells are columns of its entries, number after number."""
+    rows = {c: np.concatenate([x[c] for x in held]) for c in _LISTED}
+    name = (rows["word"].astype(np.uint64) << np.uint64(32)) | rows["part"]
+    bucket = (mix(name) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket)
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    edges = np.append(first, len(bucket))
+    cells = [pa.Array.from_buffers(pa.binary(), len(first), [
+        None, pa.py_buffer((edges * kind.itemsize).astype(np.int32)),
+        pa.py_buffer(rows[c][order])]) for c, kind in _LISTED.items()]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *cells], names=["bucket", *_LISTED])
+
+
+def _unpacked(held: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(b"".join(x for batch in held for x in batch.column(c).to_pylist()), kind)
+            for c, kind in _LISTED.items()}
 
 
 class _Pairs:
@@ -276,16 +316,15 @@ class _Pairs:
 
 
 def _meet(rows: dict[str, np.ndarray], threshold: float) -> Iterator[tuple]:
-    """Candidates in whole lists; ``rows`` are columns, ordered by word and part."""
-    word, part = rows["word"], rows["part"]
-    if not len(word):
+    """Candidates in whole lists; ``rows`` are columns in any order."""
+    if not len(rows["word"]):
         return
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (part[1:] != part[:-1])
-    own = np.cumsum(new)
-    order = np.lexsort((rows["n"], own))
-    own = own[order]
-    n, place, cid, asks = (rows[c][order] for c in ("n", "place", "cid", "asks"))
+    name = (rows["word"].astype(np.uint64) << np.uint64(32)) | rows["part"]
+    order = np.lexsort((rows["n"], name))
+    name = name[order]
+    own = np.cumsum(np.append(True, name[1:] != name[:-1]))
+    n, place = (rows[c][order].astype(np.int64) for c in ("n", "place"))
+    cid, asks = rows["cid"][order], rows["asks"][order]
     low_tallies, high_tallies = rows["low"][order], rows["high"][order]
     # the smaller set of a pair has the word in a shorter prefix, and is not much smaller
     short = np.flatnonzero(place < n - _ceil(2 * threshold / (1 + threshold) * n) + 1)
@@ -312,12 +351,8 @@ def _meet(rows: dict[str, np.ndarray], threshold: float) -> Iterator[tuple]:
         first = last
 
 
-_COLUMNS = {"word": np.int32, "part": np.int32, "cid": np.int64, "n": np.int64,
-            "low": np.uint64, "high": np.uint64, "place": np.int64, "asks": bool}
-
-
 def _meet_in_lists(threshold: float, keep: int | None):
-    """Rows come ordered by word and part; a list may go on in the next batch."""
+    """Rows come ordered by bucket; a bucket may go on in the next batch."""
     def found(rows) -> Iterator[pa.RecordBatch]:
         pairs = _Pairs(keep)
         for some in _meet(rows, threshold):
@@ -329,34 +364,23 @@ def _meet_in_lists(threshold: float, keep: int | None):
             yield made
 
     def run(batches):
-        rest = {c: np.zeros(0, kind) for c, kind in _COLUMNS.items()}
-        for some in _gathered(batches, 1 << 16):
-            rows = {c: np.concatenate([rest[c], *[
-                x.column(c).to_numpy(zero_copy_only=False).astype(kind) for x in some]])
-                for c, kind in _COLUMNS.items()}
-            word, part = rows["word"], rows["part"]
-            whole = np.flatnonzero((word != word[-1]) | (part != part[-1]))
-            last = int(whole[-1]) + 1 if len(whole) else 0
-            yield from found({c: x[:last] for c, x in rows.items()})
-            rest = {c: x[last:] for c, x in rows.items()}
-        yield from found(rest)
+        held, n, open_bucket = [], 0, None
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+            for i, j in zip(edges, [*edges[1:], len(bucket)], strict=True):
+                # whole buckets, several of which are met at once if they are small
+                if n >= 1 << 16 and bucket[i] != open_bucket:
+                    yield from found(_unpacked(held))
+                    held, n = [], 0
+                open_bucket = bucket[i]
+                held.append(batch.slice(i, j - i))
+                n += sum(map(len, held[-1].column("asks").to_pylist()))  # a byte each
+        if held:
+            yield from found(_unpacked(held))
     return run
 
 
-def _gathered(batches, rows: int) -> Iterator[list[pa.RecordBatch]]:
-    """Batches in groups of about so many rows; small batches cost more than their rows."""
-    held, n = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            n += batch.num_rows
-        if n >= rows:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 SETS = "n int, h1 bigint, h2 bigint, words array<bigint>"
 
 
@@ -395,9 +419,11 @@ def _candidates(
 
     ``asked`` is a filter of the words whose lists are needed.
     """
+    total = classes.select("prefixes").mapInArrow(_count_listed, "rows bigint").agg(
+        F.sum("rows")).first()[0] or 0
     listed = classes.select("cid", "n", "low", "high", "prefixes", asks.alias("asks")).mapInArrow(
-        _list_words(asked), LISTED)
-    ordered = listed.repartition("word", "part").sortWithinPartitions("word", "part")
+        _list_words(asked, total // BUCKET_ROWS + 1), LISTED)
+    ordered = listed.repartition("bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(
         _meet_in_lists(threshold, keep), "x bigint, y bigint, apart bigint, n bigint")
 
@@ -462,15 +488,22 @@ def earlier_matches(classes: DataFrame, docs: DataFrame, threshold: float) -> Da
     return first.unionByName(second.groupBy("x").agg(F.min("y").alias("y")))
 
 
-def all_matches(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(x, y): every pair of classes of lines that match, x the later one."""
+def all_matches(
+    classes: DataFrame, docs: DataFrame, threshold: float
+) -> tuple[DataFrame, DataFrame]:
+    """(x, y): every pair of classes of lines that match, x the later one; and the classes.
+
+    These are written again without their prefixes, and ``classes``, which is staged, is removed.
+    """
     pairs = stage(_candidates(classes, F.lit(True), threshold, None).select("x", "y").distinct(),
                   "line_pairs")
+    named = stage(classes.drop("low", "high", "prefixes"), "line_classes")
+    release(classes)
     drop_shuffles(docs.sparkSession)
-    matched = _matches(pairs, classes, docs, threshold)
+    matched = _matches(pairs, named, docs, threshold)
     release(pairs)
     drop_shuffles(docs.sparkSession)
-    return matched
+    return matched, named
 
 
 def dedup_lines(
@@ -511,11 +544,15 @@ def dedup_lines(
         .select(*whole, "at.*", "low", "high", "prefixes")
         .repartitionByRange(*spot).sortWithinPartitions(*spot)
         .withColumn("cid", F.monotonically_increasing_id()), "line_classes")
+    # the classes have the prefixes now
+    full, profiled = profiled, stage(profiled.select(*KEY, "line", *whole), "line_profiles")
+    release(full)
     drop_shuffles(spark)
     if all_links:
         ends = F.array(F.struct(F.col("x").alias("cid"), F.lit(True).alias("linked")),
                        F.struct(F.col("y").alias("cid"), F.lit(None).cast("boolean").alias("linked")))
-        linked = (all_matches(classes, texts, threshold).select(F.inline(ends)).groupBy("cid")
+        matched, classes = all_matches(classes, texts, threshold)
+        linked = (matched.select(F.inline(ends)).groupBy("cid")
                   .agg(F.max("linked").alias("linked"), F.count(F.lit(1)).alias("matches")))
     else:
         linked = earlier_matches(classes, texts, threshold).select(

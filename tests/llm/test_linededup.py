@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from stratafill.llm import linededup
@@ -159,3 +160,31 @@ def test_long_lines_that_share_few_words_are_no_candidates(spark, monkeypatch):
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert [r.doc_id for r in got.where("_removed > 0").collect()] == [100]
     assert staged["line_rest"] < 20  # of 98 that parity bits left
+
+
+def test_lists_are_shuffled_as_packed_columns():
+    """A row per bucket and hand-on, not per entry; each list is in one bucket, with all entries."""
+    rng = np.random.default_rng(3)
+    entries = np.zeros(20_000, linededup._ENTRY)
+    entries["word"] = rng.integers(0, 500, len(entries))
+    entries["place"], entries["parts"] = 1, 1
+    entries["parts"][entries["word"] == 7] = 3
+    n = 400
+    batches = [pa.RecordBatch.from_pydict({
+        "cid": pa.array(range(i * n, (i + 1) * n), pa.int64()), "n": pa.array([9] * n, pa.int32()),
+        "low": pa.array([-i] * n, pa.int64()), "high": pa.array([i] * n, pa.int64()),
+        "asks": pa.array([i % 2 == 0] * n),
+        "prefixes": [x.tobytes() for x in np.split(part, n)]})
+        for i, part in enumerate(np.split(entries, 5))]
+    whole = [linededup._listed(b, None) for b in batches]
+    assert sum(len(x["word"]) for x in whole) == sum(
+        b.column("rows")[0].as_py() for b in linededup._count_listed(batches))
+    packed = list(linededup._list_words(None, 10)(batches))
+    assert sum(p.num_rows for p in packed) <= 10 * len(packed) and len(packed) == 1
+    found = [linededup._unpacked([p.slice(i, 1)]) for p in packed for i in range(p.num_rows)]
+    lists = [set(zip(x["word"].tolist(), x["part"].tolist(), strict=True)) for x in found]
+    assert sum(map(len, lists)) == len(set().union(*lists))  # none in two buckets
+
+    def rows(held):
+        return sorted(r for x in held for r in zip(*(x[c].tolist() for c in x), strict=True))
+    assert rows(found) == rows(whole)
